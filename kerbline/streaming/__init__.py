@@ -1,0 +1 @@
+"""Empty on purpose: every job here is a batch job that is run again when new data arrives."""
