@@ -36,9 +36,12 @@ def in_gb(lon, lat) -> Column:
 
 
 def _leg_frame(plon, plat, alon, alat, blon, blat):
-    """Point and leg end in metres, in a flat frame with the leg start as origin."""
+    """Vector from leg start to point and from leg start to leg end, in metres, in a flat frame.
+
+    The scale is taken at the point, so cutting a leg into pieces changes no distance.
+    """
     plon, plat, alon, alat, blon, blat = map(_col, (plon, plat, alon, alat, blon, blat))
-    kx = F.cos(F.radians((alat + blat) / 2)) * METRES_PER_DEGREE
+    kx = F.cos(F.radians(plat)) * METRES_PER_DEGREE
     bx, by = (blon - alon) * kx, (blat - alat) * METRES_PER_DEGREE
     px, py = (plon - alon) * kx, (plat - alat) * METRES_PER_DEGREE
     return px, py, bx, by
