@@ -38,11 +38,12 @@ def assign_segments(crashes: DataFrame, placed: DataFrame) -> DataFrame:
     return with_position(crashes).join(p, ["road_number", "px", "py"]).drop("px", "py")
 
 
-_YEAR = F.year("occurred_on")
+def _year():
+    return F.year("occurred_on")
 
 
 def in_window(assigned: DataFrame, years: tuple[int, int]) -> DataFrame:
-    return assigned.where(_YEAR.between(*years)).withColumn("_in", F.lit(1))
+    return assigned.where(_year().between(*years)).withColumn("_in", F.lit(1))
 
 
 def f_history(years: tuple[int, int]):
@@ -57,7 +58,7 @@ def f_history(years: tuple[int, int]):
         (F.sum("n_casualties") / each).alias("f_casualties_per_crash"),
         (F.sum("n_vehicles") / each).alias("f_vehicles_per_crash"),
     ]
-    return out + [F.count_if(_YEAR == years[0] + i).alias(f"f_year{i + 1}") for i in range(3)]
+    return out + [F.count_if(_year() == years[0] + i).alias(f"f_year{i + 1}") for i in range(3)]
 
 
 def f_speed():
@@ -113,7 +114,7 @@ def features(assigned: DataFrame, years: tuple[int, int], block_m: int = 500) ->
 
 
 def segment_target(assigned: DataFrame, years: tuple[int, int]) -> DataFrame:
-    return assigned.where(_YEAR.between(*years)).groupBy("segment_id").agg(F.sum("ksi").alias("ksi_target"))
+    return assigned.where(_year().between(*years)).groupBy("segment_id").agg(F.sum("ksi").alias("ksi_target"))
 
 
 def n_crashes(assigned: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def segment_table(assigned: DataFrame, feature_years: tuple[int, int], target_ye
     The feature and target windows are conditions inside the aggregates: the three separate
     aggregations would each shuffle the same crashes by the same key.
     """
-    in_f = _YEAR.between(*feature_years)
+    in_f = _year().between(*feature_years)
     cols = ["ksi", "n_fatal", "n_serious", "n_slight", "n_casualties", "n_vehicles", "speed_limit", "road_type",
             "junction_type", "is_urban", "lighting", "hour", "lon", "lat", "chainage", "stretch_m"]
     w = assigned.select(
@@ -145,7 +146,7 @@ def segment_table(assigned: DataFrame, feature_years: tuple[int, int], target_ye
     out = w.groupBy("segment_id", "road_number", "run", "km").agg(
         F.avg("_lon").alias("lon"), F.avg("_lat").alias("lat"), F.count(F.lit(1)).alias("n_crashes"),
         *feature_aggregates(feature_years, block_m),
-        F.coalesce(F.sum(F.when(_YEAR.between(*target_years), F.col("_ksi"))), F.lit(0).cast("long")).alias("ksi_target"),
+        F.coalesce(F.sum(F.when(_year().between(*target_years), F.col("_ksi"))), F.lit(0).cast("long")).alias("ksi_target"),
     )
     # no crash in the feature window: the inputs are unknown, not zero
     unknown = ("f_start_m", "f_position_share", "f_stretch_m", "f_year1", "f_year2", "f_year3", "f_crashes")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_root: dict[str, str] = {}
@@ -37,20 +37,20 @@ class Scratch:
         self.folder = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def keep(self, df: DataFrame, tag: str = "t", **metrics: Column) -> tuple[DataFrame, dict]:
-        """Write ``df``, read it back; ``metrics`` are aggregates observed during the write."""
+    def table(self, df: DataFrame, tag: str = "t") -> DataFrame:
+        """Write ``df`` and read it back."""
         path = f"{self.folder}/{self._n:04d}-{tag}"
         self._n += 1
-        observed = Observation()
-        metrics = {"rows": F.count(F.lit(1)), **metrics}
-        out = df.observe(observed, *[c.alias(k) for k, c in metrics.items()])
-        out.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
-        return back, observed.get
+        return back
 
-    def table(self, df: DataFrame, tag: str = "t") -> DataFrame:
-        return self.keep(df, tag)[0]
+    def keep(self, df: DataFrame, tag: str = "t", **metrics: Column) -> tuple[DataFrame, dict]:
+        """``table`` plus the row count and other aggregates of the written table."""
+        back = self.table(df, tag)
+        found = back.agg(F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]).first()
+        return back, found.asDict()
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables this object wrote, once nothing reads them any more."""

@@ -52,12 +52,12 @@ IMPACTS = ["front", "back", "left", "right", "none"]
 
 # Every customer asks for a journey beside one road: three candidates 20, 45 and 80 m east of it.
 ROUTE_ENDS = """
-SELECT request_id, candidate,
+SELECT request_id, CAST(candidate AS INT) AS candidate,
        -4e0 + (request_id % 40) * 1e-1
          + CASE candidate WHEN 1 THEN 20e0 WHEN 2 THEN 45e0 ELSE 80e0 END / (6371008.8e0 * pi() / 180e0 * cos(radians(50e0))) AS lon,
        50e0 + ((request_id * 37) % 15000) * 180e0 / (pi() * 6371008.8e0) AS lat0,
        50e0 + ((request_id * 37) % 15000 + 5000) * 180e0 / (pi() * 6371008.8e0) AS lat1
-FROM (SELECT c_custkey AS request_id, CAST(EACH_1_TO_3 AS INT) AS candidate FROM {customer}) c
+FROM (SELECT c_custkey AS request_id, EACH_1_TO_3 AS candidate FROM {customer}) c
 """
 
 MANIFEST = """
