@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from kerbline.functions.geo import METRES_PER_DEGREE, haversine_m
 from kerbline.scratch import Scratch
 
-SPLIT = 4  # ratio of successive radii and of successive block sides
-OPEN_PAIRS = 4096  # block pairs with at most this many position pairs are opened
-FIRST_CELL_MAX = 48  # largest cell the first radius may have
-FIRST_PAIRS_PER_POINT = 6.0
+SPLIT = 4  # step between candidate radii and between successive block sides
+OPEN_PAIRS = 1024  # block pairs with at most this many position pairs are opened
+CELL_MAX = 48  # most components a cell may hold at the chosen radius
+PAIRS_PER_COMPONENT = 12.0  # and most pairs of components within cells, per component listed
+FEW_PAIRS = 20_000  # a total that needs no closer look
+MIN_RADIUS_M = 0.001
 FINISH_LINKS = 100_000  # link tables up to this size are solved in one task
 HOPS = 6  # steps towards the root per job
 COORD_DECIMALS = 9  # positions equal to 0.1 mm are one position
@@ -71,32 +73,26 @@ class _Grid:
         return F.floor(F.col("lon") / dlon).alias("cx"), F.floor(F.col("lat") / dlat).alias("cy")
 
 
-def first_radius(pts: DataFrame, grid: _Grid, gap_m: float) -> float:
-    """Largest radius at which no cell, and not the total, gives too many pairs of positions."""
+def next_radius(pts: DataFrame, grid: _Grid, current: float, gap_m: float) -> float:
+    """Largest radius at which no cell, and not the total, gives too many pairs of components.
+
+    At the start every position is a component of its own. Later ones are few, so the radius can
+    often jump straight to the widest one.
+    """
     radii = [gap_m]
-    while radii[-1] > 0.001:
+    while radii[-1] / SPLIT > max(current * 1.001, MIN_RADIUS_M):
         radii.append(radii[-1] / SPLIT)
-    # nested cells: the finest counts are rolled up, so the positions are read once
-    dlon, dlat = grid.steps(radii[-1])
-    fine = pts.groupBy("road_number", F.floor(F.col("lon") / dlon).alias("cx"), F.floor(F.col("lat") / dlat).alias("cy")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    up = [
-        F.struct(F.lit(i).alias("i"), F.floor(F.col("cx") / SPLIT ** (len(radii) - 1 - i)).alias("x"), F.floor(F.col("cy") / SPLIT ** (len(radii) - 1 - i)).alias("y"))
-        for i in range(len(radii))
-    ]
-    cells = fine.select("road_number", "n", F.explode(F.array(*up)).alias("c")).groupBy("road_number", "c").agg(F.sum("n").alias("n"))
-    stats = {
-        r["i"]: r
-        for r in cells.groupBy(F.col("c.i").alias("i"))
-        .agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-        .collect()
-    }
-    for i, r in enumerate(radii):
-        s = stats.get(i)
-        if s is None or (s["top"] <= FIRST_CELL_MAX and s["sq"] <= FIRST_PAIRS_PER_POINT * s["n"]):
-            return r
-    return radii[-1]
+    if len(radii) == 1:
+        return gap_m
+    # cells are nested: components are listed per finest cell, then rolled up
+    cx, cy = grid.cell(radii[-1])
+    fine = pts.select("road_number", cx, cy, "comp").distinct()
+    up = [f"struct({i} as i, floor(cx / {SPLIT**k}) as x, floor(cy / {SPLIT**k}) as y)" for i, k in enumerate(range(len(radii) - 1, -1, -1))]
+    listed = fine.select("road_number", "comp", F.explode(F.expr(f"array({', '.join(up)})")).alias("c")).distinct()
+    cells = listed.groupBy("road_number", "c").agg(F.count(F.lit(1)).alias("m"))
+    stats = cells.groupBy(F.col("c.i").alias("i")).agg(F.max("m").alias("top"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    fits = [r["i"] for r in stats.collect() if r["top"] <= CELL_MAX and r["pairs"] <= max(FEW_PAIRS, PAIRS_PER_COMPONENT * r["n"])]
+    return radii[min(fits)] if fits else radii[-1]
 
 
 _BOX = ["lo_lon", "hi_lon", "lo_lat", "hi_lat"]
@@ -346,9 +342,9 @@ def spanning_forest(pts: DataFrame, gap_m: float = 5000.0) -> tuple[DataFrame, D
     s = Scratch(spark, "forest")
     cur, m = s.keep(pts.withColumn("comp", F.col("pos_id")), "pts", top=F.max(F.abs("lat")))
     grid = _Grid(float(m["top"] or 0.0))
-    radius = first_radius(cur, grid, gap_m)
-    edges = []
-    while True:
+    radius, edges = 0.0, []
+    while radius < gap_m:
+        radius = next_radius(cur, grid, radius, gap_m)
         links, n = _candidates(cur, grid, radius, s)
         if n:
             forest, mapping = _merge(links, n, s)
@@ -357,9 +353,6 @@ def spanning_forest(pts: DataFrame, gap_m: float = 5000.0) -> tuple[DataFrame, D
             nxt = s.table(cur.join(up, "comp", "left").select(*pts.columns, F.coalesce("top", "comp").alias("comp")), "pts")
             s.drop(cur)
             cur = nxt
-        if radius >= gap_m:
-            break
-        radius = min(radius * SPLIT, gap_m)
     if not edges:
         empty = pts.select(F.lit(0.0).alias("w"), F.col("pos_id").alias("a"), F.col("pos_id").alias("b")).limit(0)
         return empty, cur
