@@ -35,30 +35,36 @@ def in_gb(lon, lat) -> Column:
     return _col(lon).between(*GB_LON) & _col(lat).between(*GB_LAT)
 
 
-def _leg_frame(plon, plat, alon, alat, blon, blat):
+def lon_scale(lat) -> Column:
+    """Metres per degree of longitude at a latitude; worth a column of its own before a join."""
+    return F.cos(F.radians(_col(lat))) * METRES_PER_DEGREE
+
+
+def _leg_frame(plon, plat, alon, alat, blon, blat, scale):
     """Vector from leg start to point and from leg start to leg end, in metres, in a flat frame.
 
     The scale is taken at the point, so cutting a leg into pieces changes no distance.
     """
     plon, plat, alon, alat, blon, blat = map(_col, (plon, plat, alon, alat, blon, blat))
-    kx = F.cos(F.radians(plat)) * METRES_PER_DEGREE
+    kx = lon_scale(plat) if scale is None else _col(scale)
     bx, by = (blon - alon) * kx, (blat - alat) * METRES_PER_DEGREE
     px, py = (plon - alon) * kx, (plat - alat) * METRES_PER_DEGREE
     return px, py, bx, by
 
 
-def leg_fraction(plon, plat, alon, alat, blon, blat) -> Column:
+def leg_fraction(plon, plat, alon, alat, blon, blat, scale=None) -> Column:
     """Where on the leg the nearest point lies, 0 to 1; 0 for a leg of no length."""
-    px, py, bx, by = _leg_frame(plon, plat, alon, alat, blon, blat)
-    t = (px * bx + py * by) / F.nullif(bx * bx + by * by, F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0))))
+    px, py, bx, by = _leg_frame(plon, plat, alon, alat, blon, blat, scale)
+    along, n = px * bx + py * by, bx * bx + by * by
+    return F.when(along <= 0, 0.0).when(along >= n, 1.0).otherwise(along / n)
 
 
-def point_leg_m(plon, plat, alon, alat, blon, blat) -> Column:
-    px, py, bx, by = _leg_frame(plon, plat, alon, alat, blon, blat)
-    t = leg_fraction(plon, plat, alon, alat, blon, blat)
-    dx, dy = px - t * bx, py - t * by
-    return F.sqrt(dx * dx + dy * dy)
+def point_leg_m(plon, plat, alon, alat, blon, blat, scale=None) -> Column:
+    """Distance from a point to a leg; cheap arithmetic only, as it is used as a join condition."""
+    px, py, bx, by = _leg_frame(plon, plat, alon, alat, blon, blat, scale)
+    along, n, cross = px * bx + py * by, bx * bx + by * by, px * by - py * bx
+    qx, qy = px - bx, py - by
+    return F.sqrt(F.when(along <= 0, px * px + py * py).when(along >= n, qx * qx + qy * qy).otherwise(cross * cross / n))
 
 
 def polyline_m(path) -> Column:

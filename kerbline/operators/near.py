@@ -1,31 +1,52 @@
-"""Pairs of positions of one road within a distance."""
+"""Grid cells, and pairs of positions of one road within a distance."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.geo import METRES_PER_DEGREE, haversine_m
 
-_HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]  # each pair of neighbouring cells once
+HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]  # each pair of neighbouring cells once
+
+
+class Grid:
+    """Grid steps in degrees for a cell side; longitude steps are wide enough at every latitude used."""
+
+    def __init__(self, max_abs_lat: float):
+        self.cos = math.cos(math.radians(min(max_abs_lat + 0.1, 89.9)))
+
+    def cell(self, side_m: float) -> tuple[Column, Column]:
+        # widened by 0.1 % against rounding
+        dlat = side_m * 1.001 / METRES_PER_DEGREE
+        return F.floor(F.col("lon") / (dlat / self.cos)).alias("cx"), F.floor(F.col("lat") / dlat).alias("cy")
+
+
+def grid_for(pts: DataFrame) -> Grid:
+    return Grid(float(pts.agg(F.max(F.abs("lat"))).first()[0] or 0.0))
+
+
+def forward_cells(df: DataFrame, x: str, y: str, out_x: str, out_y: str) -> DataFrame:
+    """One row per own and forward neighbouring cell; ``own`` marks the row's own cell."""
+    shifts = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in HALF])
+    return df.withColumn("_s", F.explode(shifts)).withColumns({
+        out_x: F.col(x) + F.col("_s.x"), out_y: F.col(y) + F.col("_s.y"), "own": F.expr("_s.x = 0 and _s.y = 0"),
+    }).drop("_s")
 
 
-def near_pairs(pts: DataFrame, radius_m: float, max_abs_lat: float = 62.0) -> DataFrame:
-    """Every pair (a < b) of distinct positions of a road at most ``radius_m`` apart, with ``w``.
+def near_pairs(pts: DataFrame, radius_m: float, grid: Grid | None = None) -> DataFrame:
+    """Every pair (a < b) of distinct positions of a road at most ``radius_m`` apart, with length ``w``.
 
-    Positions meet through an equi-join on grid cells; the result has as many rows as there are such
-    pairs, so the radius has to suit the density. The spanning forest does not use it.
+    Positions meet through an equi-join on grid cells. The result has one row per such pair, so the
+    radius has to suit the density; the spanning forest takes one that keeps every cell small.
     """
-    dlat = radius_m * 1.001 / METRES_PER_DEGREE
-    dlon = dlat / F.cos(F.radians(F.lit(max_abs_lat)))
-    cells = pts.where(F.abs("lat") <= max_abs_lat).select(
-        "road_number", "pos_id", "lon", "lat", F.floor(F.col("lon") / dlon).alias("cx"), F.floor(F.col("lat") / dlat).alias("cy")
-    )
-    shifts = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _HALF])
-    left = cells.select("road_number", F.col("pos_id").alias("i"), F.col("lon").alias("xi"), F.col("lat").alias("yi"), "cx", "cy", F.explode(shifts).alias("s"))
-    left = left.select("road_number", "i", "xi", "yi", (F.col("cx") + F.col("s.x")).alias("cx"), (F.col("cy") + F.col("s.y")).alias("cy"), "s")
+    cx, cy = (grid or grid_for(pts)).cell(radius_m)
+    cells = pts.select("road_number", "pos_id", "lon", "lat", cx, cy)
+    left = cells.select("road_number", F.col("pos_id").alias("i"), F.col("lon").alias("xi"), F.col("lat").alias("yi"), F.col("cx").alias("x0"), F.col("cy").alias("y0"))
+    left = forward_cells(left, "x0", "y0", "cx", "cy").drop("x0", "y0")
     right = cells.select("road_number", F.col("pos_id").alias("j"), F.col("lon").alias("xj"), F.col("lat").alias("yj"), "cx", "cy")
-    own = (F.col("s.x") == 0) & (F.col("s.y") == 0)
-    p = left.join(right, ["road_number", "cx", "cy"]).where(~own | (F.col("i") < F.col("j")))
+    p = left.join(right, ["road_number", "cx", "cy"]).where(~F.col("own") | (F.col("i") < F.col("j")))
     p = p.withColumn("w", haversine_m("xi", "yi", "xj", "yj")).where(F.round("w", 3) <= radius_m)
     return p.select("road_number", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "w")

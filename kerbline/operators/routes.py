@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.functions.geo import METRES_PER_DEGREE, haversine_m, in_gb, leg_fraction, point_leg_m
+from kerbline.functions.geo import METRES_PER_DEGREE, haversine_m, in_gb, leg_fraction, lon_scale, point_leg_m
 from kerbline.operators.filters import evidenced, validate
 from kerbline.operators.running import CHUNK_ROWS, running
 
@@ -84,7 +84,7 @@ def _cover(df: DataFrame, lons: list[str], lats: list[str], reach_m: float) -> D
 
 
 def _cell(df: DataFrame) -> DataFrame:
-    return df.withColumn("cx", F.floor(F.col("lon") / _DLON)).withColumn("cy", F.floor(F.col("lat") / _DLAT))
+    return df.withColumns({"cx": F.floor(F.col("lon") / _DLON), "cy": F.floor(F.col("lat") / _DLAT), "scale": lon_scale("lat")})
 
 
 def corridor_join(routes: DataFrame, segments: DataFrame, corridor_m: float = 50.0) -> DataFrame:
@@ -96,7 +96,7 @@ def corridor_join(routes: DataFrame, segments: DataFrame, corridor_m: float = 50
     validate(corridor_m=corridor_m)
     pieces = _cover(route_pieces(routes), ["alon", "blon"], ["alat", "blat"], corridor_m)
     segs = _cell(segments.select("segment_id", "score", "lon", "lat"))
-    frame = ("lon", "lat", "alon", "alat", "blon", "blat")
+    frame = ("lon", "lat", "alon", "alat", "blon", "blat", "scale")
     j = pieces.join(segs, ["cx", "cy"]).withColumn("distance_m", point_leg_m(*frame)).where(F.col("distance_m") <= corridor_m)
     near = F.struct("distance_m", (F.col("offset_m") + F.col("piece_m") * leg_fraction(*frame)).alias("position_m"))
     return (
@@ -158,7 +158,7 @@ def coverage(routes: DataFrame, segments: DataFrame, share: float = 0.5) -> Data
     segs = _cell(segments.select("lon", "lat"))
     near = (
         _cover(at, ["slon"], ["slat"], COVER_M).join(segs, ["cx", "cy"])
-        .where(point_leg_m("lon", "lat", "slon", "slat", "slon", "slat") <= COVER_M)
+        .where(point_leg_m("lon", "lat", "slon", "slat", "slon", "slat", "scale") <= COVER_M)
         .groupBy(*_KEY, "sample").agg(F.lit(1).alias("one"))
         .groupBy(*_KEY).agg(F.count(F.lit(1)).alias("covered"))
     )

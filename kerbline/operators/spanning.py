@@ -16,7 +16,6 @@ Links are ordered by (length, smaller id, larger id), so the forest is unique an
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.geo import METRES_PER_DEGREE, haversine_m
+from kerbline.operators.near import Grid, forward_cells, near_pairs
 from kerbline.scratch import Scratch
 
 SPLIT = 4  # step between candidate radii and between successive block sides
@@ -57,23 +57,7 @@ def positions(crashes: DataFrame) -> DataFrame:
     )
 
 
-class _Grid:
-    """Grid steps in degrees for a radius; longitude steps are wide enough at every latitude used."""
-
-    def __init__(self, max_abs_lat: float):
-        # positions up to 89.9 degrees; the step is widened by 0.1 % against rounding
-        self.cos = math.cos(math.radians(min(max_abs_lat + 0.1, 89.9)))
-
-    def steps(self, side_m: float) -> tuple[float, float]:
-        dlat = side_m * 1.001 / METRES_PER_DEGREE
-        return dlat / self.cos, dlat
-
-    def cell(self, side_m: float) -> tuple[Column, Column]:
-        dlon, dlat = self.steps(side_m)
-        return F.floor(F.col("lon") / dlon).alias("cx"), F.floor(F.col("lat") / dlat).alias("cy")
-
-
-def next_radius(pts: DataFrame, grid: _Grid, current: float, gap_m: float) -> float:
+def next_radius(pts: DataFrame, grid: Grid, current: float, gap_m: float) -> float:
     """Largest radius at which no cell, and not the total, gives too many pairs of components.
 
     At the start every position is a component of its own. Later ones are few, so the radius can
@@ -95,19 +79,27 @@ def next_radius(pts: DataFrame, grid: _Grid, current: float, gap_m: float) -> fl
     return radii[min(fits)] if fits else radii[-1]
 
 
-_BOX = ["lo_lon", "hi_lon", "lo_lat", "hi_lat"]
+_BOX = ["lo_lon", "hi_lon", "lo_lat", "hi_lat", "cos_lo", "cos_hi"]
+
 
+def _summary() -> list[Column]:
+    """Size, one member and tight box of a block, with the range of cosines over the box.
 
-def _blocks(pts: DataFrame, grid: _Grid, side_m: float) -> DataFrame:
+    The cosines are worked out here, once per block, because the bounds that use them become join
+    conditions, which are evaluated for every pair.
+    """
+    lo, hi = F.min("lat"), F.max("lat")
+    far, near = F.greatest(F.abs(lo), F.abs(hi)), F.when((lo <= 0) & (hi >= 0), 0.0).otherwise(F.least(F.abs(lo), F.abs(hi)))
+    return [
+        F.count(F.lit(1)).alias("n"), F.min("pos_id").alias("one"),
+        F.min("lon").alias("lo_lon"), F.max("lon").alias("hi_lon"), lo.alias("lo_lat"), hi.alias("hi_lat"),
+        F.cos(F.radians(far)).alias("cos_lo"), F.cos(F.radians(near)).alias("cos_hi"),
+    ]
+
+
+def _blocks(pts: DataFrame, grid: Grid, side_m: float) -> DataFrame:
     cx, cy = grid.cell(side_m)
-    return pts.groupBy("road_number", cx, cy, "comp").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("pos_id").alias("one"),
-        F.min("lon").alias("lo_lon"),
-        F.max("lon").alias("hi_lon"),
-        F.min("lat").alias("lo_lat"),
-        F.max("lat").alias("hi_lat"),
-    )
+    return pts.groupBy("road_number", cx, cy, "comp").agg(*_summary())
 
 
 def _side(name: str, extra: list[str]) -> list[Column]:
@@ -116,76 +108,67 @@ def _side(name: str, extra: list[str]) -> list[Column]:
 
 def _bounds(p: DataFrame) -> DataFrame:
     """Lower and upper bounds on the distance between any position of box a and any of box b."""
+    near = "greatest(0D, lo_{0}_a - hi_{0}_b, lo_{0}_b - hi_{0}_a) * {1}"
+    far = "(greatest(hi_{0}_a, hi_{0}_b) - least(lo_{0}_a, lo_{0}_b)) * {1}"
+    # over the latitudes between two boxes the cosine can exceed both only across the equator
+    top = "if(least(lo_lat_a, lo_lat_b) <= 0 and greatest(hi_lat_a, hi_lat_b) >= 0, 1D, greatest(cos_hi_a, cos_hi_b))"
+    low = "least(cos_lo_a, cos_lo_b)"
     k = METRES_PER_DEGREE
-    gap_lon = F.greatest(F.lit(0.0), F.col("lo_lon_a") - F.col("hi_lon_b"), F.col("lo_lon_b") - F.col("hi_lon_a"))
-    gap_lat = F.greatest(F.lit(0.0), F.col("lo_lat_a") - F.col("hi_lat_b"), F.col("lo_lat_b") - F.col("hi_lat_a"))
-    span_lon = F.greatest("hi_lon_a", "hi_lon_b") - F.least("lo_lon_a", "lo_lon_b")
-    span_lat = F.greatest("hi_lat_a", "hi_lat_b") - F.least("lo_lat_a", "lo_lat_b")
-    top = F.greatest(F.abs("lo_lat_a"), F.abs("hi_lat_a"), F.abs("lo_lat_b"), F.abs("hi_lat_b"))
-    low = F.least(F.abs("lo_lat_a"), F.abs("hi_lat_a"), F.abs("lo_lat_b"), F.abs("hi_lat_b"))
-    low = F.when((F.least("lo_lat_a", "lo_lat_b") <= 0) & (F.greatest("hi_lat_a", "hi_lat_b") >= 0), F.lit(0.0)).otherwise(low)
-    near_x, near_y = gap_lon * F.cos(F.radians(top)) * k, gap_lat * k
-    far_x, far_y = span_lon * F.cos(F.radians(low)) * k, span_lat * k
-    return p.withColumn("lower", F.sqrt(near_x * near_x + near_y * near_y) * 0.999 - 1e-6).withColumn(
-        "upper", F.sqrt(far_x * far_x + far_y * far_y) * 1.001 + 1e-6
-    )
+    p = p.withColumns({
+        "near_x": F.expr(near.format("lon", low)) * k, "near_y": F.expr(near.format("lat", "1D")) * k,
+        "far_x": F.expr(far.format("lon", top)) * k, "far_y": F.expr(far.format("lat", "1D")) * k,
+    })
+    return p.withColumns({
+        "lower": F.expr("sqrt(near_x * near_x + near_y * near_y) * 0.999D - 1e-6D"),
+        "upper": F.expr("sqrt(far_x * far_x + far_y * far_y) * 1.001D + 1e-6D"),
+    }).drop("near_x", "near_y", "far_x", "far_y")
 
 
-def _prune(pairs: DataFrame, radius: float) -> DataFrame:
+def _prune(p: DataFrame) -> DataFrame:
     """Drop block pairs that cannot hold the shortest link of their two components."""
-    p = _bounds(pairs).where(F.col("lower") <= radius)
-    if "best" in p.columns:
-        p = p.where(F.col("lower") <= F.col("best")).drop("best")
-    key = [F.least("comp_a", "comp_b").alias("_p"), F.greatest("comp_a", "comp_b").alias("_q")]
-    best = p.groupBy(*key).agg(F.min("upper").alias("best"))
+    best = p.groupBy(F.least("comp_a", "comp_b").alias("_p"), F.greatest("comp_a", "comp_b").alias("_q")).agg(F.min("upper").alias("best"))
     cond = (F.least(p["comp_a"], p["comp_b"]) == best["_p"]) & (F.greatest(p["comp_a"], p["comp_b"]) == best["_q"])
     return p.join(best, cond).where(F.col("lower") <= F.col("best")).drop("_p", "_q", "lower", "upper")
 
 
-_HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]  # each pair of neighbouring cells once
-
-
 def _block_pairs(blocks: DataFrame) -> DataFrame:
-    shifts = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _HALF])
-    a = blocks.select("road_number", *_side("a", []), F.explode(shifts).alias("s")).select(
-        "*", (F.col("cx_a") + F.col("s.x")).alias("cx_b"), (F.col("cy_a") + F.col("s.y")).alias("cy_b")
-    )
+    a = forward_cells(blocks.select("road_number", *_side("a", [])), "cx_a", "cy_a", "cx_b", "cy_b")
     b = blocks.select("road_number", *_side("b", []))
-    own = (F.col("s.x") == 0) & (F.col("s.y") == 0)
-    return (
-        a.join(b, ["road_number", "cx_b", "cy_b"])
-        .where(F.when(own, F.col("comp_a") < F.col("comp_b")).otherwise(F.col("comp_a") != F.col("comp_b")))
-        .drop("s")
-    )
+    other = F.when(F.col("own"), F.col("comp_a") < F.col("comp_b")).otherwise(F.col("comp_a") != F.col("comp_b"))
+    return a.join(b, ["road_number", "cx_b", "cy_b"]).where(other).drop("own")
 
 
 def _links(p: DataFrame) -> DataFrame:
-    """Shortest link per component pair; ``p`` has ida, lona, lata, idb, lonb, latb and components."""
-    flip = F.col("ida") > F.col("idb")
-    pick = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
-    w = haversine_m(pick("lona", "lonb"), pick("lata", "latb"), pick("lonb", "lona"), pick("latb", "lata"))
+    """Links of position pairs; ``p`` has ida, lona, lata, idb, lonb, latb and components."""
     return p.select(
         F.least("comp_a", "comp_b").alias("ca"),
         F.greatest("comp_a", "comp_b").alias("cb"),
-        F.struct(w.alias("w"), F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).alias("link"),
+        F.struct(
+            haversine_m("lona", "lata", "lonb", "latb").alias("w"), F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")
+        ).alias("link"),
     )
 
 
-def _candidates(pts: DataFrame, grid: _Grid, radius: float, s: Scratch) -> tuple[DataFrame, int]:
+def _first_links(pts: DataFrame, grid: Grid, radius: float, s: Scratch) -> tuple[DataFrame, int]:
+    """At the start every position is its own component and the cells are small: links are pairs."""
+    p = near_pairs(pts, radius, grid)
+    kept, m = s.keep(p.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "a", "b"), "links")
+    return kept, m["rows"]
+
+
+def _candidates(pts: DataFrame, grid: Grid, radius: float, s: Scratch) -> tuple[DataFrame, int]:
     """One link per pair of components at most ``radius`` apart: the shortest."""
-    pairs, m = s.keep(
-        _prune(_block_pairs(_blocks(pts, grid, radius)), radius),
-        "pairs",
-        heavy=F.count_if(F.col("n_a") * F.col("n_b") > OPEN_PAIRS),
-        opened=F.count_if((F.col("n_a") * F.col("n_b") > 1) & (F.col("n_a") * F.col("n_b") <= OPEN_PAIRS)),
-    )
+    size = F.col("n_a") * F.col("n_b")
+    sizes = {"heavy": F.count_if(size > OPEN_PAIRS), "opened": F.count_if((size > 1) & (size <= OPEN_PAIRS))}
+    met = s.table(_bounds(_block_pairs(_blocks(pts, grid, radius))).where(F.col("lower") <= radius), "met")
+    pairs, m = s.keep(_prune(met), "pairs", **sizes)
+    s.drop(met)
     if not m["rows"]:
         s.drop(pairs)
         return pairs, 0
     found, used = [], [pairs]
     side = radius
     while True:
-        size = F.col("n_a") * F.col("n_b")
         single = pairs.where(size == 1).select(
             "comp_a", "comp_b",
             F.col("one_a").alias("ida"), F.col("lo_lon_a").alias("lona"), F.col("lo_lat_a").alias("lata"),
@@ -214,12 +197,8 @@ def _candidates(pts: DataFrame, grid: _Grid, radius: float, s: Scratch) -> tuple
         parts = (
             pts.select("road_number", cx, cy, "comp", "pos_id", "lon", "lat", fx.alias("fx"), fy.alias("fy"))
             .groupBy("road_number", "cx", "cy", "comp", "fx", "fy")
-            .agg(
-                F.count(F.lit(1)).alias("n"), F.min("pos_id").alias("one"),
-                F.min("lon").alias("lo_lon"), F.max("lon").alias("hi_lon"),
-                F.min("lat").alias("lo_lat"), F.max("lat").alias("hi_lat"),
-            )
-        )
+            .agg(*_summary())
+        )
         p = heavy.select("road_number", "cx_a", "cy_a", "comp_a", "cx_b", "cy_b", "comp_b", "best")
         for e in ("a", "b"):
             q = parts.select(
@@ -231,20 +210,18 @@ def _candidates(pts: DataFrame, grid: _Grid, radius: float, s: Scratch) -> tuple
         for e in ("a", "b"):
             p = p.drop(f"cx_{e}", f"cy_{e}").withColumnRenamed(f"fx_{e}", f"cx_{e}").withColumnRenamed(f"fy_{e}", f"cy_{e}")
         side = fine_side
-        pairs, m = s.keep(
-            _prune(p, radius),
-            "pairs",
-            heavy=F.count_if(F.col("n_a") * F.col("n_b") > OPEN_PAIRS),
-            opened=F.count_if((F.col("n_a") * F.col("n_b") > 1) & (F.col("n_a") * F.col("n_b") <= OPEN_PAIRS)),
-        )
+        met = s.table(_bounds(p).where((F.col("lower") <= radius) & (F.col("lower") <= F.col("best"))).drop("best"), "met")
+        pairs, m = s.keep(_prune(met), "pairs", **sizes)
+        s.drop(met)
         used.append(pairs)
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)
+    # the radius is checked on the shortest link only, not inside the joins for every pair
     links = (
-        links.where(F.round("link.w", 3) <= radius)
-        .groupBy("ca", "cb")
+        links.groupBy("ca", "cb")
         .agg(F.min("link").alias("link"))
+        .where(F.round("link.w", 3) <= radius)
         .select("ca", "cb", "link.w", "link.a", "link.b")
     )
     kept, lm = s.keep(links, "links")
@@ -341,11 +318,12 @@ def spanning_forest(pts: DataFrame, gap_m: float = 5000.0) -> tuple[DataFrame, D
     spark = pts.sparkSession
     s = Scratch(spark, "forest")
     cur, m = s.keep(pts.withColumn("comp", F.col("pos_id")), "pts", top=F.max(F.abs("lat")))
-    grid = _Grid(float(m["top"] or 0.0))
-    radius, edges = 0.0, []
+    grid = Grid(float(m["top"] or 0.0))
+    radius, started, edges = 0.0, False, []
     while radius < gap_m:
         radius = next_radius(cur, grid, radius, gap_m)
-        links, n = _candidates(cur, grid, radius, s)
+        links, n = (_candidates if started else _first_links)(cur, grid, radius, s)
+        started = True
         if n:
             forest, mapping = _merge(links, n, s)
             edges.append(forest)
