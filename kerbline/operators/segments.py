@@ -62,16 +62,32 @@ def f_history(years: tuple[int, int]):
 
 
 def f_speed():
-    # ties of the mode go to the smallest value; it counts the few distinct limits of one segment
-    return [F.mode("speed_limit", True).alias("f_speed_mode"), F.avg("speed_limit").alias("f_speed_mean")]
+    return [F.avg("speed_limit").alias("f_speed_mean")]
 
 
 def f_road_junction():
-    return [
-        F.mode("road_type", True).alias("f_road_type"),
-        F.mode("junction_type", True).alias("f_junction_type"),
-        _share(F.col("junction_type") != "none").alias("f_junction_share"),
-    ]
+    return [_share(F.col("junction_type") != "none").alias("f_junction_share")]
+
+
+DOMINANT = {"f_speed_mode": "speed_limit", "f_road_type": "road_type", "f_junction_type": "junction_type"}
+
+
+def dominant(w: DataFrame, *names: str) -> DataFrame:
+    """Most frequent value per segment, ties to the smallest value.
+
+    Crashes are first counted per combination of values, with map-side combining; the modes are then
+    taken from those few rows. The ``mode`` aggregate would keep a map per segment and fall back to
+    sorting all crashes once a task meets more than a handful of segments.
+    """
+    counts = w.where(F.col("_in").isNotNull()).groupBy("segment_id", *DOMINANT.values()).agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for name in names or DOMINANT:
+        value = DOMINANT[name]
+        n = counts.where(F.col(value).isNotNull()).groupBy("segment_id", value).agg(F.sum("n").alias("n"))
+        best = n.groupBy("segment_id").agg(F.min(F.struct((-F.col("n")).alias("o"), F.col(value).alias("v"))).alias("m"))
+        best = best.select("segment_id", F.col("m.v").alias(name))
+        out = best if out is None else out.join(best, "segment_id", "full")
+    return out
 
 
 def f_environment():
@@ -108,9 +124,10 @@ def feature_aggregates(years: tuple[int, int], block_m: int = 500):
 
 
 def features(assigned: DataFrame, years: tuple[int, int], block_m: int = 500) -> DataFrame:
-    """All 24 inputs in one aggregation over the feature years."""
+    """All 24 inputs over the feature years."""
     w = in_window(assigned, years)
-    return w.groupBy("segment_id").agg(*feature_aggregates(years, block_m)).select("segment_id", *FEATURE_NAMES)
+    numbers = w.groupBy("segment_id").agg(*feature_aggregates(years, block_m))
+    return numbers.join(dominant(w), "segment_id", "left").select("segment_id", *FEATURE_NAMES)
 
 
 def segment_target(assigned: DataFrame, years: tuple[int, int]) -> DataFrame:
@@ -130,10 +147,10 @@ def features_target(f: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def segment_table(assigned: DataFrame, feature_years: tuple[int, int], target_years: tuple[int, int], block_m: int = 500) -> DataFrame:
-    """Segments, features and target from one pass and one shuffle over the assigned crashes.
+    """Segments, features and target from one aggregation, plus one for the dominant values.
 
-    The feature and target windows are conditions inside the aggregates: the three separate
-    aggregations would each shuffle the same crashes by the same key.
+    The feature and target windows are conditions inside the aggregates: separate aggregations would
+    each shuffle the same crashes by the same key.
     """
     in_f = _year().between(*feature_years)
     cols = ["ksi", "n_fatal", "n_serious", "n_slight", "n_casualties", "n_vehicles", "speed_limit", "road_type",
@@ -152,4 +169,5 @@ def segment_table(assigned: DataFrame, feature_years: tuple[int, int], target_ye
     unknown = ("f_start_m", "f_position_share", "f_stretch_m", "f_year1", "f_year2", "f_year3", "f_crashes")
     for c in unknown:
         out = out.withColumn(c, F.when(F.col("f_crashes") > 0, F.col(c)))
+    out = out.join(dominant(w), "segment_id", "left")
     return out.select("segment_id", "road_number", "run", "km", "lon", "lat", "n_crashes", *FEATURE_NAMES, "ksi_target")

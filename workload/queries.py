@@ -195,8 +195,10 @@ def n_crashes(spark, sf):
     return rounded(sg.n_crashes(t.placed(spark, sf).crashes).select("segment_id", "n_crashes", "lon", "lat"), lon=7, lat=7)
 
 
-def _family(spark, sf, aggs) -> DataFrame:
-    return sg.in_window(t.placed(spark, sf).crashes, views.FEATURE_YEARS).groupBy("segment_id").agg(*aggs)
+def _family(spark, sf, aggs, *modes: str) -> DataFrame:
+    w = sg.in_window(t.placed(spark, sf).crashes, views.FEATURE_YEARS)
+    out = w.groupBy("segment_id").agg(*aggs)
+    return out.join(sg.dominant(w, *modes), "segment_id", "left") if modes else out
 
 
 @query
@@ -206,12 +208,12 @@ def f_history(spark, sf):
 
 @query
 def f_speed(spark, sf):
-    return rounded(_family(spark, sf, sg.f_speed()), f_speed_mean=6)
+    return rounded(_family(spark, sf, sg.f_speed(), "f_speed_mode"), f_speed_mean=6)
 
 
 @query
 def f_category(spark, sf):
-    return rounded(_family(spark, sf, sg.f_road_junction()), f_junction_share=6)
+    return rounded(_family(spark, sf, sg.f_road_junction(), "f_road_type", "f_junction_type"), f_junction_share=6)
 
 
 @query
