@@ -87,14 +87,16 @@ def _cell(df: DataFrame) -> DataFrame:
     return df.withColumns({"cx": F.floor(F.col("lon") / _DLON), "cy": F.floor(F.col("lat") / _DLAT), "scale": lon_scale("lat")})
 
 
-def corridor_join(routes: DataFrame, segments: DataFrame, corridor_m: float = 50.0) -> DataFrame:
+def corridor_join(routes: DataFrame, segments: DataFrame, corridor_m: float = 50.0, pieces: DataFrame | None = None) -> DataFrame:
     """Segments whose centre lies within the corridor of a route, once per route.
 
+    ``pieces`` may pass on ``route_pieces(routes)`` where it is at hand already.
+
     ``distance_m`` is to the nearest piece and ``position_m`` the distance travelled to that point.
     The segment table is broadcast only if Spark finds it below the session's broadcast threshold.
     """
     validate(corridor_m=corridor_m)
-    pieces = _cover(route_pieces(routes), ["alon", "blon"], ["alat", "blat"], corridor_m)
+    pieces = _cover(route_pieces(routes) if pieces is None else pieces, ["alon", "blon"], ["alat", "blat"], corridor_m)
     segs = _cell(segments.select("segment_id", "score", "lon", "lat"))
     frame = ("lon", "lat", "alon", "alat", "blon", "blat", "scale")
     j = pieces.join(segs, ["cx", "cy"]).withColumn("distance_m", point_leg_m(*frame)).where(F.col("distance_m") <= corridor_m)
@@ -134,18 +136,22 @@ def route_totals(routes: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def label_routes(df: DataFrame) -> DataFrame:
-    """Name the fastest and the safest of at most three candidates; ties by candidate number."""
-    best = lambda c: F.min(F.struct(c, "candidate")).over(Window.partitionBy("request_id"))["candidate"]
+    """Name the fastest and the safest of at most three candidates; ties by candidate number.
+
+    With a ``status`` column, only routes that are ok compete and get a label.
+    """
+    ok = F.col("status") == "ok" if "status" in df.columns else F.lit(True)
+    best = lambda c: F.min(F.when(ok, F.struct(c, "candidate"))).over(Window.partitionBy("request_id"))["candidate"]
     fastest, safest = F.col("candidate") == best("duration_s"), F.col("candidate") == best("expected_ksi")
     label = (
-        F.when(fastest & safest, "Fastest and safest").when(fastest, "Fastest").when(safest, "Safest").otherwise("Alternative")
+        F.when(~ok, None).when(fastest & safest, "Fastest and safest").when(fastest, "Fastest").when(safest, "Safest").otherwise("Alternative")
     )
     return df.withColumn("label", label)
 
 
-def coverage(routes: DataFrame, segments: DataFrame, share: float = 0.5) -> DataFrame:
+def coverage(routes: DataFrame, segments: DataFrame, share: float = 0.5, pieces: DataFrame | None = None) -> DataFrame:
     """Per route: samples every 500 m, how many lie near any segment, and a warning if few do."""
-    pieces = route_pieces(routes)
+    pieces = route_pieces(routes) if pieces is None else pieces
     lo, hi = F.ceil(F.round(F.col("offset_m") / SAMPLE_M, 9)), F.ceil(F.round((F.col("offset_m") + F.col("piece_m")) / SAMPLE_M, 9)) - 1
     at = pieces.where(hi >= lo).withColumn("sample", F.explode(F.sequence(lo, hi)))
     t = (F.col("sample") * SAMPLE_M - F.col("offset_m")) / F.col("piece_m")
@@ -154,18 +160,15 @@ def coverage(routes: DataFrame, segments: DataFrame, share: float = 0.5) -> Data
         (F.col("alon") + (F.col("blon") - F.col("alon")) * t).alias("slon"),
         (F.col("alat") + (F.col("blat") - F.col("alat")) * t).alias("slat"),
     )
-    total = at.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("samples"))
+    cells = _cover(at, ["slon"], ["slat"], COVER_M)
     segs = _cell(segments.select("lon", "lat"))
-    near = (
-        _cover(at, ["slon"], ["slat"], COVER_M).join(segs, ["cx", "cy"])
-        .where(point_leg_m("lon", "lat", "slon", "slat", "slon", "slat", "scale") <= COVER_M)
-        .groupBy(*_KEY, "sample").agg(F.lit(1).alias("one"))
-        .groupBy(*_KEY).agg(F.count(F.lit(1)).alias("covered"))
-    )
-    c = total.join(near, _KEY, "left").withColumn("covered", F.coalesce("covered", F.lit(0).cast("long")))
+    close = point_leg_m("lon", "lat", "slon", "slat", "slon", "slat", "scale") <= COVER_M
+    met = cells.join(segs, (cells["cx"] == segs["cx"]) & (cells["cy"] == segs["cy"]) & close, "left")
+    hit = met.groupBy(*_KEY, "sample").agg(F.max(F.col("lon").isNotNull()).alias("hit"))
+    c = hit.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("samples"), F.count_if("hit").alias("covered"))
     few = F.col("covered") < share * F.col("samples")
     return c.withColumn("coverage_warning", F.when(few, "Few scored road segments near this route"))
 
 
-def match_routes(routes: DataFrame, segments: DataFrame, min_crashes: int = 6, corridor_m: float = 50.0) -> DataFrame:
-    return corridor_join(routes, evidenced(segments, min_crashes), corridor_m)
+def match_routes(routes: DataFrame, segments: DataFrame, min_crashes: int = 6, corridor_m: float = 50.0, pieces: DataFrame | None = None) -> DataFrame:
+    return corridor_join(routes, evidenced(segments, min_crashes), corridor_m, pieces)

@@ -83,8 +83,10 @@ def dominant(w: DataFrame, *names: str) -> DataFrame:
     out = None
     for name in names or DOMINANT:
         value = DOMINANT[name]
-        n = counts.where(F.col(value).isNotNull()).groupBy("segment_id", value).agg(F.sum("n").alias("n"))
-        best = n.groupBy("segment_id").agg(F.min(F.struct((-F.col("n")).alias("o"), F.col(value).alias("v"))).alias("m"))
+        # unknown values come last by order, not by a filter: the counts stay one shared exchange
+        n = counts.groupBy("segment_id", value).agg(F.sum("n").alias("n"))
+        order = F.struct(F.col(value).isNull().alias("unknown"), (-F.col("n")).alias("o"), F.col(value).alias("v"))
+        best = n.groupBy("segment_id").agg(F.min(order).alias("m"))
         best = best.select("segment_id", F.col("m.v").alias(name))
         out = best if out is None else out.join(best, "segment_id", "full")
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions.scale import Cutoffs
 from kerbline.operators import filters, ranks, routes as r
+from kerbline.scratch import Scratch
 
 
 def list_segments(segments: DataFrame, bbox: str | tuple | None = None, min_score: float = 0.0, min_crashes: int = 6, limit: int = 500) -> DataFrame:
@@ -26,14 +27,14 @@ def route_risk(routes: DataFrame, segments: DataFrame, min_crashes: int = 6, cor
     Requests without a drivable route stay in the result with their status and no label.
     """
     filters.validate(min_crashes=min_crashes, corridor_m=corridor_m)
-    chosen = r.limit_candidates(r.route_status(routes))
-    ok = chosen.where(F.col("status") == "ok")
-    narrow = chosen.drop("path")
-    totals = r.route_totals(narrow, r.match_routes(ok, segments, min_crashes, corridor_m))
-    cover = r.coverage(ok, segments).select("request_id", "candidate", "coverage_warning")
-    labels = r.label_routes(totals.where(F.col("status") == "ok").select("request_id", "candidate", "duration_s", "expected_ksi"))
-    keyed = ["request_id", "candidate"]
-    out = totals.join(labels.select(*keyed, "label"), keyed, "left").join(cover, keyed, "left")
+    s = Scratch(routes.sparkSession, "routes")
+    chosen = s.table(r.limit_candidates(r.route_status(routes)), "chosen")
+    ok, keyed = chosen.where(F.col("status") == "ok"), ["request_id", "candidate"]
+    # both the corridor and the coverage start from the pieces
+    pieces = s.table(r.route_pieces(ok), "pieces")
+    totals = r.route_totals(chosen.drop("path"), r.match_routes(ok, segments, min_crashes, corridor_m, pieces))
+    cover = r.coverage(ok, segments, pieces=pieces).select(*keyed, "coverage_warning")
+    out = r.label_routes(totals).join(cover, keyed, "left")
     return out.select(
         *keyed, "status", "label", "distance_m", "duration_s", "expected_ksi", "blackspot_count",
         "worst_segment_id", "blackspots", "coverage_warning",
