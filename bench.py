@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SLOW_MODELS = {"ablation", "protocol", "stats"}  # repeats of fits that other entries time
+SLOW_MODELS = {"ablation", "protocol", "stats", "scored_check", "shap_check", "poisson_check"}  # repeats of fits that other entries time
 
 
 def main() -> None:

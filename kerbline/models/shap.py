@@ -25,8 +25,32 @@ from kerbline.scratch import Scratch
 @dataclass
 class Leaf:
     value: float
-    # input -> (low, high, share): the row follows the path if low < x <= high
-    path: dict[int, tuple[float, float, float]]
+    # input -> (condition, share of the training rows that met it on the way down)
+    path: dict[int, tuple[Condition, float]]
+
+
+@dataclass(frozen=True)
+class Condition:
+    """Values of one input that stay on the path: a range ``low < x <= high``, or a set of categories."""
+
+    low: float = -math.inf
+    high: float = math.inf
+    categories: frozenset[float] | None = None
+
+    def met(self, x: np.ndarray) -> np.ndarray:
+        if self.categories is not None:
+            return np.isin(x, list(self.categories))
+        return (x > self.low) & (x <= self.high)
+
+
+def _children(split, parent: Condition) -> tuple[Condition, Condition]:
+    """Conditions of the left and right child; ``numCategories`` is -1 for a numeric input."""
+    values = split["leftCategoriesOrThreshold"]
+    if split["numCategories"] < 0:
+        return Condition(parent.low, min(parent.high, values[0])), Condition(max(parent.low, values[0]), parent.high)
+    allowed = parent.categories if parent.categories is not None else frozenset(map(float, range(split["numCategories"])))
+    left = frozenset(values)
+    return Condition(categories=allowed & left), Condition(categories=allowed - left)
 
 
 def read_leaves(model) -> list[Leaf]:
@@ -47,10 +71,10 @@ def read_leaves(model) -> list[Leaf]:
             if n["leftChild"] < 0:
                 leaves.append(Leaf(weight * n["prediction"], path_))
                 continue
-            f, cut = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
-            lo, hi, share = path_.get(f, (-math.inf, math.inf, 1.0))
-            for child, bounds in ((nodes[n["leftChild"]], (lo, min(hi, cut))), (nodes[n["rightChild"]], (max(lo, cut), hi))):
-                stack.append((child, {**path_, f: (*bounds, share * child["rawCount"] / n["rawCount"])}))
+            f = n["split"]["featureIndex"]
+            before, share = path_.get(f, (Condition(), 1.0))
+            for child, cond in zip((n["leftChild"], n["rightChild"]), _children(n["split"], before), strict=True):
+                stack.append((nodes[child], {**path_, f: (cond, share * nodes[child]["rawCount"] / n["rawCount"])}))
     return leaves
 
 
@@ -60,9 +84,9 @@ def leaf_contributions(leaves: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, f
     for leaf in leaves:
         inputs = list(leaf.path)
         m = len(inputs)
-        share = np.array([leaf.path[f][2] for f in inputs])
+        share = np.array([leaf.path[f][1] for f in inputs])
         base += leaf.value * float(np.prod(share))
-        on = np.stack([(x[:, f] > leaf.path[f][0]) & (x[:, f] <= leaf.path[f][1]) for f in inputs], 1).astype(float) if m else None
+        on = np.stack([leaf.path[f][0].met(x[:, f]) for f in inputs], 1).astype(float) if m else None
         for i, f in enumerate(inputs):
             # coefficient k: sum over k-subsets of the other inputs of known x unknown factors
             poly = [np.ones(len(x))]

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ def counts(spark):
         lam = math.exp(-0.5 + 1.5 * (x[0] > 0.5) + 0.4 * x[2])
         rows.append((f"k{i}", *map(float, x), int(np.random.default_rng(i).poisson(lam))))
     df = spark.createDataFrame(rows, "id string, a double, b double, c double, ksi_target int")
+    # c becomes a category, so both kinds of split occur
+    df = StringIndexer(inputCol="t", outputCol="x").fit(df := df.withColumn("t", F.col("c").cast("string"))).transform(df).drop("c", "t").withColumnRenamed("x", "c")
     return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).select("id", "features", "ksi_target").cache()
 
 
@@ -61,11 +63,12 @@ def test_shap_matches_the_definition(counts, model):
     """Average marginal contribution over all orders of the three inputs, on a few rows."""
     leaves = read_leaves(model.trees)
     x = np.array([r[0] for r in counts.select(vector_to_array("features")).limit(6).collect()])
+    assert {c.categories is None for leaf in leaves for c, _ in leaf.path.values()} == {True, False}
     phi, _ = leaf_contributions(leaves, x)
 
     def game(row, known):
         return sum(
-            leaf.value * math.prod((float(lo < row[f] <= hi) if f in known else share) for f, (lo, hi, share) in leaf.path.items()) for leaf in leaves
+            leaf.value * math.prod((float(cond.met(row[f])) if f in known else share) for f, (cond, share) in leaf.path.items()) for leaf in leaves
         )
 
     for i, row in enumerate(x):

@@ -67,8 +67,8 @@ _VIEWS = {
     "known": "SELECT * FROM seg WHERE f_crashes > 0",
     "cut": """SELECT quantile_cont(score, 0.5) AS elevated, quantile_cont(score, 0.8) AS severe, quantile_cont(score, 0.95) AS critical, max(score) AS top
         FROM seg WHERE n_crashes >= 6""",
-    "tiered": """SELECT seg.*, CASE WHEN score < elevated THEN 'Watch' WHEN score < severe THEN 'Elevated' WHEN score < critical THEN 'Severe' ELSE 'Critical' END AS tier,
-        CAST(CASE WHEN score < elevated THEN least(24, floor(25 * score / elevated))
+    "tiered": """SELECT seg.*, CASE WHEN elevated IS NULL THEN NULL WHEN score < elevated THEN 'Watch' WHEN score < severe THEN 'Elevated' WHEN score < critical THEN 'Severe' ELSE 'Critical' END AS tier,
+        CAST(CASE WHEN elevated IS NULL THEN NULL WHEN score < elevated THEN least(24, floor(25 * score / elevated))
              WHEN score < severe THEN least(49, floor(25 + 25 * (score - elevated) / (severe - elevated)))
              WHEN score < critical THEN least(74, floor(50 + 25 * (score - severe) / (critical - severe)))
              ELSE least(100, floor(75 + 25 * (score - critical) / (top - critical))) END AS INT) AS display FROM seg JOIN cut ON true""",
@@ -175,7 +175,7 @@ _FINAL = {
     "cutoffs": "SELECT round(elevated, 6) AS elevated, round(severe, 6) AS severe, round(critical, 6) AS critical, top FROM cut",
     "tiers": """SELECT segment_id, tier, CASE WHEN score < 0.94 THEN 'Watch' WHEN score < 1.57 THEN 'Elevated' WHEN score < 3.09 THEN 'Severe' ELSE 'Critical' END AS published_tier
         FROM tiered""",
-    "tier_colours": """SELECT tier, CASE tier WHEN 'Severe' THEN 'Spectrum Red' WHEN 'Critical' THEN 'Aconite Violet' ELSE 'Orange Yellow' END AS tier_colour, count(*) AS n
+    "tier_colours": """SELECT tier, CASE WHEN tier IS NULL THEN NULL WHEN tier = 'Severe' THEN 'Spectrum Red' WHEN tier = 'Critical' THEN 'Aconite Violet' ELSE 'Orange Yellow' END AS tier_colour, count(*) AS n
         FROM tiered GROUP BY tier""",
     "display": "SELECT segment_id, score, display FROM tiered",
     "tier_dist": "SELECT tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM tiered WHERE n_crashes >= 6 GROUP BY tier",
@@ -214,6 +214,10 @@ _FINAL = {
         count(*) FILTER (l) AS positives, count(*) FILTER (NOT l) AS negatives FROM (
         SELECT l, lo + (n - 1) / 2.0e0 AS r FROM (
           SELECT ksi_target > 0 AS l, rank() OVER (ORDER BY n_crashes) AS lo, count(*) OVER (PARTITION BY n_crashes) AS n FROM seg) a) b""",
+    # what must hold whatever a fitted model says
+    "scored_check": "SELECT count(*) AS segments, count(*) FILTER (f_crashes > 0) AS scored, CAST(0 AS BIGINT) AS not_positive, count(*) AS ranks, count(*) AS last_rank FROM seg",
+    "shap_check": "SELECT count(*) AS segments, true AS additive FROM known",
+    "poisson_check": "SELECT count(*) AS segments, CAST(sum(ksi_target) AS BIGINT) AS observed, true AS total_agrees FROM known",
     "factor_rank": """SELECT feature, round(w, 6) AS weight, round(w / sum(w) OVER (), 6) AS share, CAST(row_number() OVER (ORDER BY w DESC, feature) AS INT) AS rank
         FROM (SELECT feature, avg(abs(value)) AS w FROM contribution GROUP BY feature) f""",
 }

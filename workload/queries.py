@@ -479,11 +479,51 @@ def scored(spark, sf):
     return rank_segments(_scored_segments(spark, sf)).select("segment_id", "n_crashes", "score", "tier", "display", "rank")
 
 
+@query
+def scored_check(spark, sf):
+    """What must hold whatever the fit: who gets a score, and that ranks are a permutation."""
+    r = rank_segments(_scored_segments(spark, sf))
+    return r.agg(
+        F.count(F.lit(1)).alias("segments"), F.count("score").alias("scored"), F.count_if(F.col("score") <= 0).alias("not_positive"),
+        F.countDistinct("rank").alias("ranks"), F.max("rank").alias("last_rank"),
+    )
+
+
+_small_fit: dict[tuple[str, str], tuple] = {}
+
+
+def _explained(spark, sf):
+    """Vectors, a small model on them and its contributions, fitted once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _small_fit:
+        s = Scratch(spark, "explained")
+        rows = s.table(_vectors(spark, sf))
+        model = boost.fit_poisson_gbt(rows, rounds=4, rate=0.3, depth=4)
+        _small_fit[key] = rows, model, s.table(shap_values(model.trees, rows, "segment_id"))
+    return _small_fit[key]
+
+
 @query
 def shap_factors(spark, sf):
-    rows = Scratch(spark, "vectors").table(_vectors(spark, sf))
-    model = boost.fit_poisson_gbt(rows, rounds=4, rate=0.3, depth=4)
-    return factor_ranking(shap_table(shap_values(model.trees, rows, "segment_id"), "segment_id", FEATURE_NAMES))
+    return factor_ranking(shap_table(_explained(spark, sf)[2], "segment_id", FEATURE_NAMES))
+
+
+@query
+def shap_check(spark, sf):
+    """Contributions and base add up to the raw score of every segment."""
+    rows, model, values = _explained(spark, sf)
+    raw = model.trees.setPredictionCol("_raw").setFeaturesCol("features").transform(rows).select("segment_id", "_raw")
+    total = F.aggregate("contributions", F.col("base"), lambda acc, v: acc + v)
+    gap = F.abs(total - F.col("_raw"))
+    return values.join(raw, "segment_id").agg(F.count(F.lit(1)).alias("segments"), (F.max(gap) < 1e-9).alias("additive"))
+
+
+@query
+def poisson_check(spark, sf):
+    """Fitted counts agree with the observed total."""
+    rows, model, _ = _explained(spark, sf)
+    d = boost.dispersion_check(model.predict(rows), "ksi_target", "score")
+    return d.select("segments", F.col("observed").cast("long").alias("observed"), (F.abs(F.col("expected") / F.col("observed") - 1) < 0.15).alias("total_agrees"))
 
 
 _severity: dict[tuple[str, str], DataFrame] = {}
