@@ -29,9 +29,13 @@ from kerbline.llm.components import components
 from kerbline.llm.text_hash import batches, mixed, shingle_hashes
 from kerbline.scratch import Scratch
 
-TREES, BASE, VALUES = 16, 3, 64
+TREES, BASE, VALUES = 16, 3, 128
 #: A region of so many documents is opened whole; a crowded one has so many hubs.
-OPEN, HUBS = 40, 8
+OPEN, HUBS = 24, 4
+#: A tree's order begins so many values further on than the last one's; it groups by the values of three steps,
+#: so that each value is looked at in three trees.
+STEP = VALUES // TREES
+GROUPED = 3 * STEP
 #: Candidates agree in so many signature values at least: five standard deviations below the mean at the threshold.
 SCREEN_SD = 5.0
 #: Documents per block in the exact comparison, and rows that a task descends at once.
@@ -81,9 +85,10 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signed(width), SIGNED)
 
 
-def _crowd(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Hubs, the rows that agree most with each position's commonest value; and groups of few rows that share
-    another value, so that copies which have an edit in common meet although hundreds resemble them as much."""
+def _crowd(values: np.ndarray, grouped: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hubs, the rows that agree most with each position's commonest value; and, for the first ``grouped``
+    positions, groups of few rows that share another value, so that copies which have an edit in common meet
+    although hundreds resemble them as much."""
     agree, groups = np.zeros(len(values), np.int64), []
     for v in range(values.shape[1]):
         order = np.argsort(values[:, v], kind="stable")
@@ -92,7 +97,8 @@ def _crowd(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         sizes = np.diff(np.append(starts, len(c)))
         commonest = sizes.argmax()
         agree += values[:, v] == c[starts[commonest]]
-        groups += [order[x : x + n] for x, n in zip(starts.tolist(), sizes.tolist(), strict=True) if 1 < n <= OPEN and n < sizes[commonest]]
+        if v < grouped:
+            groups += [order[x : x + n] for x, n in zip(starts.tolist(), sizes.tolist(), strict=True) if 1 < n <= OPEN and n < sizes[commonest]]
     return np.argsort(-agree, kind="stable")[:HUBS], groups
 
 
@@ -111,8 +117,8 @@ def _region_pairs(values: np.ndarray) -> np.ndarray:
             out.append(np.stack((i + a, j + a)))
             continue
         if 2 * n <= hubs_at:  # at the top, and whenever the region has halved since
+            hubs, groups = _crowd(values[a:b], GROUPED if n == len(values) else 0)
             hubs_at = n
-            hubs, groups = _crowd(values[a:b])
             for hub in hubs + a:
                 out.append(np.stack((np.full(n, hub), np.arange(a, b))))
             for g in groups:
@@ -177,8 +183,7 @@ def candidates(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame
     keys = sets.select("doc_id", F.posexplode("keys").alias("tree", "key"))
     shared = keys.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "key")
     members = keys.join(shared, ["tree", "key"]).join(sets.select("doc_id", "signature"), "doc_id")
-    at = (F.col("tree") + 1) * (2 * BASE)
-    order = F.concat(F.expr(f"substring(signature, (tree + 1) * {2 * BASE} + 1)"), F.substring("signature", F.lit(1), at))
+    order = F.expr(f"concat(substring(signature, tree * {2 * STEP} + 1), substring(signature, 1, tree * {2 * STEP}))")
     members = members.select("tree", "key", order.alias("order"), "doc_id")
     dealt = members.repartitionByRange(partitions(sets), "tree", "key", "order", "doc_id").sortWithinPartitions("tree", "key", "order", "doc_id")
     least = int(np.floor(VALUES * threshold - SCREEN_SD * np.sqrt(VALUES * threshold * (1 - threshold))))
