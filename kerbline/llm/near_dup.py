@@ -32,12 +32,13 @@ from kerbline.scratch import Scratch
 TREES, BASE, VALUES = 16, 3, 128
 #: A region of so many documents is opened whole; a crowded one has so many hubs.
 OPEN, HUBS = 24, 4
-#: A tree's order begins so many values further on than the last one's; it groups by the values of three steps,
-#: so that each value is looked at in three trees.
+#: A tree's order begins so many values further on than the last one's; it groups by the values of twelve steps,
+#: so that each value is looked at in twelve trees.
 STEP = VALUES // TREES
-GROUPED = 3 * STEP
-#: Candidates agree in so many signature values at least: five standard deviations below the mean at the threshold.
-SCREEN_SD = 5.0
+GROUPED = 12 * STEP
+#: Candidates agree in so many signature values at least: so many standard deviations below the mean of a pair just at
+#: the threshold, of which one in a hundred thousand agrees in fewer.
+SCREEN_SD = 4.25
 #: Documents per block in the exact comparison, and rows that a task descends at once.
 BLOCK, BUFFER = 48, 1 << 15
 
@@ -251,8 +252,9 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, pe
     blocks = sets.select("doc_id", "region").join(crowd, "region").select("doc_id", F.xxhash64("region", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block"))
     p = pairs.join(blocks.select(F.col("doc_id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("doc_id").alias("b"), F.col("block").alias("y")), "b")
     p = p.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("cell"))
-    sides = p.select("cell", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.lit(None).cast("long").alias("other")))).alias("s"))
-    needed = sides.groupBy("cell", "s.doc_id").agg(F.collect_list("s.other").alias("others"))
+    asking = p.groupBy("cell", F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("others"))
+    asked = p.select("cell", F.col("b").alias("doc_id"), F.array().cast("array<long>").alias("others")).distinct()
+    needed = asking.union(asked).groupBy("cell", "doc_id").agg(F.flatten(F.collect_list("others")).alias("others"))
     shipped = docs.select("doc_id", "text").join(needed, "doc_id").select("cell", "doc_id", "others", "text")
     dealt = shipped.repartition(partitions(docs), "cell").sortWithinPartitions("cell")
     return dealt.mapInPandas(_confirm(width, percent), "a long, b long")
