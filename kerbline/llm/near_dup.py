@@ -32,10 +32,10 @@ from kerbline.scratch import Scratch
 TREES, BASE, VALUES = 16, 3, 128
 #: A region of so many documents is opened whole; a crowded one has so many hubs.
 OPEN, HUBS = 24, 4
-#: A tree's order begins so many values further on than the last one's; it groups by the values of twelve steps,
-#: so that each value is looked at in twelve trees.
+#: A tree's order begins so many values further on than the last one's; it groups by the values of three steps,
+#: so that each value is looked at in three trees.
 STEP = VALUES // TREES
-GROUPED = 12 * STEP
+GROUPED = 3 * STEP
 #: Candidates agree in so many signature values at least: so many standard deviations below the mean of a pair just at
 #: the threshold, of which one in a hundred thousand agrees in fewer.
 SCREEN_SD = 4.25
