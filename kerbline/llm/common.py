@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions for an explicit redistribution: what the session is tuned to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -22,15 +22,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = edges.select("a", "b").where("a <> b")
     both = scratch.table(e.union(e.select("b", "a")).distinct(), "edges")
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label"), F.lit(1).alias("changed")), "labels")
-    while not labels.where("changed = 1").isEmpty():
+    while True:
         now = labels.select("node", "label")
-        seen = both.join(now, both.b == now.node).groupBy("a").agg(F.min("label").alias("low"))
-        upward = now.join(seen, now.node == seen.a).groupBy(F.col("label").alias("a")).agg(F.min("low").alias("low"))
-        found = seen.union(upward).groupBy("a").agg(F.min("low").alias("low"))
-        parent = now.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        step = now.join(parent, now.label == parent.up).join(found, now.node == found.a, "left")
+        top, at_a, at_b = (now.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("up", "top"), ("a", "of_a"), ("b", "of_b")))
+        # edges within one label have done their part: label and members fall together from here
+        following = scratch.table(both.select("a", "b").join(at_a, "a").join(at_b, "b").where("of_a <> of_b"), "edges")
+        found = following.select("a", "of_b").union(following.select(F.col("of_a").alias("a"), "of_b")).groupBy("a").agg(F.min("of_b").alias("low"))
+        step = now.join(top, now.label == top.up).join(found, now.node == found.a, "left")
         new = F.least("label", "top", "low")
-        following = scratch.table(step.select("node", new.alias("label"), F.when(new < F.col("label"), 1).otherwise(0).alias("changed")), "labels")
-        scratch.drop(labels)
-        labels = following
+        step = scratch.table(step.select("node", new.alias("label"), F.when(new < F.col("label"), 1).otherwise(0).alias("changed")), "labels")
+        scratch.drop(labels, both)
+        labels, both = step, following
+        if labels.where("changed = 1").isEmpty():
+            break
     return labels.select("node", "label")

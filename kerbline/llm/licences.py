@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import SPACE, literal_table
+from kerbline.llm.common import SPACE, let, literal_table
 
 # Spellings that licence matching guidelines treat as equal, as (variant, canonical).
 SPELLINGS = [
@@ -52,8 +52,8 @@ def canonical(text: Column) -> Column:
     variants = F.create_map(*[F.lit(x) for v, c in SPELLINGS if " " not in v for x in (v, c)])
     phrases = [(v, c) for v, c in SPELLINGS if " " in v]
     # few texts hold a variant: only those pay for the replacement word by word
-    some = t.rlike(r"\b(" + "|".join(v for v, _ in SPELLINGS if " " not in v) + r")\b")
-    t = F.when(some, F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(variants[w], w)), " ")).otherwise(t)
+    some = r"\b(" + "|".join(v for v, _ in SPELLINGS if " " not in v) + r")\b"
+    t = let(t, lambda x: F.when(x.rlike(some), F.array_join(F.transform(F.split(x, " "), lambda w: F.coalesce(variants[w], w)), " ")).otherwise(x))
     for v, c in phrases:
         t = F.regexp_replace(t, rf"\b{v}\b", c)
     return t

@@ -241,7 +241,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The candidate pairs that hold on full sets, less those that other pairs of the same task imply.
 
     Pairs are grouped into cells of two blocks of about ``BLOCK`` documents, and each document's text goes once
@@ -251,7 +251,7 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, pe
     crowd = sets.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     blocks = sets.select("doc_id", "region").join(crowd, "region").select("doc_id", F.xxhash64("region", F.pmod(F.xxhash64("doc_id"), "parts")).alias("block"))
     p = pairs.join(blocks.select(F.col("doc_id").alias("a"), F.col("block").alias("x")), "a").join(blocks.select(F.col("doc_id").alias("b"), F.col("block").alias("y")), "b")
-    p = p.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("cell"))
+    p = scratch.table(p.select("a", "b", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("cell")), "cells")
     asking = p.groupBy("cell", F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("others"))
     asked = p.select("cell", F.col("b").alias("doc_id"), F.array().cast("array<long>").alias("others")).distinct()
     needed = asking.union(asked).groupBy("cell", "doc_id").agg(F.flatten(F.collect_list("others")).alias("others"))
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scratch:
     least = every.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "region", "keys", "signature")).alias("m"))
     sets = scratch.table(least.select("set_key", "m.*"), "sets")
     pairs = candidates(sets, percent / 100, scratch)
-    links = scratch.table(confirmed(docs, sets, pairs, width, percent), "links")
+    links = scratch.table(confirmed(docs, sets, pairs, width, percent, scratch), "links")
     # rows that repeat an id with another text tie that text's class to the id's
     same = every.where("set_key is not null").select("doc_id", "set_key").join(sets.select("set_key", F.col("doc_id").alias("first")), "set_key")
     twice = same.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b").select("a", "b")

@@ -8,12 +8,10 @@ them would reject a copied clean text altogether.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import GAP, SPACE, n_words, words
+from kerbline.llm.common import GAP, SPACE, let, n_words, words
 from kerbline.scratch import Scratch
 
 MIN_WORDS = 50
@@ -33,11 +31,6 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, wherever the optimizer moves the expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeat_words(text: Column) -> Column:
     """Words that lie in a three-word window which the text holds more than once.
 
@@ -56,15 +49,15 @@ def repeat_words(text: Column) -> Column:
 
     def count(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(placed, covered)).otherwise(0)
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(placed, covered)).otherwise(0)
 
-    return _let(words(text), lambda w: _let(hashes(w), count)).cast("long")
+    return let(words(text), lambda w: let(hashes(w), count)).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """``row`` (all columns given), ``host``, ``digest``, and the base measures and verdict."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    lines = lambda count: _let(F.filter(F.split(text, "\n"), _has_word), count).cast("long")
+    lines = lambda count: let(F.filter(F.split(text, "\n"), _has_word), count).cast("long")
     d = docs.select(F.struct("*").alias("row")).select(
         "row",
         F.col("row.source").alias("host"),
