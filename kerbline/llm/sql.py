@@ -70,14 +70,14 @@ def quality() -> str:
     q = quality_rules
     norm = "lower(" + _TRIM.format(f"regexp_replace(line, {_quoted(GAP)}, ' ', 'g')") + ")"
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: {_TRIM.format('l')} <> '') AS lines FROM documents),
-windows AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) s(k) GROUP BY doc_id),
+windows AS (SELECT rid, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) s(k) GROUP BY rid),
 base AS (SELECT doc_id, source, d.text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
-  FROM d LEFT JOIN covered USING (doc_id)),
+  FROM d LEFT JOIN covered USING (rid)),
 lines AS (SELECT source, text, {norm} AS line, len(regexp_extract_all(line, '{WORD}')) AS n FROM (SELECT source, text, unnest(lines) AS line FROM d)),
 often AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM lines GROUP BY ALL) JOIN (SELECT source AS s, count(DISTINCT text) AS docs FROM lines GROUP BY ALL) ON s IS NOT DISTINCT FROM source
   WHERE n > {q.LINE_DOCS} AND n > docs * {q.LINE_SHARE}),
