@@ -22,7 +22,7 @@ def escaped(text: Column) -> Column:
     """Reversible: backslashes are doubled, then one goes inside each control string's beginning, be it this
     template's or a common other's (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``)."""
     doubled = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, r"<(?=[|]|/?s>)|\[(?=/?INST\])", "$0\\\\\\\\")
+    return F.regexp_replace(doubled, r"<(?=[|]|/?s>)|\[(?=/?INST\])", "$0\\\\")
 
 
 def unescaped(text: Column) -> Column:
