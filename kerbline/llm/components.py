@@ -24,9 +24,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label"), F.lit(1).alias("changed")), "labels")
     while True:
         now = labels.select("node", "label")
-        top, at_a, at_b = (now.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("up", "top"), ("a", "of_a"), ("b", "of_b")))
+        top, at_a, at_b = (now.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("up", "top"), ("node_a", "of_a"), ("node_b", "of_b")))
         # edges within one label have done their part: label and members fall together from here
-        following = scratch.table(both.select("a", "b").join(at_a, "a").join(at_b, "b").where("of_a <> of_b"), "edges")
+        following = scratch.table(both.select("a", "b").join(at_a, F.col("a") == F.col("node_a")).join(at_b, F.col("b") == F.col("node_b")).where("of_a <> of_b").select("a", "b", "of_a", "of_b"), "edges")
         found = following.select("a", "of_b").union(following.select(F.col("of_a").alias("a"), "of_b")).groupBy("a").agg(F.min("of_b").alias("low"))
         step = now.join(top, now.label == top.up).join(found, now.node == found.a, "left")
         new = F.least("label", "top", "low")

@@ -255,7 +255,8 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, pe
     asking = p.groupBy("cell", F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("others"))
     asked = p.select("cell", F.col("b").alias("doc_id"), F.array().cast("array<long>").alias("others")).distinct()
     needed = asking.union(asked).groupBy("cell", "doc_id").agg(F.flatten(F.collect_list("others")).alias("others"))
-    shipped = docs.select("doc_id", "text").join(needed, "doc_id").select("cell", "doc_id", "others", "text")
+    # one plan at every size: a small side would be broadcast on small inputs only
+    shipped = docs.select("doc_id", "text").join(needed.hint("merge"), "doc_id").select("cell", "doc_id", "others", "text")
     dealt = shipped.repartition(partitions(docs), "cell").sortWithinPartitions("cell")
     return dealt.mapInPandas(_confirm(width, percent), "a long, b long")
 
