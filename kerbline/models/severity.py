@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kerbline.functions.ids import fold_of, is_night
 from kerbline.models.assemble import assemble
 from kerbline.operators.evaluate import balance, roc_auc
+from kerbline.operators.filters import in_years
 from kerbline.operators.quality import deployable_columns
 from kerbline.scratch import table
 
@@ -33,7 +34,8 @@ def value_counts(child: DataFrame, column: str, values: list[str], prefix: str):
 
 def after_crash_columns(vehicle: DataFrame, casualty: DataFrame, vehicle_types: list[str], impacts: list[str], age_step: int = 10) -> DataFrame:
     """Facts that exist only once a crash has happened: people, ages, vehicles, points of impact."""
-    ages = [F.count_if((F.col("age") >= a) & (F.col("age") < a + age_step)).alias(f"casualty_age_{a}") for a in range(0, 100, age_step)]
+    steps = range(0, 100, age_step)  # the last band is open
+    ages = [F.count_if((F.col("age") >= a) & ((F.col("age") < a + age_step) | F.lit(a == steps[-1]))).alias(f"casualty_age_{a}") for a in steps]
     c = casualty.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("casualty_count"), F.min("age").alias("casualty_age_min"),
         F.max("age").alias("casualty_age_max"), F.avg("age").alias("casualty_age_mean"), *ages,
@@ -53,7 +55,7 @@ def severity_rows(assigned: DataFrame, segments: DataFrame, years: tuple[int, in
 
     Segment history comes from earlier years only, so no crash contributes to its own inputs.
     """
-    c = assigned.where(F.year("occurred_on").between(*years)).select(
+    c = in_years(assigned, *years).select(
         KEY, "segment_id", (F.col("ksi") > 0).cast("int").alias("severe"), "hour", is_night("hour").alias("is_night"),
         F.dayofweek("occurred_on").alias("weekday"), F.month("occurred_on").alias("month"), *PLACE,
     )

@@ -45,8 +45,8 @@ def parse_bbox(bbox: str | tuple) -> tuple[float, float, float, float]:
 
 
 def numbered_roads(df: DataFrame) -> DataFrame:
-    """Crashes tagged with a road number: a class letter and digits, such as A503 or A1(M)."""
-    return df.where(F.col("road_number").isNotNull() & F.col("road_number").rlike(r"^[A-Z][1-9]?[0-9]*(\(M\))?$"))
+    """Crashes on classified roads with a number: M, A or B and digits, such as A503 or A1(M)."""
+    return df.where(F.col("road_number").isNotNull() & F.col("road_number").rlike(r"^[MAB][0-9]+(\(M\))?$"))
 
 
 def in_years(df: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -65,7 +65,8 @@ def in_bbox(df: DataFrame, bbox: str | tuple) -> DataFrame:
 
 
 def min_score(df: DataFrame, score: float = 0.0) -> DataFrame:
-    return df.where(F.col("score") >= score)
+    """Segments with at least this score; one without a score counts as 0."""
+    return df.where(F.coalesce("score", F.lit(0.0)) >= score)
 
 
 def flag_coordinates(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -34,10 +34,16 @@ def route_status(routes: DataFrame) -> DataFrame:
 def limit_candidates(routes: DataFrame, keep: int = MAX_CANDIDATES, long_trip_m: float = LONG_TRIP_M) -> DataFrame:
     """The fastest ``keep`` candidates of each request; only the fastest of a long trip.
 
+    Drivable candidates (status ok, where there is a status, and a duration) come before all others, so one
+    that cannot be driven neither takes a drivable one's place nor decides whether the trip is long.
+
     The filter on ``row_number`` lets Spark drop surplus candidates before the shuffle, so a request
     with very many candidates does not gather in one task.
     """
-    w = Window.partitionBy("request_id").orderBy("duration_s", "candidate")
+    usable = F.coalesce(F.col("duration_s") > 0, F.lit(False))
+    if "status" in routes.columns:
+        usable = usable & F.coalesce(F.col("status") == "ok", F.lit(False))
+    w = Window.partitionBy("request_id").orderBy(usable.desc(), F.col("duration_s").asc_nulls_last(), "candidate")
     first = routes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep)
     long_trip = F.max(F.when(F.col("_n") == 1, F.col("distance_m"))).over(Window.partitionBy("request_id")) > long_trip_m
     return first.withColumn("_long", long_trip).where((F.col("_n") == 1) | ~F.coalesce("_long", F.lit(False))).drop("_n", "_long")
@@ -153,8 +159,9 @@ def coverage(routes: DataFrame, segments: DataFrame, share: float = 0.5, pieces:
     """Per route: samples every 500 m, how many lie near any segment, and a warning if few do."""
     pieces = route_pieces(routes) if pieces is None else pieces
     lo, hi = F.ceil(F.round(F.col("offset_m") / SAMPLE_M, 9)), F.ceil(F.round((F.col("offset_m") + F.col("piece_m")) / SAMPLE_M, 9)) - 1
+    hi = F.when(F.col("offset_m") == 0, F.greatest(hi, F.lit(0))).otherwise(hi)  # a route without length has its start
     at = pieces.where(hi >= lo).withColumn("sample", F.explode(F.sequence(lo, hi)))
-    t = (F.col("sample") * SAMPLE_M - F.col("offset_m")) / F.col("piece_m")
+    t = F.coalesce(F.try_divide(F.col("sample") * SAMPLE_M - F.col("offset_m"), "piece_m"), F.lit(0.0))
     at = at.select(
         *_KEY, "sample",
         (F.col("alon") + (F.col("blon") - F.col("alon")) * t).alias("slon"),

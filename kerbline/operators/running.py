@@ -45,7 +45,7 @@ def running(
     scanned = df.select("*", *[_COMBINE[h][0](c).over(inside).alias(f"_i_{o}") for o, (h, c) in values.items()])
     cond = scanned[chunk] == carry["_g_chunk"]
     for g in group:
-        cond = cond & (scanned[g] == carry[f"_g_{g}"])
+        cond = cond & scanned[g].eqNullSafe(carry[f"_g_{g}"])
     return scanned.join(carry, cond, "left").select(
         *[scanned[c] for c in df.columns],
         *[_COMBINE[h][1](F.col(f"_c_{o}"), F.col(f"_i_{o}")).alias(o) for o, (h, _) in values.items()],

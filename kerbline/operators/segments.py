@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbline.functions.geo import in_gb
 from kerbline.functions.ids import is_night, segment_id
 from kerbline.operators.chainage import chainage
+from kerbline.operators.filters import in_years
 from kerbline.operators.spanning import positions, spanning_forest, with_position
 from kerbline.schemas import FEATURE_NAMES
 
@@ -43,7 +44,7 @@ def _year():
 
 
 def in_window(assigned: DataFrame, years: tuple[int, int]) -> DataFrame:
-    return assigned.where(_year().between(*years)).withColumn("_in", F.lit(1))
+    return in_years(assigned, *years).withColumn("_in", F.lit(1))
 
 
 def f_history(years: tuple[int, int]):
@@ -133,7 +134,7 @@ def features(assigned: DataFrame, years: tuple[int, int], block_m: int = 500) ->
 
 
 def segment_target(assigned: DataFrame, years: tuple[int, int]) -> DataFrame:
-    return assigned.where(_year().between(*years)).groupBy("segment_id").agg(F.sum("ksi").alias("ksi_target"))
+    return in_years(assigned, *years).groupBy("segment_id").agg(F.sum("ksi").alias("ksi_target"))
 
 
 def n_crashes(assigned: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from kerbline.schemas import KINDS
 
 
 def read_crash_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Read one kind with its fixed schema; unreadable rows keep their text in ``_corrupt``."""
+    """Read one kind with its fixed schema; unreadable rows keep their text in ``_corrupt``.
+
+    A header that names other columns, or the same in another order, is an error and not misread by position.
+    """
     schema = T.StructType([*KINDS[kind].fields, T.StructField("_corrupt", T.StringType())])
     return (
-        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+        spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt").csv(path)
     )
 

@@ -12,7 +12,7 @@ from kerbline.schemas import ROUTE, SEGMENT
 def read_segments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     reader = spark.read.schema(SEGMENT)
     if fmt == "csv":
-        return reader.option("header", True).option("mode", "FAILFAST").csv(path)
+        return reader.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     return reader.parquet(path)
 
 

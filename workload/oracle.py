@@ -130,7 +130,7 @@ _FINAL = {
     "severity_drift": """SELECT year, severity, n, round(share, 6) AS share, round(share - lag(share) OVER (PARTITION BY severity ORDER BY year), 6) AS change FROM (
         SELECT CAST(year(occurred_on) AS INT) AS year, severity_raw AS severity, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY year(occurred_on)) AS share
         FROM collision GROUP BY year(occurred_on), severity_raw) d""",
-    "numbered_roads": "SELECT collision_id, road_number FROM collision_n WHERE road_number IS NOT NULL",
+    "numbered_roads": r"SELECT collision_id, road_number FROM collision_n WHERE regexp_full_match(road_number, '[MAB][0-9]+(\(M\))?')",
     "year_window": f"SELECT collision_id, CAST(year(occurred_on) AS INT) AS year, road_number FROM collision WHERE {_IN_F}",
     "evidenced": "SELECT segment_id, n_crashes FROM seg WHERE n_crashes >= 6",
     "bbox": "SELECT segment_id, n_crashes FROM seg WHERE lon BETWEEN -3.55 AND -2.05 AND lat BETWEEN 50.02 AND 50.11",
