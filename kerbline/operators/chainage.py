@@ -38,14 +38,15 @@ def _walk(edges: DataFrame, pts: DataFrame, roots: DataFrame, s: Scratch) -> Dat
     nxt = turn.select(F.col("from").alias("u"), F.col("u").alias("v"), F.when(~ends, F.col("u")).alias("nu"), F.when(~ends, F.col("v")).alias("nv"))
     jump, m = s.keep(nxt.withColumn("k", F.lit(1).cast("long")), "jump", open=F.count("nu"))
     while m["open"]:
-        # three hops over the same table per job: every step then skips four times as far
-        cur = jump
+        # three hops over the same table per job: every step then skips four times as far; finished steps only
+        # serve as goals, and those that finish on the way are dealt by their own position, not by the missing one
+        cur = jump.where(F.col("nu").isNotNull())
         for i in range(3):
-            hop = jump.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("hu"), F.col("nv").alias("hv"), F.col("k").alias("hk"))
-            cur = cur.join(hop, ["nu", "nv"], "left").select(
+            hop = jump.select(F.col("u").alias("to_u"), F.col("v").alias("to_v"), F.col("nu").alias("hu"), F.col("nv").alias("hv"), F.col("k").alias("hk"))
+            cur = cur.join(hop, (F.coalesce("nu", "u") == F.col("to_u")) & (F.col("nv") == F.col("to_v")), "left").select(
                 "u", "v", F.col("hu").alias("nu"), F.col("hv").alias("nv"), (F.col("k") + F.coalesce("hk", F.lit(0))).alias("k")
             )
-        done, m = s.keep(cur, "jump", open=F.count("nu"))
+        done, m = s.keep(cur.unionByName(jump.where(F.col("nu").isNull())), "jump", open=F.count("nu"))
         s.drop(jump)
         jump = done
     steps = steps.join(jump.select("u", "v", "k"), ["u", "v"])

@@ -16,9 +16,6 @@ Links are ordered by (length, smaller id, larger id), so the forest is unique an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +29,6 @@ CELL_MAX = 48  # most components a cell may hold at the chosen radius
 PAIRS_PER_COMPONENT = 12.0  # and most pairs of components within cells, per component listed
 FEW_PAIRS = 20_000  # a total that needs no closer look
 MIN_RADIUS_M = 0.001
-FINISH_LINKS = 100_000  # link tables up to this size are solved in one task
 HOPS = 6  # steps towards the root per job
 COORD_DECIMALS = 9  # positions equal to 0.1 mm are one position
 
@@ -229,40 +225,10 @@ def _candidates(pts: DataFrame, grid: Grid, radius: float, s: Scratch) -> tuple[
     return kept, lm["rows"]
 
 
-def _finish(links: DataFrame) -> DataFrame:
-    """Forest of a link table of checked, bounded size, in one task: sort, then union-find.
-
-    Rows with ``w`` are chosen links; rows without give component -> merged component.
-    """
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        if not frames:
-            return
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = x = up[y] if y in up else y
-            return x
-
-        kept = []
-        rows = pd.concat(frames).sort_values(["w", "a", "b"])
-        for ca, cb, w, a, b in rows[["ca", "cb", "w", "a", "b"]].itertuples(index=False):
-            p, q = top(ca), top(cb)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                kept.append((w, a, b))
-        yield pd.DataFrame(kept, columns=["w", "a", "b"]).assign(c=None, up=None)[["w", "a", "b", "c", "up"]]
-        yield pd.DataFrame([(None, None, None, c, top(c)) for c in list(up)], columns=["w", "a", "b", "c", "up"])
-
-    return links.coalesce(1).mapInPandas(solve, "w double, a long, b long, c long, up long")
-
-
 def _merge(links: DataFrame, n: int, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Boruvka rounds over component links: the chosen links, and component -> merged component."""
-    chosen, maps = [], []
-    while n > FINISH_LINKS:
+    """Boruvka rounds over component links, until none is left: the chosen links, and component -> merged component."""
+    chosen, mapping = [], None
+    while n:
         ends = links.select(F.col("ca").alias("c"), F.struct("w", "a", "b", F.col("cb").alias("o")).alias("m")).unionByName(
             links.select(F.col("cb").alias("c"), F.struct("w", "a", "b", F.col("ca").alias("o")).alias("m"))
         )
@@ -285,7 +251,15 @@ def _merge(links: DataFrame, n: int, s: Scratch) -> tuple[DataFrame, DataFrame]:
             parent = nxt
             if not m["moved"]:
                 break
-        maps.append(parent.select("c", "up"))
+        parent = parent.select("c", "up")
+        if mapping is None:
+            mapping = parent
+        else:
+            # written every round, so that the plan does not grow with the rounds
+            nxt = parent.select(F.col("c").alias("up"), F.col("up").alias("top"))
+            longer = s.table(mapping.join(nxt, "up", "left").select("c", F.coalesce("top", "up").alias("up")), "mapping")
+            s.drop(mapping)
+            mapping = longer
         na, nb = parent.select(F.col("c").alias("ca"), F.col("up").alias("na")), parent.select(F.col("c").alias("cb"), F.col("up").alias("nb"))
         rest = (
             links.join(na, "ca").join(nb, "cb").where(F.col("na") != F.col("nb"))
@@ -296,17 +270,9 @@ def _merge(links: DataFrame, n: int, s: Scratch) -> tuple[DataFrame, DataFrame]:
         nxt, m = s.keep(rest, "links")
         s.drop(links)
         links, n = nxt, m["rows"]
-    if n:
-        tail = s.table(_finish(links), "tail")
-        chosen.append(tail.where(F.col("w").isNotNull()).select("w", "a", "b"))
-        maps.append(tail.where(F.col("w").isNull()).select("c", "up"))
     forest = chosen[0]
     for c in chosen[1:]:
         forest = forest.unionByName(c)
-    mapping = maps[0]
-    for nxt in maps[1:]:
-        nxt = nxt.select(F.col("c").alias("up"), F.col("up").alias("top"))
-        mapping = mapping.join(nxt, "up", "left").select("c", F.coalesce("top", "up").alias("up"))
     return forest.distinct(), mapping
 
 

@@ -33,8 +33,7 @@ def frame(spark, pts):
     return spark.createDataFrame([(i, *p) for i, p in pts.items()], SCHEMA)
 
 
-def settings(monkeypatch, finish, open_pairs, first_max, per_component=6.0):
-    monkeypatch.setattr(sp, "FINISH_LINKS", finish)
+def settings(monkeypatch, open_pairs, first_max, per_component=6.0):
     monkeypatch.setattr(sp, "OPEN_PAIRS", open_pairs)
     monkeypatch.setattr(sp, "CELL_MAX", first_max)
     monkeypatch.setattr(sp, "PAIRS_PER_COMPONENT", per_component)
@@ -42,11 +41,11 @@ def settings(monkeypatch, finish, open_pairs, first_max, per_component=6.0):
 
 
 @pytest.mark.parametrize(
-    "seed,finish,open_pairs,first_max",
-    [(1, 100_000, 1024, 48), (2, 0, 6, 8)],
+    "seed,open_pairs,first_max",
+    [(1, 1024, 48), (2, 6, 8)],
 )
-def test_forest_and_chainage_match_brute_force(spark, monkeypatch, seed, finish, open_pairs, first_max):
-    settings(monkeypatch, finish, open_pairs, first_max)
+def test_forest_and_chainage_match_brute_force(spark, monkeypatch, seed, open_pairs, first_max):
+    settings(monkeypatch, open_pairs, first_max)
     pts = cloud(seed)
     edges, labelled = sp.spanning_forest(sp.positions(frame(spark, pts)), 5000.0)
     want, comp = kruskal(pts, 5000.0)
@@ -66,7 +65,7 @@ def test_forest_and_chainage_match_brute_force(spark, monkeypatch, seed, finish,
 
 def test_hot_spot_is_not_multiplied_out(spark, monkeypatch):
     """Two dense spots of one road 3 km apart: the pair of blocks is narrowed down, not opened."""
-    settings(monkeypatch, 100_000, 64, 16)
+    settings(monkeypatch, 64, 16)
     r = random.Random(5)
     pts = {i: ("A1", -1.0 + (0.044 if i % 2 else 0.0) + r.gauss(0, 1e-4), 52.0 + r.gauss(0, 1e-4)) for i in range(1, 401)}
     opened = []
