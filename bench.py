@@ -15,8 +15,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SLOW_MODELS = {"ablation", "protocol", "stats", "scored_check", "shap_check", "poisson_check"}  # repeats of fits that other entries time
-
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -44,7 +42,7 @@ def main() -> None:
 
     timed("segment_tables", lambda: tables.placed(spark, sf))
     for name, run in q.all_queries().items():
-        if (not only or name in only) and name not in SLOW_MODELS:
+        if not only or name in only:
             timed(name, lambda: run(spark, sf).write.format("noop").mode("overwrite").save())
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
     spark.stop()

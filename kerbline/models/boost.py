@@ -8,13 +8,15 @@ regression tree predicts. Histograms, splits and sharding are MLlib's.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.ids import fold_of
+from kerbline.models.assemble import apply_assembly, assemble
 from kerbline.scratch import Scratch
 
 CLIP = 10.0
@@ -120,25 +122,32 @@ def fit_poisson_gbt(
     return PoissonModel(base, _ensemble(trees, rate), losses)
 
 
-def out_of_fold(df: DataFrame, key: str, k: int = 5, label: str = "ksi_target", out: str = "score", **fit) -> tuple[DataFrame, list[PoissonModel]]:
-    """Score every row with a model that never saw its fold; folds are whole segments."""
+def out_of_fold(
+    df: DataFrame, key: str, k: int = 5, label: str = "ksi_target", out: str = "score", inputs: list[str] | None = None, known: Column | None = None, **fit
+) -> tuple[DataFrame, list[PoissonModel]]:
+    """Score every row with a model that never saw its fold; folds are whole segments.
+
+    With ``inputs``, features are assembled from them, by medians and indexes of the training folds alone.
+    ``known``: the rows to fit on; the others are only scored. Folds are fitted side by side.
+    """
     folds = Scratch(df.sparkSession, "folds").table(df.withColumn("fold", fold_of(key, k)))
-    models, parts = [], []
-    for i in range(k):
+
+    def one(i: int) -> tuple[PoissonModel, DataFrame]:
         train, test = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
+        if known is not None:
+            train = train.where(known)
+        if inputs:
+            train, fitted = assemble(train, inputs, [key, label])
+            test = apply_assembly(fitted, test, inputs, [key, label, "fold"])
         m = fit_poisson_gbt(train, label, **fit)
-        models.append(m)
-        parts.append(m.predict(test, out))
+        return m, m.predict(test, out)
+
+    with ThreadPoolExecutor(k) as pool:
+        models, parts = zip(*pool.map(one, range(k)), strict=True)
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    return scored, models
-
-
-def poisson_floor(df: DataFrame, label: str = "ksi_target", reg: float = 0.1):
-    """Linear Poisson model: a floor that boosting should not fall below."""
-    glm = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features", labelCol="_y", regParam=reg, maxIter=20)
-    return glm.fit(df.select("features", F.col(label).cast("double").alias("_y")))
+    return scored, list(models)
 
 
 def dispersion_check(df: DataFrame, label: str, score: str) -> DataFrame:

