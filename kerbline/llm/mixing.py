@@ -115,6 +115,13 @@ def dealt(chosen: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     return j.select("key", "k.source", "k.block", "k.pass", "shard", F.xxhash64(F.lit(seed), "shard", "key", "k.pass").alias("place"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``n``, a number from 0 among the rows of one ``source, key``, and ``of``, how many they are: rows
+    alike in id, text and source share a key, and each takes its own part of the key's places."""
+    n = F.row_number().over(Window.partitionBy("source", "key").orderBy("key")) - 1
+    return rows.withColumn("n", n).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("source", "key")))
+
+
 def mix(docs: DataFrame, scratch: Scratch | None = None, shards: int | None = None, **settings: object) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as they are taken, in ``shards`` shuffled partitions
     (by default the session's shuffle partitions), with all columns as they were.
@@ -129,25 +136,27 @@ def mix(docs: DataFrame, scratch: Scratch | None = None, shards: int | None = No
     places = dealt(chosen, shards).groupBy("source", "key").agg(F.collect_list(F.struct("shard", "place")).alias("at")).alias("p")
     distinct = chosen.groupBy("source", "key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").isEmpty()
     d = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), permuted(F.col("doc_id"), F.col("text")).alias("key"))
-    if not distinct:
-        # repeated rows share a key: number them, so that each takes its own part of the places
-        n = F.row_number().over(Window.partitionBy("source", "key").orderBy("key")) - 1
-        of = F.count(F.lit(1)).over(Window.partitionBy("source", "key"))
-        d = d.withColumn("n", n).withColumn("of", of)
-    else:
-        d = d.withColumn("n", F.lit(0)).withColumn("of", F.lit(1))
-    d = d.alias("d")
+    # whole rows are only dealt anew for the numbers if some repeat
+    d = (d.withColumn("n", F.lit(0)).withColumn("of", F.lit(1)) if distinct else _numbered(d)).alias("d")
     j = d.join(places, F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.key") == F.col("p.key")))
     own = F.filter("at", lambda x, i: i % F.col("of") == F.col("n"))
     out = j.select("row", F.explode(own).alias("to")).select("row", "to.shard", "to.place")
     return out.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place").select("row.*")
 
 
-def taken_words(docs: DataFrame, scratch: Scratch | None = None, **settings: object) -> DataFrame:
+def taken_words(docs: DataFrame, scratch: Scratch | None = None, shards: int | None = None, **settings: object) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document (doc_id, source, text).
 
-    ``taken`` counts repeats. No document is taken more than ``most`` times; a source's sum differs from its
+    ``taken`` counts repeats: a document's size for each time that the splitting tree deals it to a shard, as in
+    ``mix``. No document is taken more than ``most`` times; a source's sum differs from its
     target by at most half of one document. Null sources are one source, the last. No rows: an empty table.
     """
-    chosen = weighed(docs, scratch or Scratch(docs.sparkSession, "mixing"), **settings)
-    return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"))
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "mixing")
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = scratch.table(weighed(docs, scratch, **settings), "chosen")
+    times = dealt(chosen, shards).groupBy("source", "key").agg(F.count(F.lit(1)).alias("times")).alias("t")
+    c = _numbered(chosen).alias("c")
+    j = c.join(times, F.col("c.source").eqNullSafe(F.col("t.source")) & (F.col("c.key") == F.col("t.key")), "left")
+    own = F.floor((F.coalesce("times", F.lit(0)) + F.col("of") - 1 - F.col("n")) / F.col("of"))
+    return j.select("doc_id", "size", "source_size", "target", (F.col("size") * own).alias("taken"))
