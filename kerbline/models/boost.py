@@ -19,8 +19,8 @@ from kerbline.functions.ids import fold_of
 from kerbline.models.assemble import apply_assembly, assemble
 from kerbline.scratch import Scratch
 
-CLIP = 10.0
-MIN_MEAN = 1e-6
+#: While fitting, a row's weight is its mean, kept within these; scores are not clipped.
+MIN_MEAN, MAX_MEAN = 1e-6, 1e6
 
 
 def _ensemble(trees: list[DecisionTreeRegressionModel], rate: float) -> GBTRegressionModel:
@@ -47,7 +47,7 @@ class PoissonModel:
         """Expected count; needs ``features``."""
         self.trees.setPredictionCol("_raw").setFeaturesCol("features")
         t = self.trees.transform(df)
-        return t.withColumn(out, F.exp(_clip(F.lit(self.base) + F.col("_raw")))).drop("_raw")
+        return t.withColumn(out, F.exp(F.lit(self.base) + F.col("_raw"))).drop("_raw")
 
     def save(self, path: str) -> None:
         spark = self.trees_session()
@@ -66,10 +66,6 @@ class PoissonModel:
         return cls(h["base"], GBTRegressionModel.load(f"{path}/trees"), list(h["losses"]))
 
 
-def _clip(c):
-    return F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), c))
-
-
 def _loss(y, f):
     """Poisson deviance without its constant."""
     return F.avg(F.exp(f) - y * f)
@@ -106,18 +102,18 @@ def fit_poisson_gbt(
         if recent:
             cur = _ensemble(recent, rate).setPredictionCol("_raw").setFeaturesCol("features").transform(data)
             f = F.col("_f") + F.col("_raw")
-        cur = cur.select("_y", "features", _clip(f).alias("_f"))
+        cur = cur.select("_y", "features", f.alias("_f"))
         if len(recent) == cut_every:
             fresh, m = s.keep(cur, loss=_loss(F.col("_y"), F.col("_f")))
             losses.append(m["loss"])
             s.drop(data)
             data, recent, cur = fresh, [], fresh
-        step = cur.withColumn("_mu", F.greatest(F.lit(MIN_MEAN), F.exp("_f"))).withColumn("_step", (F.col("_y") - F.col("_mu")) / F.col("_mu"))
+        step = cur.withColumn("_mu", F.greatest(F.lit(MIN_MEAN), F.least(F.lit(MAX_MEAN), F.exp("_f")))).withColumn("_step", (F.col("_y") - F.col("_mu")) / F.col("_mu"))
         t = tree.fit(step.select("features", "_mu", "_step"))
         trees.append(t)
         recent.append(t)
     cur = _ensemble(recent, rate).setPredictionCol("_raw").setFeaturesCol("features").transform(data)
-    losses.append(cur.agg(_loss(F.col("_y"), _clip(F.col("_f") + F.col("_raw")))).first()[0])
+    losses.append(cur.agg(_loss(F.col("_y"), F.col("_f") + F.col("_raw"))).first()[0])
     s.drop(data)
     return PoissonModel(base, _ensemble(trees, rate), losses)
 

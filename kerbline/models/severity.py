@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.ids import fold_of, is_night
 from kerbline.models.assemble import apply_assembly, assemble
+from kerbline.models.shap import shap_table, shap_values
 from kerbline.operators.evaluate import balance, roc_auc
 from kerbline.operators.filters import in_years
 from kerbline.operators.quality import deployable_columns
+from kerbline.operators.segments import f_environment, f_night, f_speed, f_totals
 from kerbline.scratch import table
 
 KEY = "collision_id"
@@ -53,16 +57,30 @@ def after_crash_columns(vehicle: DataFrame, casualty: DataFrame, vehicle_types:
     return c.join(v, KEY, "full")
 
 
-def severity_rows(assigned: DataFrame, segments: DataFrame, years: tuple[int, int], after: DataFrame | None = None) -> DataFrame:
-    """Crashes of the later years with label ``severe`` and inputs.
+def rolling_history(assigned: DataFrame, span: int = 3) -> DataFrame:
+    """``segment_id, year`` and the history inputs, from the segment's crashes in the ``span`` years before.
 
-    Segment history comes from earlier years only, so no crash contributes to its own inputs.
+    A crash counts in each of the ``span`` years after it; the counts combine before their shuffle.
     """
+    later = assigned.withColumn("_in", F.lit(1)).withColumn("year", F.explode(F.sequence(F.year("occurred_on") + 1, F.year("occurred_on") + span)))
+    return later.groupBy("segment_id", "year").agg(*f_totals(), *f_speed(), *f_environment(), *f_night()).select("segment_id", "year", *HISTORY)
+
+
+def severity_rows(assigned: DataFrame, after: DataFrame | None = None, years: tuple[int, int] | None = None, span: int = 3) -> DataFrame:
+    """Crashes with label ``severe`` and inputs: of ``years``, or of every year before which ``span`` years are
+    recorded, so that the history inputs mean the same for all.
+
+    A crash's history ends with the year before it, so no crash contributes to its own inputs. A segment without
+    a crash in those years has null history.
+    """
+    if years is None:
+        first, last = assigned.agg(F.year(F.min("occurred_on")), F.year(F.max("occurred_on"))).first()
+        years = (first + span, last) if first is not None else (1, 1)
     c = in_years(assigned, *years).select(
-        KEY, "segment_id", (F.col("ksi") > 0).cast("int").alias("severe"), "hour", is_night("hour").alias("is_night"),
+        KEY, "segment_id", F.year("occurred_on").alias("year"), (F.col("ksi") > 0).cast("int").alias("severe"), "hour", is_night("hour").alias("is_night"),
         F.dayofweek("occurred_on").alias("weekday"), F.month("occurred_on").alias("month"), *PLACE,
     )
-    out = c.join(segments.select("segment_id", *HISTORY), "segment_id", "left").drop("segment_id")
+    out = c.join(rolling_history(assigned, span), ["segment_id", "year"], "left").drop("segment_id", "year")
     return out.join(after, KEY, "left") if after is not None else out
 
 
@@ -85,11 +103,40 @@ def _score(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select(KEY, "severe", F.get(raw, F.lit(1)).alias("score"))
 
 
-def fit_severity(df: DataFrame, inputs: list[str], rounds: int = 20, depth: int = 5, kind: str = "boosting"):
-    """Fit on all rows; returns (model, assembled rows, fitted assembly)."""
+@dataclass
+class SeverityModel:
+    """Boosted classifier with the preparation of its inputs, so that it can score a raw table."""
+
+    inputs: list[str]
+    assembly: PipelineModel
+    trees: GBTClassificationModel
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``collision_id, score`` of rows with the inputs."""
+        rows = apply_assembly(self.assembly, df, self.inputs, [KEY])
+        return self.trees.transform(rows).select(KEY, F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("score"))
+
+    def contributions(self, df: DataFrame) -> DataFrame:
+        """SHAP values in long form (collision_id, feature, value), for ``factor_ranking``."""
+        rows = apply_assembly(self.assembly, df, self.inputs, [KEY])
+        return shap_table(shap_values(self.trees, rows, KEY), KEY, self.inputs)
+
+    def save(self, path: str) -> None:
+        self.assembly.write().overwrite().save(f"{path}/assembly")
+        self.trees.write().overwrite().save(f"{path}/trees")
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(self.inputs,)], "inputs array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/header")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SeverityModel:
+        inputs = spark.read.schema("inputs array<string>").json(f"{path}/header").first()["inputs"]
+        return cls(list(inputs), PipelineModel.load(f"{path}/assembly"), GBTClassificationModel.load(f"{path}/trees"))
+
+
+def fit_severity(df: DataFrame, inputs: list[str], rounds: int = 20, depth: int = 5) -> SeverityModel:
+    """The boosted model, fitted on all rows."""
     rows, fitted = assemble(df, inputs, [KEY, "severe"])
-    n = rows.select(F.size(vector_to_array("features"))).first()[0]
-    return _classifier(kind, n, rounds, depth).fit(rows), rows, fitted
+    return SeverityModel(inputs, fitted, _classifier("boosting", len(inputs), rounds, depth).fit(rows))
 
 
 def held_out(df: DataFrame, inputs: list[str], k: int = 5, kind: str = "boosting", rounds: int = 20, depth: int = 5) -> DataFrame:

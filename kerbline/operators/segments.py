@@ -47,10 +47,11 @@ def in_window(assigned: DataFrame, years: tuple[int, int]) -> DataFrame:
     return in_years(assigned, *years).withColumn("_in", F.lit(1))
 
 
-def f_history(years: tuple[int, int]):
+def f_totals():
+    """Totals and means over the rows marked by ``_in``."""
     crashes = F.count("_in")
     each = F.nullif(crashes, F.lit(0).cast("long"))
-    out = [
+    return [
         crashes.alias("f_crashes"),
         F.sum("ksi").alias("f_ksi"),
         F.sum("n_fatal").alias("f_fatal"),
@@ -59,7 +60,10 @@ def f_history(years: tuple[int, int]):
         (F.sum("n_casualties") / each).alias("f_casualties_per_crash"),
         (F.sum("n_vehicles") / each).alias("f_vehicles_per_crash"),
     ]
-    return out + [F.count_if(_year() == years[0] + i).alias(f"f_year{i + 1}") for i in range(3)]
+
+
+def f_history(years: tuple[int, int]):
+    return [*f_totals(), *[F.count_if(_year() == years[0] + i).alias(f"f_year{i + 1}") for i in range(3)]]
 
 
 def f_speed():

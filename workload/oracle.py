@@ -98,6 +98,7 @@ _VIEWS = {
         SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance_m / (12 + candidate), candidate) AS rn,
           first_value(distance_m) OVER (PARTITION BY request_id ORDER BY distance_m / (12 + candidate), candidate) AS best_m FROM odd) x
         WHERE rn <= CASE WHEN best_m > 100000 THEN 1 ELSE 3 END""",
+    "leaves": """SELECT segment_id, avg(ksi_target) OVER () AS base, avg(ksi_target) OVER (PARTITION BY f_crashes >= 3) AS g FROM known""",
     "md5_order": """SELECT collision_id, CASE WHEN ksi > 0 THEN 1 ELSE 0 END AS severe, cast('0x' || substr(md5(CAST(collision_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM assigned""",
 }
 
@@ -115,6 +116,18 @@ def _captured(score: str) -> str:
         SELECT ksi_target, row_number() OVER (ORDER BY {score} DESC, segment_id) AS rn, count(*) OVER () AS n FROM known) q)"""
 
 
+# history of a segment in the three years before a crash; ``h`` are its crashes then
+_ROLLING = {
+    "f_crashes": "count(h.collision_id)",
+    **{f: f"CAST(sum(h.{c}) AS BIGINT)" for f, c in (("f_ksi", "ksi"), ("f_fatal", "n_fatal"), ("f_serious", "n_serious"), ("f_slight", "n_slight"))},
+    "f_casualties_per_crash": "round(avg(h.n_casualties), 6)",
+    "f_vehicles_per_crash": "round(avg(h.n_vehicles), 6)",
+    "f_speed_mean": "round(avg(h.speed_limit), 6)",
+    "f_urban_share": "round(avg(CASE WHEN h.is_urban THEN 1e0 WHEN NOT h.is_urban THEN 0e0 END), 6)",
+    "f_unlit_share": "round(avg(CASE WHEN h.lighting = 'dark_unlit' THEN 1e0 WHEN h.lighting <> 'dark_unlit' THEN 0e0 END), 6)",
+    "f_night_share": "round(avg(CASE WHEN h.hour >= 19 OR h.hour < 7 THEN 1e0 WHEN h.hour < 19 THEN 0e0 END), 6)",
+}
+
 _FINAL = {
     "completeness": """SELECT 'collision' AS kind, year, coalesce(n, 0) AS n, expected, CASE WHEN expected IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'missing'
         WHEN n < expected THEN 'short' WHEN n > expected THEN 'long' ELSE 'complete' END AS status
@@ -225,6 +238,15 @@ _FINAL = {
         count(*) FILTER (l) AS positives, count(*) FILTER (NOT l) AS negatives FROM (
         SELECT l, lo + (n - 1) / 2.0e0 AS r FROM (
           SELECT ksi_target > 0 AS l, rank() OVER (ORDER BY n_crashes) AS lo, count(*) OVER (PARTITION BY n_crashes) AS n FROM seg) a) b""",
+    # one Newton step in two leaves: the mean of each group against the overall mean
+    "poisson_step": """SELECT segment_id, round(base * exp(0.5e0 * (g / base - 1)), 6) AS score FROM leaves""",
+    "shap_step": """SELECT segment_id, round(abs(0.5e0 * avg(g / base - 1) OVER ()), 6) AS base, round(0.5e0 * (g / base - 1 - avg(g / base - 1) OVER ()), 6) AS value FROM leaves""",
+    "severity_inputs": f"""SELECT a.collision_id, CAST(any_value(a.ksi) > 0 AS INT) AS severe, any_value(cc.n) AS casualty_count, any_value(vc.n) AS vehicle_count,
+        {', '.join(f'nullif({x}, 0) AS {n}' if n == 'f_crashes' else f'{x} AS {n}' for n, x in _ROLLING.items())}
+        FROM assigned a LEFT JOIN assigned h ON h.segment_id = a.segment_id AND year(h.occurred_on) BETWEEN year(a.occurred_on) - 3 AND year(a.occurred_on) - 1
+        LEFT JOIN (SELECT collision_id, count(*) AS n FROM casualty GROUP BY 1) cc ON cc.collision_id = a.collision_id
+        LEFT JOIN (SELECT collision_id, count(*) AS n FROM vehicle GROUP BY 1) vc ON vc.collision_id = a.collision_id
+        WHERE year(a.occurred_on) >= (SELECT min(year(occurred_on)) + 3 FROM assigned) GROUP BY a.collision_id""",
     # what must hold whatever a fitted model says
     "scored_check": "SELECT count(*) AS segments, count(*) AS scored, CAST(0 AS BIGINT) AS not_positive, count(*) AS ranks, count(*) AS last_rank FROM seg",
     "shap_check": "SELECT count(*) AS segments, true AS additive FROM known",

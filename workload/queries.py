@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -542,6 +543,30 @@ def poisson_check(spark, sf):
     return d.select("segments", F.col("observed").cast("long").alias("observed"), (F.abs(F.col("expected") / F.col("observed") - 1) < 0.15).alias("total_agrees"))
 
 
+def _two_valued(spark, sf) -> DataFrame:
+    known = t.segments(spark, sf).where(F.col("f_crashes") > 0)
+    return known.select("segment_id", "ksi_target", array_to_vector(F.array((F.col("f_crashes") >= 3).cast("double"))).alias("features"))
+
+
+def _one_step(spark, sf) -> tuple[DataFrame, boost.PoissonModel]:
+    """One round on one input of two values: the tree's leaves are the means of two groups."""
+    rows = Scratch(spark, "two-valued").table(_two_valued(spark, sf))
+    return rows, boost.fit_poisson_gbt(rows, rounds=1, rate=0.5, depth=1, min_instances=1)
+
+
+@query
+def poisson_step(spark, sf):
+    rows, model = _one_step(spark, sf)
+    return rounded(model.predict(rows).select("segment_id", "score"), score=6)
+
+
+@query
+def shap_step(spark, sf):
+    rows, model = _one_step(spark, sf)
+    values = shap_values(model.trees, rows, "segment_id")
+    return rounded(values.select("segment_id", F.abs("base").alias("base"), F.get("contributions", F.lit(0)).alias("value")), base=6, value=6)
+
+
 _severity: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -550,13 +575,13 @@ def _severity_rows(spark, sf) -> DataFrame:
     if key not in _severity:
         after = severity.after_crash_columns(t.vehicle(spark, sf), t.casualty(spark, sf), views.VEHICLE_TYPES, views.IMPACTS)
         p = t.placed(spark, sf)
-        _severity[key] = Scratch(spark, "severity").table(severity.severity_rows(p.crashes, p.segments, views.TARGET_YEARS, after))
+        _severity[key] = Scratch(spark, "severity").table(severity.severity_rows(p.crashes, after))
     return _severity[key]
 
 
 @query
 def severity_model(spark, sf):
-    return severity.severity_report(_severity_rows(spark, sf), **SEVERITY_FIT)
+    return _severity_report(spark, sf)
 
 
 @query
@@ -574,10 +599,44 @@ def protocol(spark, sf):
     return severity.protocol_experiment(_severity_rows(spark, sf), severity.DEPLOYABLE, k=4, rounds=5, depth=3)
 
 
+@query
+def severity_inputs(spark, sf):
+    """Label and rolling history of every crash that the severity models see."""
+    rows = _severity_rows(spark, sf).select("collision_id", "severe", "casualty_count", "vehicle_count", *severity.HISTORY)
+    return rounded(rows, **{c: 6 for c in ("f_casualties_per_crash", "f_vehicles_per_crash", "f_speed_mean", "f_urban_share", "f_unlit_share", "f_night_share")})
+
+
+_report: dict[tuple[str, str], DataFrame] = {}
+
+
+def _severity_report(spark, sf) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _report:
+        _report[key] = severity.severity_report(_severity_rows(spark, sf), **SEVERITY_FIT)
+    return _report[key]
+
+
+@query
+def severity_factors(spark, sf):
+    """Factors of the deployable severity model, by its own SHAP values over all its crashes."""
+    rows = _severity_rows(spark, sf)
+    model = severity.fit_severity(rows, severity.DEPLOYABLE, SEVERITY_FIT["rounds"], SEVERITY_FIT["depth"])
+    return factor_ranking(model.contributions(rows))
+
+
+@query
+def model_capture(spark, sf):
+    """The headline claim: later casualties on the segments that out-of-fold scores rank first, against the count."""
+    known = _scored_segments(spark, sf).where(F.col("f_crashes") > 0)
+    return ranks.capture_compare(known, "score", "f_crashes", "ksi_target")
+
+
+@query
+def model_gains(spark, sf):
+    return ranks.gains(_scored_segments(spark, sf).where(F.col("f_crashes") > 0), "score", "ksi_target")
+
+
 @query
 def stats(spark, sf):
-    s = t.tiered(spark, sf)
-    known = s.where(F.col("f_crashes") > 0)
-    compare = ranks.capture_compare(known, "score", "f_crashes", "ksi_target")
-    report = severity.severity_report(_severity_rows(spark, sf), **SEVERITY_FIT)
-    return answers.stats_summary(s, compare, factor_ranking(t.from_orders(spark, sf, views.CONTRIBUTION)), report)
+    s = rank_segments(_scored_segments(spark, sf))
+    return answers.stats_summary(s, model_capture(spark, sf), shap_factors(spark, sf), _severity_report(spark, sf))
