@@ -75,7 +75,7 @@ def severity_rows(assigned: DataFrame, after: DataFrame | None = None, years: tu
     """
     if years is None:
         first, last = assigned.agg(F.year(F.min("occurred_on")), F.year(F.max("occurred_on"))).first()
-        years = (first + span, last) if first is not None else (1, 1)
+        years = (first + span, last) if first is not None else (2000, 2000)  # no rows, whatever the years
     c = in_years(assigned, *years).select(
         KEY, "segment_id", F.year("occurred_on").alias("year"), (F.col("ksi") > 0).cast("int").alias("severe"), "hour", is_night("hour").alias("is_night"),
         F.dayofweek("occurred_on").alias("weekday"), F.month("occurred_on").alias("month"), *PLACE,

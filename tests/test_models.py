@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import math
 import random
@@ -9,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from kerbline.models import boost, severity
-from kerbline.models.shap import leaf_contributions, read_leaves, shap_values
+from kerbline.models.shap import factor_ranking, leaf_contributions, read_leaves, shap_values
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +89,33 @@ def test_out_of_fold_never_sees_its_fold(spark, counts):
     assert j.agg(F.max(F.abs(F.col("again") - F.col("score")))).first()[0] < 1e-9
 
 
-def test_severity_models(spark):
+def test_scores_are_not_clipped(spark):
+    df = spark.createDataFrame([(float(i % 2), 40_000 if i % 2 else 0) for i in range(60)], "a double, ksi_target int")
+    v = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    m = boost.fit_poisson_gbt(v, rounds=30, rate=0.5, depth=1, min_instances=1, cut_every=4)
+    assert m.predict(v).where("a = 1").agg(F.min("score")).first()[0] == pytest.approx(40_000, rel=0.01)
+
+
+def test_rolling_history(spark):
+    """Against a plain loop; the first three years only serve as history."""
+    r = random.Random(4)
+    rows = [(i, r.choice("st"), dt.date(r.randint(2001, 2007), 6, 1), r.randint(0, 2), r.randint(0, 23), r.choice([30, 60])) for i in range(80)]
+    names = ["collision_id", "segment_id", "occurred_on", "ksi", "hour", "speed_limit"]
+    other = {"n_fatal": 0, "n_serious": 1, "n_slight": 2, "n_casualties": 3, "n_vehicles": 2, "road_type": "a", "junction_type": "none", "is_urban": True, "lighting": "daylight", "lon": 0.0, "lat": 51.0, "chainage": 1.0, "stretch_m": 9.0}
+    df = spark.createDataFrame(rows, names).withColumns({k: F.lit(v) for k, v in other.items()})
+    got = {x["collision_id"]: x for x in severity.severity_rows(df).collect()}
+    assert set(got) == {x[0] for x in rows if x[2].year >= min(y[2].year for y in rows) + 3}
+    for x in rows:
+        if x[0] in got:
+            before = [y for y in rows if y[1] == x[1] and x[2].year - 3 <= y[2].year < x[2].year]
+            assert (got[x[0]]["f_crashes"], got[x[0]]["f_ksi"]) == ((len(before), sum(y[3] for y in before)) if before else (None, None))
+            if before:
+                assert got[x[0]]["f_speed_mean"] == pytest.approx(sum(y[5] for y in before) / len(before))
+    assert severity.severity_rows(df, years=(2005, 2005)).count() == sum(x[2].year == 2005 for x in rows)
+    assert severity.severity_rows(df.limit(0)).count() == 0
+
+
+def test_severity_models(spark, tmp_path):
     r = random.Random(9)
     rows = [(i, int(r.random() < (0.7 if (s := r.choice([20, 70])) == 70 else 0.3)), s, r.choice("ab"), r.random()) for i in range(300)]
     df = spark.createDataFrame(rows, "collision_id long, severe int, speed_limit int, road_type string, casualty_age_mean double")
@@ -97,4 +124,10 @@ def test_severity_models(spark):
     assert rep["deployable"]["inputs"] == 2 and rep["explanatory"]["inputs"] == 3
     assert 0.6 < rep["deployable"]["auc"] < 0.85
     kinds = {x["model"]: x["auc"] for x in severity.compare_models(df, ["speed_limit", "road_type"], k=3, rounds=3, depth=3).collect()}
+    m = severity.fit_severity(df, ["speed_limit", "road_type"], rounds=3, depth=3)
+    m.save(str(tmp_path / "m"))
+    again = severity.SeverityModel.load(spark, str(tmp_path / "m"))
+    a, b = ({x["collision_id"]: x["score"] for x in y.score(df).collect()} for y in (m, again))
+    assert a == pytest.approx(b) and len(a) == 300
+    assert {x["feature"]: x["rank"] for x in factor_ranking(again.contributions(df)).collect()} == {"speed_limit": 1, "road_type": 2}
     assert set(kinds) == {"boosting", "svm", "neural_net"} and all(v > 0.55 for v in kinds.values())

@@ -27,7 +27,6 @@ from workload import views
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 
-FIT = {"rounds": 10, "rate": 0.3, "depth": 4}
 SEVERITY_FIT = {"k": 4, "rounds": 5, "depth": 3}
 
 
@@ -475,8 +474,7 @@ def _vectors(spark, sf):
 
 @query
 def poisson_fit(spark, sf):
-    rows = Scratch(spark, "vectors").table(_vectors(spark, sf))
-    model = boost.fit_poisson_gbt(rows, **FIT)
+    rows, model, _ = _explained(spark, sf)
     return boost.dispersion_check(model.predict(rows), "ksi_target", "score")
 
 
@@ -486,7 +484,7 @@ _scored: dict[tuple[str, str], DataFrame] = {}
 def _scored_segments(spark, sf) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _scored:
-        s = score_segments(t.segments(spark, sf).drop("score"), k=3, **FIT)
+        s = score_segments(t.segments(spark, sf).drop("score"))
         _scored[key] = Scratch(spark, "scored").table(s)
     return _scored[key]
 
@@ -506,18 +504,18 @@ def scored_check(spark, sf):
     )
 
 
-_small_fit: dict[tuple[str, str], tuple] = {}
+_fitted: dict[tuple[str, str], tuple] = {}
 
 
 def _explained(spark, sf):
-    """Vectors, a small model on them and its contributions, fitted once."""
+    """Vectors, the count model on all of them and its contributions, fitted once."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _small_fit:
+    if key not in _fitted:
         s = Scratch(spark, "explained")
         rows = s.table(_vectors(spark, sf))
-        model = boost.fit_poisson_gbt(rows, rounds=4, rate=0.3, depth=4)
-        _small_fit[key] = rows, model, s.table(shap_values(model.trees, rows, "segment_id"))
-    return _small_fit[key]
+        model = boost.fit_poisson_gbt(rows)
+        _fitted[key] = rows, model, s.table(shap_values(model.trees, rows, "segment_id"))
+    return _fitted[key]
 
 
 @query
