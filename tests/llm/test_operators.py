@@ -300,6 +300,14 @@ def test_mix_rows_as_often_as_weighed(spark, docs):
     assert mixing.mix(docs.limit(0), shards=4).count() == 0
 
 
+def test_taken_words_are_what_the_tree_deals(spark, docs):
+    """Repeated rows and null ids included; the number of shards changes where, not how much."""
+    want = Counter((r.doc_id, r.size, r.size * r.passes) for r in mixing.weighed(docs, Scratch(spark, "t")).collect())
+    for shards in (1, 7):
+        assert Counter((r.doc_id, r.size, r.taken) for r in mixing.taken_words(docs, shards=shards).collect()) == want
+    assert mixing.taken_words(docs.limit(0), shards=4).count() == 0
+
+
 def test_splitting_tree_keeps_quotas():
     quotas = [5000, 17, 0, 300]
     leaves = mixing.split_quotas(quotas, 16)
