@@ -21,7 +21,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import partitions
@@ -41,6 +42,8 @@ GROUPED = 3 * STEP
 SCREEN_SD = 4.25
 #: Documents per block in the exact comparison, and rows that a task descends at once.
 BLOCK, BUFFER = 48, 1 << 15
+#: A cut region gets further hubs while its last ones settled, besides themselves, more than one of so many members.
+AGAIN = 16
 
 TRIANGLE = [np.triu_indices(n, 1) for n in range(OPEN + 1)]
 _SEEDS = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -135,61 +138,223 @@ def _region_pairs(values: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
 
 
-def _descend(least: int):
-    """Candidate pairs of the regions in a task's sorted run of one or more trees' rows."""
+def _alike(ids: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> pd.DataFrame:
+    """The distinct pairs of rows ``i`` and ``j`` that agree in at least so many values, as ids ``a < b``."""
+    alike = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        part = slice(k, k + (1 << 16))
+        alike[part] = (values[i[part]] == values[j[part]]).sum(axis=1) >= least
+    a, b = np.minimum(ids[i], ids[j])[alike], np.maximum(ids[i], ids[j])[alike]
+    u = np.unique(np.stack((a, b), axis=1)[a != b], axis=0)
+    return pd.DataFrame({"a": u[:, 0], "b": u[:, 1]})
+
+
+def _values(orders) -> np.ndarray:
+    return np.frombuffer(b"".join(orders), ">u2").reshape(-1, VALUES)
+
+
+def _runs(regions: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], regions[1:] != regions[:-1], [True])))
+
+
+FOUND = "a long, b long, tree int, key long, at int, order binary"
+
+
+def _descend(least: int, buffer: int):
+    """Candidate pairs ``a, b`` of the regions in a task's sorted run of one or more trees' rows.
+
+    Regions that do not lie whole in one chunk are named besides (``tree, key``), and the rows next to the
+    task's ends in them are handed on (``a`` with ``order``, to the end ``at``): an end may be that of several
+    tasks, where tasks have few rows.
+    """
 
     def pairs(ids: np.ndarray, regions: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-        cuts = np.flatnonzero(np.concatenate(([True], regions[1:] != regions[:-1], [True])))
+        cuts = _runs(regions) if len(regions) else []
         found = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a > 1:
                 found.append(_region_pairs(values[a:b]) + a)
         i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        alike = np.zeros(len(i), bool)
-        for k in range(0, len(i), 1 << 16):
-            part = slice(k, k + (1 << 16))
-            alike[part] = (values[i[part]] == values[j[part]]).sum(axis=1) >= least
-        a, b = np.minimum(ids[i], ids[j])[alike], np.maximum(ids[i], ids[j])[alike]
-        u = np.unique(np.stack((a, b), axis=1)[a != b], axis=0)
-        return pd.DataFrame({"a": u[:, 0], "b": u[:, 1]})
+        return table(_alike(ids, values, i, j, least))
+
+    def table(df: pd.DataFrame) -> pd.DataFrame:
+        for c, t in (("a", "Int64"), ("b", "Int64"), ("tree", "Int32"), ("key", "Int64"), ("at", "Int32")):
+            df[c] = df[c].astype(t) if c in df else pd.array([None] * len(df), t)
+        df["order"] = df["order"] if "order" in df else None
+        return df[["a", "b", "tree", "key", "at", "order"]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
         ids, regions, values = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, VALUES), np.dtype(">u2"))
+        split, met, size, region, first, head, tail = set(), 0, 0, None, None, [], []
         for f in frames:
+            if not len(f):
+                continue
+            keys = f["key"].to_numpy()
+            cuts = _runs(keys)
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                here = (int(f["tree"].iat[x]), int(keys[x]))
+                if here != region:
+                    if met < size:
+                        split.add(region)
+                    region, met, size, tail = here, 0, int(f["n"].iat[x]), []
+                    first = first or here
+                met += y - x
+                rows = lambda p, q: list(zip(f["doc_id"].iloc[p:q].tolist(), f["order"].iloc[p:q], strict=True))
+                if here == first and len(head) < OPEN - 1:
+                    head += rows(x, min(y, x + OPEN - 1 - len(head)))
+                tail = (tail + rows(max(x, y - OPEN + 1), y))[1 - OPEN :]
             ids = np.concatenate((ids, f["doc_id"].to_numpy()))
-            regions = np.concatenate((regions, f["key"].to_numpy()))
-            values = np.concatenate((values, np.frombuffer(b"".join(f["order"]), ">u2").reshape(-1, VALUES)))
-            if len(ids) < BUFFER:
+            regions = np.concatenate((regions, keys))
+            values = np.concatenate((values, _values(f["order"])))
+            if len(ids) < buffer:
                 continue
             start = int(np.flatnonzero(np.concatenate(([True], regions[1:] != regions[:-1])))[-1])
-            if start == 0:  # one region larger than the buffer: what is descended now stays known by its hubs
+            if start == 0:  # one region larger than the buffer
                 yield pairs(ids, regions, values)
-                keep = np.sort(_crowd(values)[0])
+                split.add(region)
+                keep = np.arange(max(0, len(ids) - OPEN + 1), len(ids))
             else:
                 yield pairs(ids[:start], regions[:start], values[:start])
                 keep = np.arange(start, len(ids))
             ids, regions, values = ids[keep], regions[keep], values[keep]
         yield pairs(ids, regions, values)
+        if met < size:
+            split.add(region)
+        yield table(pd.DataFrame(sorted(split), columns=["tree", "key"]))
+        ends = [(*first, task - 1 - k, i, o) for d, (i, o) in enumerate(head) for k in range(OPEN - 1 - d) if first in split]
+        ends += [(*region, task + k, i, o) for d, (i, o) in enumerate(reversed(tail)) for k in range(OPEN - 1 - d) if region in split]
+        yield table(pd.DataFrame(ends, columns=["tree", "key", "at", "a", "order"]))
 
     return run
 
 
-def candidates(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _together(least: int):
+    """Candidate pairs among few rows: those on both sides of the end of a task, or the last of a region."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in f.drop_duplicates(["tree", "key", "a"]).groupby(["tree", "key"]):
+            i, j = np.triu_indices(len(g), 1)
+            out.append(_alike(g["a"].to_numpy(np.int64), _values(g["order"]), i, j, least))
+        return pd.concat(out)
+
+    return run
+
+
+def _tallies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``tree, key, position, found, times``: how often each value occurs at each position of a region."""
+    for f in frames:
+        out = []
+        for (tree, key), g in f.groupby(["tree", "key"]):
+            values = _values(g["order"])
+            for v in range(VALUES):
+                found, times = np.unique(values[:, v], return_counts=True)
+                out.append((tree, key, v, found.astype("<u2").tobytes(), times.astype("<u4").tobytes()))
+        yield pd.DataFrame(out, columns=["tree", "key", "position", "found", "times"])
+
+
+def _commonest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``tree, key, position, value``: adds up tallies sorted by region and position, and takes the commonest."""
+    at, total = None, np.zeros(1 << 16, np.int64)
+    for f in frames:
+        out = []
+        for tree, key, v, found, times in zip(*(f[c] for c in ("tree", "key", "position", "found", "times")), strict=True):
+            if (tree, key, v) != at:
+                if at:
+                    out.append((*at, int(total.argmax())))
+                at = (tree, key, v)
+                total[:] = 0
+            total[np.frombuffer(found, "<u2")] += np.frombuffer(times, "<u4")
+        yield pd.DataFrame(out, columns=["tree", "key", "position", "value"])
+    yield pd.DataFrame([(*at, int(total.argmax()))] if at else [], columns=["tree", "key", "position", "value"])
+
+
+def _nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``tree, key, agree, doc_id, order``: of each batch, the rows of a region that agree most with its commonest values."""
+    for f in frames:
+        out = [pd.DataFrame(columns=["tree", "key", "agree", "doc_id", "order"])]
+        for _, g in f.groupby(["tree", "key"]):
+            agree = (_values(g["order"]) == np.array(g["common"].iat[0])).sum(axis=1)
+            best = g.assign(agree=agree).sort_values(["agree", "doc_id"], ascending=[False, True])[:HUBS]
+            out.append(best[["tree", "key", "agree", "doc_id", "order"]])
+        yield pd.concat(out)
+
+
+def _with_hubs(least: int):
+    """Per member of a region: its pairs ``a, b`` with the region's hubs; or the member itself where it has none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [pd.DataFrame(columns=["tree", "key", "order", "doc_id", "a", "b"])]
+            for _, g in f.groupby(["tree", "key"]):
+                ids, values, met = g["doc_id"].to_numpy(), _values(g["order"]), np.zeros(len(g), bool)
+                for hub in g["hubs"].iat[0]:
+                    near = (values == _values([hub["order"]])).sum(axis=1) >= least
+                    met |= near
+                    x = ids[near & (ids != hub["doc_id"])]
+                    out.append(g[near & (ids != hub["doc_id"])][["tree", "key"]].assign(a=np.minimum(x, hub["doc_id"]), b=np.maximum(x, hub["doc_id"])))
+                out.append(g[~met][["tree", "key", "order", "doc_id"]])
+            t = pd.concat(out)
+            yield t.astype({"tree": "int32", "key": "int64", "doc_id": "Int64", "a": "Int64", "b": "Int64"}).assign(order=t["order"].where(t["order"].notna(), None))
+
+    return run
+
+
+def _hub_pairs(members: DataFrame, split: DataFrame, least: int, scratch: Scratch) -> DataFrame | None:
+    """Candidate pairs of the hubs of split regions with all their members, wherever those were dealt.
+
+    Hubs are found for the whole region: commonest value per position over all members, then the members that
+    agree most with those. What resembles none of them goes through another round, for the region's next group,
+    as long as a round settles more than one member in ``AGAIN``; when few are left, they are opened whole.
+    """
+    rest, found = scratch.keep(members.join(split, ["tree", "key"]).select("tree", "key", "order", "doc_id"), "split")
+    out = None
+    while found["rows"]:
+        tallies = rest.mapInPandas(_tallies, "tree int, key long, position int, found binary, times binary")
+        sums = tallies.repartition(partitions(rest), "tree", "key", "position").sortWithinPartitions("tree", "key", "position").mapInPandas(_commonest, "tree int, key long, position int, value int")
+        common = sums.groupBy("tree", "key").agg(F.sort_array(F.collect_list(F.struct("position", "value")))["value"].alias("common"))
+        common = scratch.table(common, "common")
+        near = rest.join(common, ["tree", "key"]).mapInPandas(_nearest, "tree int, key long, agree long, doc_id long, order binary")
+        best = near.withColumn("rank", F.row_number().over(Window.partitionBy("tree", "key").orderBy(F.desc("agree"), "doc_id"))).where(F.col("rank") <= HUBS)
+        hubs = scratch.table(best.groupBy("tree", "key").agg(F.collect_list(F.struct("doc_id", "order")).alias("hubs")), "hubs")
+        met = scratch.table(rest.join(hubs, ["tree", "key"]).mapInPandas(_with_hubs(least), "tree int, key long, order binary, doc_id long, a long, b long"), "met")
+        pairs = met.where("a is not null").select("a", "b")
+        out = pairs if out is None else out.union(pairs)
+        before = rest.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("before"))
+        left = met.where("a is null").groupBy("tree", "key").agg(F.count(F.lit(1)).alias("left"))
+        left = scratch.table(left.join(before, ["tree", "key"]), "left")
+        lone = met.where("a is null").select("tree", "key", F.col("doc_id").alias("a"), "order")
+        few = lone.join(left.where(F.col("left").between(2, OPEN)).select("tree", "key"), ["tree", "key"])
+        out = out.union(few.groupBy("tree", "key").applyInPandas(_together(least), "a long, b long"))
+        again = left.where(F.expr(f"left > {OPEN} and (before - left - {HUBS}) * {AGAIN} > before")).select("tree", "key")
+        rest, found = scratch.keep(lone.withColumnRenamed("a", "doc_id").join(again, ["tree", "key"]), "rest")
+    return out
+
+
+def candidates(sets: DataFrame, threshold: float, scratch: Scratch, buffer: int = BUFFER) -> DataFrame:
     """Distinct candidate pairs ``a < b`` from ``doc_id, keys, signature``.
 
     Only documents that share a region travel with their signatures. Rows are dealt by ranges of the sorted
-    order, so a region of any size spreads over as many tasks as it needs, each with its own hubs; where a range
-    ends inside a small region, other trees, cut elsewhere, still see its pairs.
+    order, so a region of any size spreads over as many tasks as it needs; small ones stay whole. Where a
+    crowded region is cut, all its members meet the hubs of the whole region, and the rows next to the cut each other.
     """
     keys = sets.select("doc_id", F.posexplode("keys").alias("tree", "key"))
-    shared = keys.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "key")
+    shared = keys.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = keys.join(shared, ["tree", "key"]).join(sets.select("doc_id", "signature"), "doc_id")
     order = F.expr(f"concat(substring(signature, tree * {2 * STEP} + 1), substring(signature, 1, tree * {2 * STEP}))")
-    members = members.select("tree", "key", order.alias("order"), "doc_id")
-    dealt = members.repartitionByRange(partitions(sets), "tree", "key", "order", "doc_id").sortWithinPartitions("tree", "key", "order", "doc_id")
+    members = members.select("tree", "key", order.alias("order"), "doc_id", "n")
+    crowded = lambda c: F.when(F.col("n") > OPEN, F.col(c))
+    dealt = members.repartitionByRange(partitions(sets), "tree", "key", crowded("order"), crowded("doc_id")).sortWithinPartitions("tree", "key", "order", "doc_id")
     least = int(np.floor(VALUES * threshold - SCREEN_SD * np.sqrt(VALUES * threshold * (1 - threshold))))
-    found = dealt.mapInPandas(_descend(least), "a long, b long")
-    return scratch.table(found.distinct(), "candidates")
+    found = scratch.table(dealt.mapInPandas(_descend(least, buffer), FOUND), "found")
+    pairs = found.where("b is not null").select("a", "b")
+    split, some = scratch.keep(found.where("a is null").select("tree", "key").distinct(), "cuts")
+    if some["rows"]:
+        ends = found.where("at is not null").select("at", "tree", "key", "a", "order")
+        pairs = pairs.union(ends.groupBy("at").applyInPandas(_together(least), "a long, b long"))
+        pairs = pairs.union(_hub_pairs(members, split, least, scratch))
+    return scratch.table(pairs.distinct(), "candidates")
 
 
 def _confirm(width: int, percent: int):

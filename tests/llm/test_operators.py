@@ -172,6 +172,30 @@ def test_crowded_region_keeps_its_links():
     assert pairs.shape[1] < 301 * 60  # bounded per document, not all 45,150
 
 
+def test_cut_regions_keep_their_links(spark):
+    """Two groups of edited copies in one region, cut into many chunks and tasks, and a row of close neighbours,
+    against all pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    base = r.integers(0, 60_000, near_dup.VALUES)
+    other = np.where(np.arange(near_dup.VALUES) < 8, base, r.integers(0, 60_000, near_dup.VALUES))
+    edits = lambda x, n: [np.where(r.random(len(x)) < 0.12, r.integers(0, 60_000, len(x)), x) for _ in range(n)]
+    rows = np.array([base, *edits(base, 900), other, *edits(other, 500)], ">u2")
+    sets = spark.createDataFrame([(i, [7], v.tobytes()) for i, v in enumerate(rows)], "doc_id long, keys array<long>, signature binary").repartition(3)
+    threshold = 0.95  # copies reach the screen with the text they come from, and hardly with each other
+    least = int(np.floor(near_dup.VALUES * threshold - near_dup.SCREEN_SD * np.sqrt(near_dup.VALUES * threshold * (1 - threshold))))
+    got = {(p.a, p.b) for p in near_dup.candidates(sets, threshold, Scratch(spark, "t"), buffer=64).collect()}
+    true = {(i, j) for i, x in enumerate(rows) for j in np.flatnonzero((rows[i + 1 :] == x).sum(axis=1) >= least) + i + 1}
+    assert got <= true and {(i, j) for i, j in true if i in (0, 901) or j == 901} <= got
+    # sorted neighbours a few rows apart, over the ends of tasks that hold less than that
+    close = np.tile(base, (120, 1)).astype(">u2")
+    close[:, -1] = np.arange(120)
+    sets = spark.createDataFrame([(i, [7], v.tobytes()) for i, v in enumerate(close)], "doc_id long, keys array<long>, signature binary")
+    got = {(p.a, p.b) for p in near_dup.candidates(sets, 0.99, Scratch(spark, "t"), buffer=24).collect()}
+    assert {(i, i + 1) for i in range(119)} <= got
+
+
 def test_sharding_law_places_and_growth(spark, docs, tmp_path):
     got = sharding.shard_documents(docs, 5, map_folder=str(tmp_path / "map")).collect()
     want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
