@@ -16,8 +16,10 @@ from kerbline.scratch import Scratch
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate above both: so many documents of its host, and this share of them.
-LINE_DOCS, LINE_SHARE = 20, 0.1
+#: A line is boilerplate above so many documents of its host, however large the host is.
+LINE_DOCS = 20
+#: Read by the SQL counterpart alone, which asks for this share of the host's documents besides.
+LINE_SHARE = 0.1
 #: A document is depleted when less than this share of its words is left.
 LEAST_LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -72,7 +74,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", failed)
 
 
-def depleted(docs: DataFrame, scratch: Scratch, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def depleted(docs: DataFrame, scratch: Scratch, line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """``host, digest`` of the texts that lose too many words with their host's frequent lines.
 
     Copies of one text within a host are merged before any line is counted (their word sums scale alike,
@@ -84,10 +86,7 @@ def depleted(docs: DataFrame, scratch: Scratch, line_docs: int = LINE_DOCS, line
     lines = docs.select(F.col("source").alias("host"), _digest(text).alias("digest"), F.explode(F.filter(F.split(text, "\n"), _has_word)).alias("line"))
     lines = lines.select("host", "digest", F.xxhash64(norm).alias("line"), F.size(F.split(norm, " ")).cast("long").alias("w"))
     lines = scratch.table(lines.groupBy("host", "digest", "line").agg(F.sum("w").alias("w")), "lines")
-    sizes = lines.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
-    o, s = often.alias("o"), sizes.alias("s")
-    often = o.join(s, F.col("o.host").eqNullSafe(F.col("s.host"))).where(F.col("n") > F.col("docs") * line_share).select("o.host", "o.line", F.lit(True).alias("gone"))
+    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).select("host", "line", F.lit(True).alias("gone"))
     a, b = lines.alias("a"), often.alias("b")
     marked = a.join(b, F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")), "left").select("a.host", "a.digest", "a.w", "b.gone")
     left = F.sum(F.when(F.col("gone"), 0).otherwise(F.col("w")))

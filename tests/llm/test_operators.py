@@ -351,6 +351,15 @@ def test_quality_keeps_clean_copies_and_rejects_depleted(spark):
     assert quality_rules.judged(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_a_notice_in_a_small_share_of_a_large_host(spark):
+    r = random.Random(6)
+    clean = [(i, prose(60, r), "hot") for i in range(1470)]
+    notice = "\n".join(prose(12, random.Random(k)) for k in range(6))
+    poor = [(2000 + i, prose(20, r) + "\n" + notice, "hot") for i in range(30)]
+    df = spark.createDataFrame(clean + poor, "doc_id long, text string, source string")
+    assert {x.doc_id for x in quality_rules.kept_rows(df).collect()} == {i for i, _, _ in clean}
+
+
 def test_licences(spark):
     texts = ["Copyright (c) 2020 Someone\n\nMIT LICENCE\n\n" + licences._MIT.replace("\n", "\n\n").replace("sublicense", "sublicence"), "x\nReleased under the  MIT licence!\ny", "Released under the MIT", None, "...", "Licensed under CC BY-NC 4.0"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
