@@ -1,6 +1,6 @@
 """Licence scan by canonical digest lookup.
 
-Texts are brought to a canonical form (case, punctuation, copyright lines, equivalent spellings), hashed, and
+Texts are brought to a canonical form (case, punctuation, copyright notices, equivalent spellings), hashed, and
 hash-joined to the digests of known licence texts. Whole documents are looked up, and so are whole lines, which
 finds short licence notices inside other documents.
 """
@@ -42,12 +42,23 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."), ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 ]
 
+#: Read by the SQL counterpart alone, which drops whole lines.
 _COPYRIGHT = r"(?im)^[^\S\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
+# A notice is copyright with a sign, a year or a holder, and ends with its line or where a licence phrase begins; words of
+# licence texts that a line may begin with by its wrapping ("copyright notice", "COPYRIGHT HOLDERS", "(c) You must") are none.
+_WORDS = r"notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|treaty|treaties|protection|infringement|and|or|in|is|to|of|for|with|under|that"
+_PHRASE = r"\b(?i:(?:re)?licen[cs]ed (?:under|to)|released (?:under|to)|(?:re)?distributed under|(?:provided|available) under|this (?:work|software|program|file|project|library)\b|permission (?:is|to)\b|redistribution and\b|spdx-license)"
+_NOTICE = (
+    r"(?m)^[^\S\n]*(?:(?:(?i:copyright)[:,]?[^\S\n]*(?:(?i:\(c\)|by\b)|©|[\[<{]?(?:\d{4}\b|(?i:yyyy|year)\b))"
+    rf"|(?i:copyright)[^\S\n]+(?!(?i:{_WORDS})\b)\p{{Lu}}|(?i:\(c\))[^\S\n]*(?:\d{{4}}\b|(?i:copyright)\b)|©)"
+    rf"[^\n]*?(?={_PHRASE}|$)|(?i:all rights reserved)\b[.!]?)"
+)
+
 
 def canonical(text: Column) -> Column:
-    """Copyright lines go; lower case; whatever is no letter or digit becomes one space; spellings unified."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _COPYRIGHT, " ")
+    """Copyright notices go; lower case; whatever is no letter or digit becomes one space; spellings unified."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NOTICE, " ")
     t = F.btrim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
     variants = F.create_map(*[F.lit(x) for v, c in SPELLINGS if " " not in v for x in (v, c)])
     phrases = [(v, c) for v, c in SPELLINGS if " " in v]

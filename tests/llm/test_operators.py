@@ -367,6 +367,18 @@ def test_licences(spark):
     assert got == {0: ("MIT", []), 1: (None, ["MIT"]), 2: (None, []), 3: (None, []), 4: (None, []), 5: ("CC-BY-NC-4.0", ["CC-BY-NC-4.0"])}
 
 
+def test_licences_at_any_wrapping(spark):
+    import textwrap
+
+    texts = [(name, "Copyright (c) 2020 Some One\n\n" + textwrap.fill(known, width)) for name, known in (("MIT", licences._MIT), ("ISC", licences._ISC)) for width in range(40, 100)]
+    texts.append(("ISC", "Copyright Some One\nAll rights reserved.\n\n" + licences._ISC.replace("that the above copyright", "that the above\ncopyright")))
+    texts += [("MIT", "Copyright (c) 2020 A. Licensed under the MIT License."), ("MIT", "© 2020 A\nReleased under the MIT License."), ("MIT", "(c) 2020 A. All rights reserved.\nReleased under the MIT License.")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(df, licences.known_table(spark)).collect()}
+    assert {i: got[i][0] for i in got} == {i: n for i, (n, _) in enumerate(texts)}
+    assert got[len(texts) - 3] == ("MIT", ["MIT"])
+
+
 # --- conversations ----------------------------------------------------------------------------
 
 
