@@ -7,6 +7,9 @@ finds short licence notices inside other documents.
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,11 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."), ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 ]
 
+#: Further notices, as lines; the SQL counterpart knows neither these nor the full texts.
+HEADERS = [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");')]
+#: Digests of the canonical forms of full texts and standard headers (``licence, digest``).
+FULL_TEXTS = Path(__file__).with_name("known_licences.csv")
+
 #: Read by the SQL counterpart alone, which drops whole lines.
 _COPYRIGHT = r"(?im)^[^\S\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
@@ -75,10 +83,13 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_table(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """``digest, licence``; texts that agree in canonical form have to name the same licence."""
-    t = literal_table(spark, known, "licence string, text string")
-    return t.select(digest(F.col("text")).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+def known_table(spark: SparkSession, known: list[tuple[str, str]] = KNOWN + HEADERS) -> DataFrame:
+    """``digest, licence`` of the given texts and of the full texts; texts that agree in canonical form have to
+    name the same licence."""
+    t = literal_table(spark, known, "licence string, text string").select(digest(F.col("text")).alias("digest"), "licence")
+    with FULL_TEXTS.open(newline="") as f:
+        full = literal_table(spark, [(r["digest"], r["licence"]) for r in csv.DictReader(f)], "digest string, licence string")
+    return t.union(full).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

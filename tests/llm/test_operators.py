@@ -379,6 +379,22 @@ def test_licences_at_any_wrapping(spark):
     assert got[len(texts) - 3] == ("MIT", ["MIT"])
 
 
+def test_full_licence_texts(spark):
+    """Texts as Debian installs them; where they are not at hand, the header alone."""
+    from pathlib import Path
+
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    found = [(n, (Path("/usr/share/common-licenses") / f).read_text()) for f, n in names.items() if (Path("/usr/share/common-licenses") / f).exists()]
+    header = """Copyright 2020 Some One\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n
+    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and\nlimitations under the License."""
+    texts = [*found, ("Apache-2.0", header)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: (r.licence, r.notices) for r in licences.scan(df, licences.known_table(spark)).collect()}
+    assert {i: got[i][0] for i in got} == {i: n for i, (n, _) in enumerate(texts)}
+    assert got[len(found)] == ("Apache-2.0", ["Apache-2.0"])
+
+
 # --- conversations ----------------------------------------------------------------------------
 
 
