@@ -157,14 +157,14 @@ def _runs(regions: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], regions[1:] != regions[:-1], [True])))
 
 
-FOUND = "a long, b long, tree int, key long, at int, order binary"
+FOUND = "a long, b long, tree int, key long, at int, after int, order binary"
 
 
 def _descend(least: int, buffer: int):
     """Candidate pairs ``a, b`` of the regions in a task's sorted run of one or more trees' rows.
 
     Regions that do not lie whole in one chunk are named besides (``tree, key``), and the rows next to the
-    task's ends in them are handed on (``a`` with ``order``, to the end ``at``): an end may be that of several
+    task's ends in them are handed on (``a`` with ``order``, to the end ``at``, ``after`` or before it): an end may be that of several
     tasks, where tasks have few rows.
     """
 
@@ -178,10 +178,10 @@ def _descend(least: int, buffer: int):
         return table(_alike(ids, values, i, j, least))
 
     def table(df: pd.DataFrame) -> pd.DataFrame:
-        for c, t in (("a", "Int64"), ("b", "Int64"), ("tree", "Int32"), ("key", "Int64"), ("at", "Int32")):
+        for c, t in (("a", "Int64"), ("b", "Int64"), ("tree", "Int32"), ("key", "Int64"), ("at", "Int32"), ("after", "Int32")):
             df[c] = df[c].astype(t) if c in df else pd.array([None] * len(df), t)
         df["order"] = df["order"] if "order" in df else None
-        return df[["a", "b", "tree", "key", "at", "order"]]
+        return df[["a", "b", "tree", "key", "at", "after", "order"]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
@@ -222,15 +222,15 @@ def _descend(least: int, buffer: int):
         if met < size:
             split.add(region)
         yield table(pd.DataFrame(sorted(split), columns=["tree", "key"]))
-        ends = [(*first, task - 1 - k, i, o) for d, (i, o) in enumerate(head) for k in range(OPEN - 1 - d) if first in split]
-        ends += [(*region, task + k, i, o) for d, (i, o) in enumerate(reversed(tail)) for k in range(OPEN - 1 - d) if region in split]
-        yield table(pd.DataFrame(ends, columns=["tree", "key", "at", "a", "order"]))
+        ends = [(*first, task - 1 - k, 1, i, o) for d, (i, o) in enumerate(head) for k in range(OPEN - 1 - d) if first in split]
+        ends += [(*region, task + k, 0, i, o) for d, (i, o) in enumerate(reversed(tail)) for k in range(OPEN - 1 - d) if region in split]
+        yield table(pd.DataFrame(ends, columns=["tree", "key", "at", "after", "a", "order"]))
 
     return run
 
 
 def _together(least: int):
-    """Candidate pairs among few rows: those on both sides of the end of a task, or the last of a region."""
+    """Candidate pairs among the few rows that a region has left."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -242,6 +242,23 @@ def _together(least: int):
     return run
 
 
+def _over_cuts(least: int):
+    """Candidate pairs over the end of a task: of the rows next to it, those that a part of ``OPEN`` rows could hold."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        for _, g in f.groupby(["tree", "key"]):
+            g = g.sort_values(["after", "order", "a"])
+            g = pd.concat((g[g["after"] == 0][1 - OPEN :], g[g["after"] == 1][: OPEN - 1]))
+            n = int((g["after"] == 0).sum())
+            i, j = np.triu_indices(len(g), 1)
+            over = (i < n) & (j >= n) & (j - i < OPEN)
+            out.append(_alike(g["a"].to_numpy(np.int64), _values(g["order"]), i[over], j[over], least))
+        return pd.concat(out)
+
+    return run
+
+
 def _tallies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``tree, key, position, found, times``: how often each value occurs at each position of a region."""
     for f in frames:
@@ -351,8 +368,8 @@ def candidates(sets: DataFrame, threshold: float, scratch: Scratch, buffer: int
     pairs = found.where("b is not null").select("a", "b")
     split, some = scratch.keep(found.where("a is null").select("tree", "key").distinct(), "cuts")
     if some["rows"]:
-        ends = found.where("at is not null").select("at", "tree", "key", "a", "order")
-        pairs = pairs.union(ends.groupBy("at").applyInPandas(_together(least), "a long, b long"))
+        ends = found.where("at is not null").select("at", "after", "tree", "key", "a", "order")
+        pairs = pairs.union(ends.groupBy("at").applyInPandas(_over_cuts(least), "a long, b long"))
         pairs = pairs.union(_hub_pairs(members, split, least, scratch))
     return scratch.table(pairs.distinct(), "candidates")
 
