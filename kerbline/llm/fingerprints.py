@@ -5,7 +5,7 @@ lane modulo a power of two. Sums do not depend on order, a paragraph is inserted
 deleted by subtracting it, and two documents are equal as multisets of paragraphs when all lanes agree.
 
 The vector has two kinds of lanes. ``WIDE`` 64-bit lanes come from a cryptographic hash of the paragraph's
-bytes and carry equality. ``SKETCH`` 16-bit lanes are a signed count sketch of the paragraph's word shingles:
+bytes and carry equality. ``SKETCH`` 32-bit lanes are a signed count sketch of the paragraph's word shingles:
 inner products of such lanes estimate how many shingles two documents share, which gives a likeness.
 """
 
@@ -27,7 +27,7 @@ WIDE, SKETCH, SHINGLE = 16, 256, 3
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Wide lanes (n x WIDE, modulo 2**64) and sketch lanes (n x SKETCH, modulo 2**16) of whole texts."""
+    """Wide lanes (n x WIDE, modulo 2**64) and sketch lanes (n x SKETCH, modulo 2**32) of whole texts."""
     wide = np.zeros((len(texts), WIDE), np.uint64)
     sketch = np.zeros((len(texts), SKETCH), np.int64)
     for a, b in batches(texts):
@@ -40,16 +40,16 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cell = owner[of] * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64)
         sign = ((h >> np.uint64(40)) & np.uint64(1)).astype(np.int64) * 2 - 1
         sketch[a:b] += np.bincount(cell - a * SKETCH, sign, (b - a) * SKETCH).astype(np.int64).reshape(-1, SKETCH)
-    return wide, sketch.astype(np.uint16)
+    return wide, sketch.astype(np.uint32)
 
 
 def encoded(wide: np.ndarray, sketch: np.ndarray) -> list[str]:
-    return [base64.b64encode(w.astype("<u8").tobytes() + s.astype("<u2").tobytes()).decode() for w, s in zip(wide, sketch, strict=True)]
+    return [base64.b64encode(w.astype("<u8").tobytes() + s.astype("<u4").tobytes()).decode() for w, s in zip(wide, sketch, strict=True)]
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw, "<u8", WIDE), np.frombuffer(raw, "<u2", SKETCH, 8 * WIDE)
+    return np.frombuffer(raw, "<u8", WIDE), np.frombuffer(raw, "<u4", SKETCH, 8 * WIDE)
 
 
 def combined(a: str, b: str, sign: int = 1) -> str:
@@ -62,7 +62,7 @@ def combined(a: str, b: str, sign: int = 1) -> str:
 def likeness(wide_a: np.ndarray, a: np.ndarray, wide_b: np.ndarray, b: np.ndarray) -> np.ndarray:
     """From 0 to 1, row by row: shared shingles over the mean of both counts, as the sketches estimate it;
     exactly 1 where all lanes agree."""
-    x, y = a.astype(np.int16).astype(np.float64), b.astype(np.int16).astype(np.float64)
+    x, y = a.astype(np.int32).astype(np.float64), b.astype(np.int32).astype(np.float64)
     size = (x * x).sum(1) + (y * y).sum(1)
     out = np.clip(2 * (x * y).sum(1) / np.where(size > 0, size, 1), 0, 1)
     return np.where((wide_a == wide_b).all(1) & (a == b).all(1), 1.0, out)

@@ -240,6 +240,13 @@ def test_fingerprints_of_documents_and_edits(docs):
     assert fingerprints.compared(docs).count() == docs.count() and fingerprints.compared(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_of_a_line_repeated_often():
+    """More shingles of one kind than 16 bits count."""
+    (wa, wb), (a, b) = (x for x in fingerprints.vectors(["one two three\n" * 40_000, "one two three\n" * 26_000]))
+    near = fingerprints.likeness(wa[None], a[None], wb[None], b[None])[0]
+    assert abs(near - 2 * 40 * 26 / (40**2 + 26**2)) < 0.01
+
+
 def test_fingerprints_add_up():
     a, b, c = (fingerprints.encoded(*fingerprints.vectors([t]))[0] for t in ("first one here\nsecond one", "third", "third\nsecond one\nfirst one here"))
     assert fingerprints.combined(a, b) == c and fingerprints.combined(c, b, -1) == a
