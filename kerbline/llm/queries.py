@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, fingerprints, html_extract, licences, mixing, near_dup, packing, quality_rules, sharding, url_filters
+from kerbline.llm import chat, fingerprints, html_extract, licences, mixing, near_dup, packing, quality_rules, sharding, token_files, url_filters
 from kerbline.llm.common import literal_table, read
 from kerbline.scratch import Scratch
 
@@ -77,6 +77,18 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf, "documents"))
 
 
+def word_model() -> str:
+    """The word-piece model of 49,408 ids as text, so that it travels with the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        return f.read()
+
+
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.write(read(spark, sf, "documents"), word_model(), Scratch(spark, "token-files")).documents()
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +96,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_html_extraction, op2_near_duplicates, op3_sharding, op4_fingerprints, op5_url_filter, op6_packing, op7_chat_format, op8_licence_scan, op9_quality_rules, op10_mixing, pipeline)
+    every = (op1_html_extraction, op2_near_duplicates, op3_sharding, op4_fingerprints, op5_url_filter, op6_packing, op7_chat_format, op8_licence_scan, op9_quality_rules, op10_mixing, op13_token_files, pipeline)
     return {f.__name__: f for f in every}
 
 
