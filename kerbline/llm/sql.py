@@ -110,5 +110,35 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN up_to - siz
 """
 
 
+#: Unsigned CRC-32 of a text of ASCII letters, digits and marks or of Latin letters: table of 256 remainders, then byte by byte.
+_CRC_TABLE = "(SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) FROM range(256) r(i))"
+
+
+def crc32(text: str, table: str) -> str:
+    hexed = f"hex(encode({text}))"
+    data = f"list_transform(range(strlen({text})), lambda k: ('0x' || substr({hexed}, 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c // 256, {table}[xor(c % 256, b) + 1])), 4294967295)"
+
+
+def prefix_trie() -> str:
+    return f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY place) AS l FROM turns GROUP BY conv_id),
+crc AS (SELECT {_CRC_TABLE} AS t),
+cut AS (SELECT conv_id, l, {crc32("conv_id::VARCHAR", "crc.t")} % 9 AS h FROM own, crc),
+seq AS (SELECT c.conv_id AS c, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS s FROM cut c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+member AS (SELECT c, d, s[1:d] AS p, len(s) = d AS ends, s FROM seq, LATERAL unnest(range(0, len(s) + 1)) u(d)),
+node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256,
+  (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].text) END AS saved FROM member GROUP BY p, d),
+child AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (SELECT u.p, u.d, sum(v.saved) AS saved, count(*) FILTER (c.n IS NULL) AS leaves FROM node u JOIN node v ON v.d >= u.d AND v.p[1:u.d] = u.p
+  LEFT JOIN child c ON c.p = v.p AND c.d = v.d GROUP BY u.p, u.d)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children, below.leaves AS n_leaves,
+  below.saved::BIGINT AS saved_tokens, node.ends_sha256
+FROM node JOIN below ON below.p = node.p AND below.d = node.d LEFT JOIN child ON child.p = node.p AND child.d = node.d LEFT JOIN node up ON up.d = node.d - 1 AND up.p = node.p[1:node.d - 1] AND node.d > 0
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter(), "op8_licence_scan": licence_scan(), "op9_quality_rules": quality(), "op10_mixing": mix()}
+    return {"op5_url_filter": url_filter(), "op8_licence_scan": licence_scan(), "op9_quality_rules": quality(), "op10_mixing": mix(), "op12_prefix_trie": prefix_trie()}
