@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, fingerprints, html_extract, licences, mixing, near_dup, packing, prefix_trie, quality_rules, sharding, token_files, url_filters
+from kerbline.llm import chat, fingerprints, html_extract, licences, mixing, near_dup, packing, prefix_trie, quality_rules, sharding, spelling, token_files, url_filters
 from kerbline.llm.common import literal_table, read
 from kerbline.scratch import Scratch
 
@@ -77,6 +77,10 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken_words(read(spark, sf, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(read(spark, sf, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "trie")
     return prefix_trie.trie(*prefix_trie.rebuilt(read(spark, sf, "conversations"), scratch), scratch)
@@ -101,7 +105,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_html_extraction, op2_near_duplicates, op3_sharding, op4_fingerprints, op5_url_filter, op6_packing, op7_chat_format, op8_licence_scan, op9_quality_rules, op10_mixing, op12_prefix_trie, op13_token_files, pipeline)
+    every = (op1_html_extraction, op2_near_duplicates, op3_sharding, op4_fingerprints, op5_url_filter, op6_packing, op7_chat_format, op8_licence_scan, op9_quality_rules, op10_mixing, op11_spelling_variants, op12_prefix_trie, op13_token_files, pipeline)
     return {f.__name__: f for f in every}
 
 

@@ -140,5 +140,23 @@ FROM node JOIN below ON below.p = node.p AND below.d = node.d LEFT JOIN child ON
 """
 
 
+def spelling() -> str:
+    return f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00c0-\u00ff]+')) AS r FROM documents),
+low AS (SELECT DISTINCT d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) OVER (PARTITION BY d, w) AS n FROM runs WHERE length(r) >= 7),
+hashed AS (SELECT w, n, {crc32("(d || ':' || w)", "crc.t")} AS h FROM low, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, LATERAL unnest(range(0, length(word))) u(i)),
+one AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON v.word = c.rest UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON v.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(near := near, n := near_n), struct_pack(less := -near_n, near := near)) AS b FROM one GROUP BY word),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * v.n THEN b.near END AS form, CASE WHEN b.n >= 10 * v.n THEN b.n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, root, steps) AS (SELECT word, word, 0 FROM form UNION ALL SELECT walk.word, form.form, steps + 1 FROM walk JOIN form ON form.word = walk.root WHERE form.form IS NOT NULL)
+SELECT form.word, form.form, last.root, form.n, form.n_near, form.form_n FROM form JOIN (SELECT word, arg_max(root, steps) AS root FROM walk GROUP BY word) last ON last.word = form.word
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter(), "op8_licence_scan": licence_scan(), "op9_quality_rules": quality(), "op10_mixing": mix(), "op12_prefix_trie": prefix_trie()}
+    return {"op5_url_filter": url_filter(), "op8_licence_scan": licence_scan(), "op9_quality_rules": quality(), "op10_mixing": mix(), "op11_spelling_variants": spelling(), "op12_prefix_trie": prefix_trie()}
