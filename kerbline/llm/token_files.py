@@ -13,9 +13,12 @@ manifest, so a lost executor leaves at most a file that nothing names.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ from kerbline.scratch import Scratch
 
 MAGIC, BLOCK, DOCS, END_ID = b"KIDPLANE", 1 << 16, 1 << 16, 1
 #: Characters encoded at once, and words whose ids a worker remembers.
-SLICE, REMEMBERED = 1 << 20, 1 << 18
+SLICE, REMEMBERED = 1 << 20, 1 << 19
 MANIFEST = "part int, file string, n_ids long, n_docs long, n_bytes long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -174,48 +177,124 @@ class Reader:
 
 # --- encoding ---------------------------------------------------------------------------------
 
+#: Latin letters, and marks that follow them. No apostrophe, which the splitter treats by what follows it.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?()\[\]{}*+=/#%&$@_-]*)")
+#: What a model does before its merges, for words of that kind: lower-case, split letters, digits and other marks.
+PLAIN_STEPS = (
+    ["NFC", "Replace", "Lowercase"],
+    ["Split", "ByteLevel"],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+
+
+def _plain_steps(model: str) -> bool:
+    steps = json.loads(model)
+    before, split = ((steps.get(k) or {}) for k in ("normalizer", "pre_tokenizer"))
+    first, second = before.get("normalizers", []), split.get("pretokenizers", [])
+    return ([x["type"] for x in first], [x["type"] for x in second], second[0]["pattern"].get("Regex") if second and "pattern" in second[0] else None) == PLAIN_STEPS
+
+
+def _byte_letters() -> dict[int, str]:
+    """What byte-level models write for the Latin letters beyond ASCII: a sign for each byte of their UTF-8, which is
+    the byte's own character where that is printable, and the next free one from 256 on elsewhere."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(256, 512))
+    sign = {b: chr(b) if b in own else chr(next(free)) for b in range(256)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
 
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` model that drops white space.
 
     Such a model never joins words across white space, so a text's ids are those of its words, one after another.
     A worker keeps the ids of the words it has seen (a bounded number) and hands new ones to the library together.
+    Where the model lower-cases and splits letters from marks, as ``PLAIN_STEPS`` says, a word of Latin letters, with
+    or without marks behind it, goes to the library's model as these two parts, past its normaliser and splitter, which
+    would give the same parts; all other words take the whole way.
     """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.pieces = self.tokenizer.model.tokenize if _plain_steps(model) else None
+        self.letters = _byte_letters()
         self._forget()
 
-    def _forget(self) -> None:
-        self.numbers: dict[str, int] = {"": 0}
-        self.flat, self.first, self.count = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new)) if found.ids else np.zeros(len(new), np.int64)
-        firsts = len(self.flat) + np.cumsum(counts) - counts
-        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, np.array(found.ids, "<u4")])
-        self.first, self.count = np.concatenate([self.first, firsts]), np.concatenate([self.count, counts])
+    def _forget(self, parts: bool = True) -> None:
+        if parts:
+            self.parts: dict[str, int] = {"": 0}
+            self.part_ids = _Lists()
+        self.words, self.word_ids = {"": 0}, _Lists()
+
+    def _part(self, part: str, ids: list[int], counts: list[int]) -> int:
+        part = part.lower()
+        at = self.parts.get(part)
+        if at is None:
+            at = self.parts[part] = len(self.part_ids) + len(counts)
+            before = len(ids)
+            ids.extend([t.id for t in self.pieces(part if part.isascii() else part.translate(self.letters))])
+            counts.append(len(ids) - before)
+        return at
+
+    def _learn(self, new: list[str], forget: bool = True) -> None:
+        if forget and len(self.words) + len(new) > REMEMBERED:
+            self._forget(parts=len(self.parts) > REMEMBERED)
+        easy, hard, parts, ids, counts = [], [], [], [], []
+        for w in new:
+            m = SIMPLE.fullmatch(w) if self.pieces else None
+            if m:
+                easy.append(w)
+                parts.append(self._part(m[1], ids, counts))
+                parts.append(self._part(m[2], ids, counts) if m[2] else 0)
+            else:
+                hard.append(w)
+        self.part_ids.add(ids, counts)
+        flat, n = self.part_ids.of(np.array(parts, np.int64))
+        self.word_ids.add(flat, n.reshape(-1, 2).sum(axis=1))
+        if hard:
+            found = self.tokenizer.encode(hard, is_pretokenized=True, add_special_tokens=False)
+            self.word_ids.add(found.ids, np.bincount(np.array(found.word_ids, np.int64), minlength=len(hard)))
+        self.words.update(zip(easy + hard, range(len(self.words), len(self.words) + len(new)), strict=True))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and their number in each text."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = [w for s in split for w in s]
-        new = [w for w in dict.fromkeys(words) if w not in self.numbers]
-        if len(self.numbers) + len(new) > REMEMBERED:
-            self._forget()
-            new = [w for w in dict.fromkeys(words) if w]
+        words = list(chain.from_iterable(split))
+        known = list(map(self.words.get, words))
+        new = list(dict.fromkeys(compress(words, map(is_, known, repeat(None)))))
         if new:
+            before = self.words
             self._learn(new)
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        counts = self.count[number]
+            if self.words is not before:  # forgotten on the way: the rest of the batch is learnt again
+                self._learn([w for w in dict.fromkeys(words) if w not in self.words], forget=False)
+            known = map(self.words.__getitem__, words)
+        flat, counts = self.word_ids.of(np.fromiter(known, np.int64, len(words)))
+        bounds = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0] + [len(s) for s in split])]
+        return flat, np.diff(bounds)
+
+
+class _Lists:
+    """A growing sequence of lists of ids in flat arrays; list 0 is empty."""
+
+    def __init__(self):
+        self.flat, self.first, self.count = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.count)
+
+    def add(self, ids, counts) -> None:
+        counts = np.asarray(counts, np.int64)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, np.asarray(ids, "<u4")])
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers, one after another, and the length of each."""
+        counts = self.count[numbers]
         ends = np.cumsum(counts)
-        place = np.repeat(self.first[number] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        bounds = np.concatenate([[0], ends])[np.cumsum([0] + [len(s) for s in split])]
-        return self.flat[place], np.diff(bounds)
+        place = np.repeat(self.first[numbers] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[place], counts
 
 
 _encoders: dict[int, Encoder] = {}

@@ -85,6 +85,16 @@ def test_forgetting_words_changes_nothing(model, monkeypatch):
     assert flat == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_words_of_letters_take_the_short_way(model):
+    r = random.Random(6)
+    marks = ".,;:!?()[]{}*+=/#%&$@_-"
+    words = ["".join(r.choice("abcDEFghIÉéß'x1") for _ in range(r.randint(1, 9))) + "".join(r.choice(marks) for _ in range(r.randint(0, 3))) for _ in range(4000)]
+    words += [a + b for a in ("It", "re", "LL") for b in marks]
+    e, t = tf.Encoder(model), Tokenizer.from_str(model)
+    assert e.pieces is not None
+    assert e(words)[0].tolist() == [i for w in words for i in t.encode(w, add_special_tokens=False).ids]
+
+
 def test_slices_keep_the_words():
     text = "ab cde " * 1000 + "x" * 50
     assert " ".join(tf.slices(text, 100)).split() == text.split() and max(map(len, tf.slices(text, 100))) < 160
