@@ -1,149 +1,41 @@
-"""Poisson boosting: Newton steps, each one a weighted MLlib regression tree.
-
-With log mean ``F`` and ``mu = exp(F)`` the Newton step of the Poisson loss in a leaf is
-``sum(y - mu) / sum(mu)``: the mean of ``(y - mu) / mu`` weighted by ``mu``, which is what a weighted
-regression tree predicts. Histograms, splits and sharding are MLlib's.
-"""
+"""The count model: Poisson boosting, with every fold fitted in the same passes (see ``learner``)."""
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions.ids import fold_of
-from kerbline.models.assemble import apply_assembly, assemble
-from kerbline.scratch import Scratch
-
-#: While fitting, a row's weight is its mean, kept within these; scores are not clipped.
-MIN_MEAN, MAX_MEAN = 1e-6, 1e6
-
+from kerbline.models.learner import Ensemble, fit
 
-def _ensemble(trees: list[DecisionTreeRegressionModel], rate: float) -> GBTRegressionModel:
-    """The trees as one MLlib model, so that scoring is one expression and saving is MLlib's."""
-    from pyspark import SparkContext
-
-    sc = SparkContext._active_spark_context
-    jvm, gateway = sc._jvm, sc._gateway
-    jtrees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
-    weights = gateway.new_array(jvm.double, len(trees))
-    for i, t in enumerate(trees):
-        jtrees[i], weights[i] = t._java_obj, rate
-    uid = f"poisson_boost_{len(trees)}"
-    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, jtrees, weights, trees[0].numFeatures))
-
-
-@dataclass
-class PoissonModel:
-    base: float
-    trees: GBTRegressionModel
-    losses: list[float]
 
+class PoissonModel(Ensemble):
     def predict(self, df: DataFrame, out: str = "score") -> DataFrame:
-        """Expected count; needs ``features``."""
-        self.trees.setPredictionCol("_raw").setFeaturesCol("features")
-        t = self.trees.transform(df)
-        return t.withColumn(out, F.exp(F.lit(self.base) + F.col("_raw"))).drop("_raw")
-
-    def save(self, path: str) -> None:
-        spark = self.trees_session()
-        self.trees.write().overwrite().save(f"{path}/trees")
-        spark.createDataFrame([(self.base, self.losses)], "base double, losses array<double>").coalesce(1).write.mode("overwrite").json(f"{path}/header")
-
-    @staticmethod
-    def trees_session():
-        from pyspark.sql import SparkSession
-
-        return SparkSession.getActiveSession()
+        """Expected count; needs the model's inputs, or ``features`` if it was fitted on vectors."""
+        return df.withColumn(out, F.exp(self.raw(df)))
 
     @classmethod
-    def load(cls, spark, path: str) -> PoissonModel:
-        h = spark.read.schema("base double, losses array<double>").json(f"{path}/header").first()
-        return cls(h["base"], GBTRegressionModel.load(f"{path}/trees"), list(h["losses"]))
-
-
-def _loss(y, f):
-    """Poisson deviance without its constant."""
-    return F.avg(F.exp(f) - y * f)
+    def of(cls, m: Ensemble) -> PoissonModel:
+        return cls(**vars(m))
 
 
-def fit_poisson_gbt(
-    df: DataFrame,
-    label: str = "ksi_target",
-    rounds: int = 200,
-    rate: float = 0.05,
-    depth: int = 5,
-    min_instances: int = 20,
-    cut_every: int = 20,
-    max_bins: int = 64,
-) -> PoissonModel:
-    """``df`` has ``features`` and a count. Lineage is cut every ``cut_every`` rounds.
-
-    Within a cut the log mean is recomputed from the few trees since the cut, so nothing is written
-    per round.
-    """
-    s = Scratch(df.sparkSession, "boost")
-    mean = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    if mean is None:
-        raise ValueError("no rows to fit")
-    base = math.log(max(mean, MIN_MEAN))
-    data = s.table(df.select(F.col(label).cast("double").alias("_y"), "features", F.lit(base).alias("_f")))
-    tree = DecisionTreeRegressor(
-        featuresCol="features", labelCol="_step", weightCol="_mu", maxDepth=depth, minInstancesPerNode=min_instances, maxBins=max_bins, seed=7
-    )
-    trees, recent, losses = [], [], []
-    for r in range(rounds):
-        f = F.col("_f")
-        cur = data
-        if recent:
-            cur = _ensemble(recent, rate).setPredictionCol("_raw").setFeaturesCol("features").transform(data)
-            f = F.col("_f") + F.col("_raw")
-        cur = cur.select("_y", "features", f.alias("_f"))
-        if len(recent) == cut_every:
-            fresh, m = s.keep(cur, loss=_loss(F.col("_y"), F.col("_f")))
-            losses.append(m["loss"])
-            s.drop(data)
-            data, recent, cur = fresh, [], fresh
-        step = cur.withColumn("_mu", F.greatest(F.lit(MIN_MEAN), F.least(F.lit(MAX_MEAN), F.exp("_f")))).withColumn("_step", (F.col("_y") - F.col("_mu")) / F.col("_mu"))
-        t = tree.fit(step.select("features", "_mu", "_step"))
-        trees.append(t)
-        recent.append(t)
-    cur = _ensemble(recent, rate).setPredictionCol("_raw").setFeaturesCol("features").transform(data)
-    losses.append(cur.agg(_loss(F.col("_y"), F.col("_f") + F.col("_raw"))).first()[0])
-    s.drop(data)
-    return PoissonModel(base, _ensemble(trees, rate), losses)
+def fit_poisson_gbt(df: DataFrame, label: str = "ksi_target", inputs: list[str] | None = None, **how) -> PoissonModel:
+    """``df`` has a count and ``inputs``, or the vector ``features``; ``how`` as in ``learner.fit``."""
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    return PoissonModel.of(fit(keyed, "_row", label, inputs, [F.lit(True)], **how).models[0])
 
 
 def out_of_fold(
-    df: DataFrame, key: str, k: int = 5, label: str = "ksi_target", out: str = "score", inputs: list[str] | None = None, known: Column | None = None, **fit
+    df: DataFrame, key: str, k: int = 5, label: str = "ksi_target", out: str = "score", inputs: list[str] | None = None, known: Column | None = None, **how
 ) -> tuple[DataFrame, list[PoissonModel]]:
-    """Score every row with a model that never saw its fold; folds are whole segments.
+    """``key, fold`` and the score of every row by a model that never saw its fold; folds are whole segments.
 
-    With ``inputs``, features are assembled from them, by medians and indexes of the training folds alone.
-    ``known``: the rows to fit on; the others are only scored. Folds are fitted side by side.
+    ``known``: the rows to fit on; the others are only scored. The ``k`` models grow side by side.
     """
-    folds = Scratch(df.sparkSession, "folds").table(df.withColumn("fold", fold_of(key, k)))
-
-    def one(i: int) -> tuple[PoissonModel, DataFrame]:
-        train, test = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        if known is not None:
-            train = train.where(known)
-        if inputs:
-            train, fitted = assemble(train, inputs, [key, label])
-            test = apply_assembly(fitted, test, inputs, [key, label, "fold"])
-        m = fit_poisson_gbt(train, label, **fit)
-        return m, m.predict(test, out)
-
-    with ThreadPoolExecutor(k) as pool:
-        models, parts = zip(*pool.map(one, range(k)), strict=True)
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return scored, list(models)
+    fold, known = fold_of(key, k), F.lit(True) if known is None else F.coalesce(known, F.lit(False))
+    f = fit(df, key, label, inputs, [known & (fold != i) for i in range(k)], **how)
+    scored = f.scores.withColumnRenamed("key", key).withColumn("fold", fold)
+    return scored.select(key, "fold", F.exp(F.get("raw", F.col("fold"))).alias(out)), [PoissonModel.of(m) for m in f.models]
 
 
 def dispersion_check(df: DataFrame, label: str, score: str) -> DataFrame:

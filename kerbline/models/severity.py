@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions.ids import fold_of, is_night
 from kerbline.models.assemble import apply_assembly, assemble
+from kerbline.models.learner import Ensemble, fit
 from kerbline.models.shap import shap_table, shap_values
 from kerbline.operators.evaluate import balance, roc_auc
 from kerbline.operators.filters import in_years
@@ -89,15 +89,6 @@ def input_columns(df: DataFrame, deployable: bool) -> list[str]:
     return deployable_columns(cols) if deployable else cols
 
 
-def _classifier(name: str, n_inputs: int, rounds: int, depth: int):
-    shared = {"featuresCol": "features", "labelCol": "severe"}
-    if name == "boosting":
-        return GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, maxBins=64, **shared)
-    if name == "svm":
-        return LinearSVC(maxIter=max(10, rounds), regParam=0.01, **shared)
-    return MultilayerPerceptronClassifier(layers=[n_inputs, 8, 2], maxIter=max(20, rounds), seed=7, **shared)
-
-
 def _score(model, df: DataFrame) -> DataFrame:
     raw = vector_to_array("rawPrediction")
     return model.transform(df).select(KEY, "severe", F.get(raw, F.lit(1)).alias("score"))
@@ -105,119 +96,130 @@ def _score(model, df: DataFrame) -> DataFrame:
 
 @dataclass
 class SeverityModel:
-    """Boosted classifier with the preparation of its inputs, so that it can score a raw table."""
+    """Boosted classifier that scores a raw table: its inputs are binned as they come."""
+
+    trees: Ensemble
 
-    inputs: list[str]
-    assembly: PipelineModel
-    trees: GBTClassificationModel
+    @property
+    def inputs(self) -> list[str]:
+        return [p.name for p in self.trees.inputs]
 
     def score(self, df: DataFrame) -> DataFrame:
-        """``collision_id, score`` of rows with the inputs."""
-        rows = apply_assembly(self.assembly, df, self.inputs, [KEY])
-        return self.trees.transform(rows).select(KEY, F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("score"))
+        """``collision_id, score`` (log odds) of rows with the inputs."""
+        return df.select(KEY, self.trees.raw(df).alias("score"))
 
     def contributions(self, df: DataFrame) -> DataFrame:
         """SHAP values in long form (collision_id, feature, value), for ``factor_ranking``."""
-        rows = apply_assembly(self.assembly, df, self.inputs, [KEY])
-        return shap_table(shap_values(self.trees, rows, KEY), KEY, self.inputs)
+        return shap_table(shap_values(self.trees, df, KEY), KEY, self.inputs)
 
     def save(self, path: str) -> None:
-        self.assembly.write().overwrite().save(f"{path}/assembly")
-        self.trees.write().overwrite().save(f"{path}/trees")
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(self.inputs,)], "inputs array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/header")
+        self.trees.save(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SeverityModel:
-        inputs = spark.read.schema("inputs array<string>").json(f"{path}/header").first()["inputs"]
-        return cls(list(inputs), PipelineModel.load(f"{path}/assembly"), GBTClassificationModel.load(f"{path}/trees"))
+        return cls(Ensemble.load(spark, path))
+
+
+#: Learning rate and least rows of a leaf of the boosted classifiers.
+BOOST = {"loss": "logistic", "rate": 0.1, "min_instances": 20}
 
 
 def fit_severity(df: DataFrame, inputs: list[str], rounds: int = 20, depth: int = 5) -> SeverityModel:
     """The boosted model, fitted on all rows."""
-    rows, fitted = assemble(df, inputs, [KEY, "severe"])
-    return SeverityModel(inputs, fitted, _classifier("boosting", len(inputs), rounds, depth).fit(rows))
+    return SeverityModel(fit(df, KEY, "severe", inputs, [F.lit(True)], rounds=rounds, depth=depth, **BOOST).models[0])
 
 
-def held_out(df: DataFrame, inputs: list[str], k: int = 5, kind: str = "boosting", rounds: int = 20, depth: int = 5) -> DataFrame:
-    """Scores of every row from a model that saw neither its fold nor, in preparing the inputs, any of its rows."""
-    rows = table(df.select(KEY, "severe", *inputs).withColumn("fold", fold_of(KEY, k)), "rows")
+def boosted(rows: DataFrame, input_sets: list[list[str]], k: int, rounds: int, depth: int) -> DataFrame:
+    """``collision_id, severe, raw``: for each input set the score of a model that never saw the row's fold.
 
-    def one(i: int) -> DataFrame:
-        train, test = _prepared(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), inputs)
-        if kind != "boosting":
-            scaler = StandardScaler(inputCol="features", outputCol="_s", withMean=True, withStd=True).fit(train)
-            train, test = (scaler.transform(d).drop("features").withColumnRenamed("_s", "features") for d in (train, test))
-        return _score(_classifier(kind, len(inputs), rounds, depth).fit(train), test)
+    ``rows`` has ``fold``. All sets and folds grow in the same passes.
+    """
+    every = list(dict.fromkeys(c for inputs in input_sets for c in inputs))
+    members = [F.col("fold") != i for _ in input_sets for i in range(k)]
+    uses = [inputs for inputs in input_sets for _ in range(k)]
+    f = fit(rows, KEY, "severe", every, members, uses, rounds=rounds, depth=depth, **BOOST)
+    own = F.array(*[F.get("raw", F.lit(v * k) + F.col("fold")) for v in range(len(input_sets))])
+    return table(f.scores.withColumnRenamed("key", KEY).join(rows.select(KEY, "severe", "fold"), KEY).select(KEY, "severe", own.alias("raw")), "boosted")
+
+
+def _folded(df: DataFrame, inputs: list[str], k: int) -> DataFrame:
+    return table(df.select(KEY, "severe", *inputs).withColumn("fold", fold_of(KEY, k)), "rows")
 
-    return _all_folds(one, k)
 
+def _aucs(df: DataFrame, input_sets: list[list[str]], k: int, rounds: int, depth: int) -> list[float | None]:
+    """Held-out ROC-AUC of each input set."""
+    every = list(dict.fromkeys(c for inputs in input_sets for c in inputs))
+    scored = boosted(_folded(df, every, k), input_sets, k, rounds, depth)
+    return [_auc(scored.select("severe", F.get("raw", F.lit(v)).alias("score"))) for v in range(len(input_sets))]
 
-def _prepared(train: DataFrame, test: DataFrame, inputs: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both with ``features``, by medians and indexes of the training rows."""
-    out, fitted = assemble(train, inputs, [KEY, "severe"])
-    return out, apply_assembly(fitted, test, inputs, [KEY, "severe"])
 
+def held_out(df: DataFrame, inputs: list[str], kind: str, k: int = 5, steps: int = 100) -> DataFrame:
+    """Scores of every row by a linear SVM or a neural net that saw neither its fold nor, in preparing the inputs, any
+    of its rows. ``steps``: the most iterations of their optimizers."""
+    rows = _folded(df, inputs, k)
+    shared = {"featuresCol": "_s", "labelCol": "severe", "maxIter": steps}
+
+    def one(i: int) -> DataFrame:
+        train, test = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
+        train, fitted = assemble(train, inputs, [KEY, "severe"])
+        test = apply_assembly(fitted, test, inputs, [KEY, "severe"])
+        scaler = StandardScaler(inputCol="features", outputCol="_s", withMean=True, withStd=True).fit(train)
+        train = table(scaler.transform(train).select("severe", "_s"), "scaled")
+        net = MultilayerPerceptronClassifier(layers=[len(inputs), 32, 16, 2], seed=7, **shared)
+        model = (LinearSVC(regParam=0.01, **shared) if kind == "svm" else net).fit(train)
+        return table(_score(model, scaler.transform(test)), "scored")
 
-def _all_folds(one: Callable[[int], DataFrame], k: int) -> DataFrame:
-    """The scored folds together; folds are fitted side by side."""
     with ThreadPoolExecutor(k) as pool:
         parts = list(pool.map(one, range(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _auc(df: DataFrame) -> float | None:
     return roc_auc(df, "score", "severe").first()["auc"]
 
 
-def severity_report(df: DataFrame, **fit) -> DataFrame:
+def severity_report(df: DataFrame, k: int = 5, rounds: int = 20, depth: int = 5) -> DataFrame:
     """Deployable against explanatory inputs: number of inputs and held-out ROC-AUC."""
-    out = []
-    for name, deployable in (("deployable", True), ("explanatory", False)):
-        inputs = input_columns(df, deployable)
-        out.append((name, len(inputs), deployable, _auc(held_out(df, inputs, **fit))))
+    sets = [input_columns(df, deployable) for deployable in (True, False)]
+    found = _aucs(df, sets, k, rounds, depth)
+    out = [(name, len(inputs), name == "deployable", auc) for name, inputs, auc in zip(("deployable", "explanatory"), sets, found, strict=True)]
     return df.sparkSession.createDataFrame(out, "model string, inputs int, deployable boolean, auc double")
 
 
-def compare_models(df: DataFrame, inputs: list[str], **fit) -> DataFrame:
-    out = [(kind, _auc(held_out(df, inputs, kind=kind, **fit))) for kind in ("boosting", "svm", "neural_net")]
+def compare_models(df: DataFrame, inputs: list[str], k: int = 5, rounds: int = 20, depth: int = 5, steps: int = 100) -> DataFrame:
+    out = [("boosting", _aucs(df, [inputs], k, rounds, depth)[0])]
+    out += [(kind, _auc(held_out(df, inputs, kind, k, steps))) for kind in ("svm", "neural_net")]
     return df.sparkSession.createDataFrame(out, "model string, auc double")
 
 
-def ablate(df: DataFrame, base: list[str], group_a: list[str], group_b: list[str], **fit) -> DataFrame:
-    """All four combinations of two input groups on top of ``base``."""
-    out = []
-    for a in (False, True):
-        for b in (False, True):
-            inputs = base + (group_a if a else []) + (group_b if b else [])
-            out.append((a, b, len(inputs), _auc(held_out(df, inputs, **fit))))
+def ablate(df: DataFrame, base: list[str], group_a: list[str], group_b: list[str], k: int = 5, rounds: int = 20, depth: int = 5) -> DataFrame:
+    """All four combinations of two input groups on top of ``base``, grown side by side."""
+    cases = [(a, b) for a in (False, True) for b in (False, True)]
+    sets = [base + (group_a if a else []) + (group_b if b else []) for a, b in cases]
+    out = [(a, b, len(inputs), auc) for (a, b), inputs, auc in zip(cases, sets, _aucs(df, sets, k, rounds, depth), strict=True)]
     return df.sparkSession.createDataFrame(out, "with_a boolean, with_b boolean, inputs int, auc double")
 
 
-def protocol_experiment(df: DataFrame, inputs: list[str], k: int = 5, rounds: int = 10, depth: int = 4) -> DataFrame:
-    """The same model, with classes balanced before or only after the split; every fold is scored."""
-    out = []
-    rows = table(df.select(KEY, "severe", *inputs).withColumn("fold", fold_of(KEY, k)), "rows")
-    even = table(balance(rows, "severe", KEY), "even")
+def protocol_experiment(df: DataFrame, inputs: list[str], k: int = 5, rounds: int = 20, depth: int = 5) -> DataFrame:
+    """The same model, with classes balanced before or only after the split; every fold is scored.
 
-    def scores(source: DataFrame, balance_train: bool) -> Callable[[int], DataFrame]:
-        def one(i: int) -> DataFrame:
-            train = source.where(F.col("fold") != i)
-            train, test = _prepared(balance(train, "severe", KEY) if balance_train else train, source.where(F.col("fold") == i), inputs)
-            model = _classifier("boosting", len(inputs), rounds, depth).fit(train)
-            return model.transform(test).select(KEY, "severe", "prediction", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("score"))
-
-        return one
-
-    for name, one in (("balance_then_split", scores(even, False)), ("split_then_balance", scores(rows, True))):
-        scored = table(_all_folds(one, k), "scored")
-        hit = F.count_if((F.col("prediction") == 1) & (F.col("severe") == 1))
+    Both protocols grow in the same passes: a row's memberships say which of the models learn from it.
+    """
+    rows = _folded(df, inputs, k)
+    small = rows.select(KEY, "severe", "fold")
+    drawn = [balance(small, "severe", KEY)] + [balance(small.where(F.col("fold") != i), "severe", KEY) for i in range(k)]
+    bits = reduce(DataFrame.unionByName, [d.select(KEY, F.lit(1 << i).cast("long").alias("bit")) for i, d in enumerate(drawn)])
+    bits = bits.groupBy(KEY).agg(F.sum("bit").alias("bits"))
+    rows = table(rows.join(bits, KEY, "left").fillna(0, ["bits"]), "drawn")
+    has = lambda i: F.col("bits").bitwiseAND(F.lit(1 << i)) != 0
+    f = fit(rows, KEY, "severe", inputs, [has(0) & (F.col("fold") != i) for i in range(k)] + [has(1 + i) for i in range(k)], rounds=rounds, depth=depth, **BOOST)
+    scores = table(f.scores.withColumnRenamed("key", KEY).join(rows.select(KEY, "severe", "fold", "bits"), KEY), "scored")
+    out = []
+    for name, at, kept in (("balance_then_split", 0, has(0)), ("split_then_balance", k, F.lit(True))):
+        scored = scores.where(kept).select("severe", F.get("raw", F.lit(at) + F.col("fold")).alias("score"))
+        said, true = F.col("score") > 0, F.col("severe") == 1
         m = scored.agg(
-            F.count(F.lit(1)).alias("n"),
-            (2.0 * hit / F.nullif(F.count_if(F.col("prediction") == 1) + F.count_if(F.col("severe") == 1), F.lit(0).cast("long"))).alias("f1"),
+            F.count(F.lit(1)).alias("n"), (2.0 * F.count_if(said & true) / F.nullif(F.count_if(said) + F.count_if(true), F.lit(0).cast("long"))).alias("f1")
         ).first()
         out.append((name, m["n"], m["f1"], _auc(scored)))
     return df.sparkSession.createDataFrame(out, "protocol string, test_rows long, f1 double, auc double")

@@ -4,7 +4,8 @@ A leaf contributes its value times a product over the inputs on its path: for a
 (the row follows the path or not), for an unknown one the share of training rows that followed it.
 The Shapley values of such a product have a closed form in the elementary symmetric polynomials of
 the remaining factors, so each leaf is a few vectorised steps over an Arrow batch. Only the trees
-(bounded by rounds and depth) travel to the executors; rows stay where they are.
+travel to the executors, with the tasks: at most ``rounds * 2 ** depth`` leaves, whatever the number of
+rows. Rows stay where they are.
 """
 
 from __future__ import annotations
@@ -15,12 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.scratch import Scratch
-
 
 @dataclass
 class Leaf:
@@ -31,7 +29,7 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Condition:
-    """Values of one input that stay on the path: a range ``low < x <= high``, or a set of categories."""
+    """Bins of one input that stay on the path: a range ``low < x <= high``, or a set of categories."""
 
     low: float = -math.inf
     high: float = math.inf
@@ -43,41 +41,6 @@ class Condition:
         return (x > self.low) & (x <= self.high)
 
 
-def _children(split, parent: Condition) -> tuple[Condition, Condition]:
-    """Conditions of the left and right child; ``numCategories`` is -1 for a numeric input."""
-    values = split["leftCategoriesOrThreshold"]
-    if split["numCategories"] < 0:
-        return Condition(parent.low, min(parent.high, values[0])), Condition(max(parent.low, values[0]), parent.high)
-    allowed = parent.categories if parent.categories is not None else frozenset(map(float, range(split["numCategories"])))
-    left = frozenset(values)
-    return Condition(categories=allowed & left), Condition(categories=allowed - left)
-
-
-def read_leaves(model) -> list[Leaf]:
-    """Leaves of an MLlib tree ensemble, read from its saved node table."""
-    spark = SparkSession.getActiveSession()
-    path = f"{Scratch(spark, 'trees').folder}/model"
-    model.write().overwrite().save(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
-    trees: dict[int, dict[int, object]] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    leaves = []
-    for tid, nodes in trees.items():
-        weight = model.treeWeights[tid]
-        stack = [(nodes[0], {})]
-        while stack:
-            n, path_ = stack.pop()
-            if n["leftChild"] < 0:
-                leaves.append(Leaf(weight * n["prediction"], path_))
-                continue
-            f = n["split"]["featureIndex"]
-            before, share = path_.get(f, (Condition(), 1.0))
-            for child, cond in zip((n["leftChild"], n["rightChild"]), _children(n["split"], before), strict=True):
-                stack.append((nodes[child], {**path_, f: (cond, share * nodes[child]["rawCount"] / n["rawCount"])}))
-    return leaves
-
-
 def leaf_contributions(leaves: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, float]:
     """(rows x inputs) contributions and the base value they are relative to."""
     phi, base = np.zeros_like(x, dtype=float), 0.0
@@ -99,14 +62,14 @@ def leaf_contributions(leaves: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, f
 
 
 def shap_values(model, df: DataFrame, key: str) -> DataFrame:
-    """One array of contributions per row, with the base; they sum to the raw ensemble score."""
-    leaves = df.sparkSession.sparkContext.broadcast(read_leaves(model))
-    flat = df.select(key, vector_to_array("features").alias("x"))
+    """One array of contributions per row, with the base; they and the model's own base sum to the raw score."""
+    leaves = model.leaves()
+    flat = model.inputs_of(df, key)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                phi, base = leaf_contributions(leaves.value, np.vstack(b["x"].to_numpy()))
+                phi, base = leaf_contributions(leaves, model.bins(b))
                 yield pd.DataFrame({key: b[key], "base": base, "contributions": list(phi)})
 
     key_type = df.schema[key].dataType.simpleString()

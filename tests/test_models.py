@@ -9,8 +9,8 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from kerbline.models import boost, severity
-from kerbline.models.shap import factor_ranking, leaf_contributions, read_leaves, shap_values
+from kerbline.models import boost, learner, severity
+from kerbline.models.shap import factor_ranking, leaf_contributions, shap_values
 
 
 @pytest.fixture(scope="module")
@@ -53,17 +53,16 @@ def test_save_and_load(spark, counts, model, tmp_path):
 
 
 def test_shap_sums_to_the_raw_score(counts, model):
-    raw = model.trees.setPredictionCol("_raw").transform(counts).select("id", "_raw")
-    out = shap_values(model.trees, counts, "id").join(raw, "id").select(
-        F.max(F.abs(F.aggregate("contributions", F.col("base"), lambda s, v: s + v) - F.col("_raw"))).alias("gap"), F.count(F.lit(1)).alias("n")
-    ).first()
+    raw = counts.select("id", model.raw(counts).alias("_raw"))
+    total = F.aggregate("contributions", F.col("base") + model.base, lambda s, v: s + v)
+    out = shap_values(model, counts, "id").join(raw, "id").select(F.max(F.abs(total - F.col("_raw"))).alias("gap"), F.count(F.lit(1)).alias("n")).first()
     assert out["n"] == 400 and out["gap"] < 1e-9
 
 
 def test_shap_matches_the_definition(counts, model):
     """Average marginal contribution over all orders of the three inputs, on a few rows."""
-    leaves = read_leaves(model.trees)
-    x = np.array([r[0] for r in counts.select(vector_to_array("features")).limit(6).collect()])
+    leaves = model.leaves()
+    x = model.bins(model.inputs_of(counts, "id").limit(6).toPandas())
     assert {c.categories is None for leaf in leaves for c, _ in leaf.path.values()} == {True, False}
     phi, _ = leaf_contributions(leaves, x)
 
@@ -81,12 +80,89 @@ def test_shap_matches_the_definition(counts, model):
             assert phi[i, f] == pytest.approx(total / 6, abs=1e-9)
 
 
-def test_out_of_fold_never_sees_its_fold(spark, counts):
-    scored, models = boost.out_of_fold(counts, "id", k=2, rounds=2, rate=0.5, depth=3, min_instances=5)
+def test_out_of_fold_never_sees_its_fold(counts):
+    """Labels of one fold turned upside down leave its own scores as they were, and change the others'."""
+    how = {"k": 2, "rounds": 2, "rate": 0.5, "depth": 3, "min_instances": 5}
+    scored, models = boost.out_of_fold(counts, "id", **how)
     assert scored.count() == 400 and len(models) == 2
-    one = boost.fit_poisson_gbt(counts.where(boost.fold_of("id", 2) != 0), rounds=2, rate=0.5, depth=3, min_instances=5)
-    j = one.predict(counts, "again").join(scored.where("fold = 0").select("id", "score"), "id")
-    assert j.agg(F.max(F.abs(F.col("again") - F.col("score")))).first()[0] < 1e-9
+    other = counts.withColumn("ksi_target", F.when(boost.fold_of("id", 2) == 0, 9 - F.col("ksi_target")).otherwise(F.col("ksi_target")))
+    j = scored.join(boost.out_of_fold(other, "id", **how)[0].withColumnRenamed("score", "again").drop("fold"), "id")
+    gap = {r["fold"]: r["gap"] for r in j.groupBy("fold").agg(F.max(F.abs(F.col("again") - F.col("score"))).alias("gap")).collect()}
+    assert gap[0] < 1e-9 < 0.1 < gap[1]
+
+
+def plain_boost(x, y, rounds, rate, depth, least, categories=()):
+    """The same boosting, one row at a time and every split tried, on bins of a few values."""
+    f = np.full(len(y), math.log(y.mean()))
+    for _ in range(rounds):
+        step = np.zeros(len(y))
+
+        def grow(at, level):
+            mu = np.exp(f[at])
+            g, h = (y[at] - mu).sum(), mu.sum()
+            best = (1e-9, None)
+            if level < depth:
+                for i in range(x.shape[1]):
+                    values = sorted(set(x[:, i]))
+                    if i in categories:
+                        values.sort(key=lambda v: (y[at][x[at, i] == v] - mu[x[at, i] == v]).sum() / mu[x[at, i] == v].sum() if (x[at, i] == v).any() else math.inf)
+                    for cut in range(1, len(values)):
+                        left = np.isin(x[at, i], values[:cut])
+                        if min(left.sum(), (~left).sum()) >= least:
+                            gl, hl = (y[at] - mu)[left].sum(), mu[left].sum()
+                            gain = gl**2 / hl + (g - gl) ** 2 / (h - hl) - g**2 / h
+                            if gain > best[0] + 1e-9:
+                                best = (gain, at[left], at[~left])
+            if best[1] is None:
+                step[at] = g / h
+            else:
+                grow(best[1], level + 1)
+                grow(best[2], level + 1)
+
+        grow(np.arange(len(y)), 0)
+        f = f + rate * step
+    return np.exp(f)
+
+
+@pytest.mark.parametrize("block", [1 << 22, 50])
+def test_boosting_against_every_split_tried(spark, monkeypatch, block):
+    """One partition of blocks, and several whose sums meet in a shuffle; scores rewritten on the way."""
+    monkeypatch.setattr(learner, "BLOCK_ROWS", min(block, 100))
+    monkeypatch.setattr(learner, "PART_CELLS", block)
+    r = np.random.default_rng(5)
+    x = np.stack([r.integers(0, 6, 300), r.integers(0, 4, 300), r.integers(0, 5, 300)], axis=1)
+    y = r.poisson(np.exp(0.3 * x[:, 0] - 0.4 * (x[:, 1] == 2) + 0.2 * (x[:, 2] % 2)))
+    rows = [(i, float(a), float(b), "abcde"[c], int(n)) for i, ((a, b, c), n) in enumerate(zip(x.tolist(), y.tolist()))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string, ksi_target int")
+    got = learner.fit(df, "id", "ksi_target", ["a", "b", "c"], [F.lit(True)], rounds=4, rate=0.3, depth=3, min_instances=8, cut_every=2)
+    want = plain_boost(x, y.astype(float), 4, 0.3, 3, 8, {2})
+    raw = {s["key"]: s["raw"][0] for s in got.scores.collect()}
+    assert [math.exp(raw[i]) for i in range(300)] == pytest.approx(want.tolist(), rel=1e-9)
+    again = {s["id"]: s["f"] for s in df.select("id", got.models[0].raw(df).alias("f")).collect()}
+    assert again == pytest.approx(raw)
+
+
+def test_models_of_one_fit_do_not_touch_each_other(counts):
+    """Each of three models of one fit scores like a fit of its own on the same rows and inputs."""
+    wide = counts.select("id", "ksi_target", *[vector_to_array("features")[i].alias(f"i{i}") for i in range(3)])
+    members, uses = [F.lit(True), F.col("i0") > 0.3, F.col("i1") > 0.5], [["i0", "i1", "i2"], ["i0", "i2"], ["i1"]]
+    how = {"rounds": 3, "rate": 0.5, "depth": 3, "min_instances": 5}
+    raw = {r["key"]: r["raw"] for r in learner.fit(wide, "id", "ksi_target", ["i0", "i1", "i2"], members, uses, **how).scores.collect()}
+    for m, (member, use) in enumerate(zip(members, uses)):
+        # an all-rows companion keeps the bins the same
+        alone = learner.fit(wide, "id", "ksi_target", ["i0", "i1", "i2"], [F.lit(True), member], [["i0"], use], **how).scores.collect()
+        assert {r["key"]: r["raw"][1] for r in alone} == pytest.approx({k: v[m] for k, v in raw.items()})
+
+
+def test_missing_and_unseen_inputs(spark):
+    rows = [(i, None if i % 5 == 0 else float(i % 7), None if i % 4 == 0 else "ab"[i % 2], i % 3) for i in range(210)]
+    df = spark.createDataFrame(rows, "id long, a double, t string, ksi_target int")
+    m = boost.fit_poisson_gbt(df, inputs=["a", "t"], rounds=2, min_instances=2)
+    new = spark.createDataFrame([(1, None, "never seen"), (2, 3.0, None), (3, float("nan"), "a")], "id long, a double, t string")
+    score = {r["id"]: r["score"] for r in m.predict(new).collect()}
+    assert all(v > 0 for v in score.values()) and score[1] == pytest.approx(score[2])
+    with pytest.raises(ValueError):
+        boost.fit_poisson_gbt(df.limit(0), inputs=["a"])
 
 
 def test_scores_are_not_clipped(spark):
@@ -123,7 +199,7 @@ def test_severity_models(spark, tmp_path):
     rep = {x["model"]: x for x in severity.severity_report(df, k=3, rounds=3, depth=3).collect()}
     assert rep["deployable"]["inputs"] == 2 and rep["explanatory"]["inputs"] == 3
     assert 0.6 < rep["deployable"]["auc"] < 0.85
-    kinds = {x["model"]: x["auc"] for x in severity.compare_models(df, ["speed_limit", "road_type"], k=3, rounds=3, depth=3).collect()}
+    kinds = {x["model"]: x["auc"] for x in severity.compare_models(df, ["speed_limit", "road_type"], k=3, rounds=3, depth=3, steps=30).collect()}
     m = severity.fit_severity(df, ["speed_limit", "road_type"], rounds=3, depth=3)
     m.save(str(tmp_path / "m"))
     again = severity.SeverityModel.load(spark, str(tmp_path / "m"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +11,6 @@ from kerbline.functions.geo import haversine_m, lonlat, polyline_m
 from kerbline.functions.ids import json_row, parse_segment_id
 from kerbline.functions.scale import PUBLISHED_CUTOFFS, tier
 from kerbline.models import boost, severity
-from kerbline.models.assemble import assemble
 from kerbline.models.shap import factor_ranking, shap_table, shap_values
 from kerbline.operators import crashes, evaluate, filters, quality, ranks, routes as rt, segments as sg
 from kerbline.operators.near import near_pairs
@@ -27,8 +25,6 @@ from workload import views
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 
-SEVERITY_FIT = {"k": 4, "rounds": 5, "depth": 3}
-
 
 def query(f: Query) -> Query:
     _queries[f.__name__] = f
@@ -467,9 +463,8 @@ def factor_rank(spark, sf):
     return rounded(factor_ranking(t.from_orders(spark, sf, views.CONTRIBUTION)), weight=6, share=6)
 
 
-def _vectors(spark, sf):
-    known = t.segments(spark, sf).where(F.col("f_crashes") > 0)
-    return assemble(known, FEATURE_NAMES, ["segment_id", "ksi_target"])[0]
+def _known(spark, sf) -> DataFrame:
+    return t.segments(spark, sf).where(F.col("f_crashes") > 0).select("segment_id", "ksi_target", *FEATURE_NAMES)
 
 
 @query
@@ -508,13 +503,13 @@ _fitted: dict[tuple[str, str], tuple] = {}
 
 
 def _explained(spark, sf):
-    """Vectors, the count model on all of them and its contributions, fitted once."""
+    """The known segments, the count model on all of them and its contributions, fitted once."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fitted:
         s = Scratch(spark, "explained")
-        rows = s.table(_vectors(spark, sf))
-        model = boost.fit_poisson_gbt(rows)
-        _fitted[key] = rows, model, s.table(shap_values(model.trees, rows, "segment_id"))
+        rows = s.table(_known(spark, sf))
+        model = boost.fit_poisson_gbt(rows, inputs=FEATURE_NAMES)
+        _fitted[key] = rows, model, s.table(shap_values(model, rows, "segment_id"))
     return _fitted[key]
 
 
@@ -527,8 +522,8 @@ def shap_factors(spark, sf):
 def shap_check(spark, sf):
     """Contributions and base add up to the raw score of every segment."""
     rows, model, values = _explained(spark, sf)
-    raw = model.trees.setPredictionCol("_raw").setFeaturesCol("features").transform(rows).select("segment_id", "_raw")
-    total = F.aggregate("contributions", F.col("base"), lambda acc, v: acc + v)
+    raw = rows.select("segment_id", model.raw(rows).alias("_raw"))
+    total = F.aggregate("contributions", F.col("base") + model.base, lambda acc, v: acc + v)
     gap = F.abs(total - F.col("_raw"))
     return values.join(raw, "segment_id").agg(F.count(F.lit(1)).alias("segments"), (F.max(gap) < 1e-9).alias("additive"))
 
@@ -543,13 +538,13 @@ def poisson_check(spark, sf):
 
 def _two_valued(spark, sf) -> DataFrame:
     known = t.segments(spark, sf).where(F.col("f_crashes") > 0)
-    return known.select("segment_id", "ksi_target", array_to_vector(F.array((F.col("f_crashes") >= 3).cast("double"))).alias("features"))
+    return known.select("segment_id", "ksi_target", (F.col("f_crashes") >= 3).cast("double").alias("many"))
 
 
 def _one_step(spark, sf) -> tuple[DataFrame, boost.PoissonModel]:
     """One round on one input of two values: the tree's leaves are the means of two groups."""
     rows = Scratch(spark, "two-valued").table(_two_valued(spark, sf))
-    return rows, boost.fit_poisson_gbt(rows, rounds=1, rate=0.5, depth=1, min_instances=1)
+    return rows, boost.fit_poisson_gbt(rows, inputs=["many"], rounds=1, rate=0.5, depth=1, min_instances=1)
 
 
 @query
@@ -561,7 +556,7 @@ def poisson_step(spark, sf):
 @query
 def shap_step(spark, sf):
     rows, model = _one_step(spark, sf)
-    values = shap_values(model.trees, rows, "segment_id")
+    values = shap_values(model, rows, "segment_id")
     return rounded(values.select("segment_id", F.abs("base").alias("base"), F.get("contributions", F.lit(0)).alias("value")), base=6, value=6)
 
 
@@ -584,17 +579,17 @@ def severity_model(spark, sf):
 
 @query
 def model_compare(spark, sf):
-    return severity.compare_models(_severity_rows(spark, sf), severity.DEPLOYABLE, **SEVERITY_FIT)
+    return severity.compare_models(_severity_rows(spark, sf), severity.DEPLOYABLE)
 
 
 @query
 def ablation(spark, sf):
-    return severity.ablate(_severity_rows(spark, sf), severity.PLACE, severity.TIME, severity.HISTORY, **SEVERITY_FIT)
+    return severity.ablate(_severity_rows(spark, sf), severity.PLACE, severity.TIME, severity.HISTORY)
 
 
 @query
 def protocol(spark, sf):
-    return severity.protocol_experiment(_severity_rows(spark, sf), severity.DEPLOYABLE, k=4, rounds=5, depth=3)
+    return severity.protocol_experiment(_severity_rows(spark, sf), severity.DEPLOYABLE)
 
 
 @query
@@ -610,7 +605,7 @@ _report: dict[tuple[str, str], DataFrame] = {}
 def _severity_report(spark, sf) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _report:
-        _report[key] = severity.severity_report(_severity_rows(spark, sf), **SEVERITY_FIT)
+        _report[key] = severity.severity_report(_severity_rows(spark, sf))
     return _report[key]
 
 
@@ -618,7 +613,7 @@ def _severity_report(spark, sf) -> DataFrame:
 def severity_factors(spark, sf):
     """Factors of the deployable severity model, by its own SHAP values over all its crashes."""
     rows = _severity_rows(spark, sf)
-    model = severity.fit_severity(rows, severity.DEPLOYABLE, SEVERITY_FIT["rounds"], SEVERITY_FIT["depth"])
+    model = severity.fit_severity(rows, severity.DEPLOYABLE)
     return factor_ranking(model.contributions(rows))
 
 
