@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.functions.ids import md5_number
 from kerbline.functions.scale import TIER_PERCENTILES, Cutoffs, display_score, tier, tier_colour
 from kerbline.operators.filters import MAX_LIMIT, evidenced, validate
-from kerbline.operators.running import exact_quantiles, global_rank
+from kerbline.operators.running import exact_quantiles, global_rank, running, sorted_chunks
 
 
 def top_segments(df: DataFrame, limit: int = 500) -> DataFrame:
@@ -113,3 +116,41 @@ def gains(df: DataFrame, score: str, target: str, n: int = 100) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(F.lit(0))
     return b.select("step", "segments", (F.sum("_t").over(w) / F.sum("_t").over(whole)).alias("captured"))
+
+
+#: Poisson(1) weights from 32-bit numbers: the weight is how many of these a number reaches.
+POISSON_CUTS = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(9)]
+
+
+def replicate_weight(replicate, key) -> Column:
+    """A row's weight in a bootstrap replicate, from the md5 of both: the same in every engine and run."""
+    u = md5_number(F.concat(F.col(replicate).cast("string"), F.lit(":"), F.col(key).cast("string")))
+    return sum(((u >= c).cast("long") for c in POISSON_CUTS), F.lit(0).cast("long"))
+
+
+def replicate_captures(df: DataFrame, key: str, scores: list[str], target: str, replicates: int = 200, share: float = 0.2) -> DataFrame:
+    """``replicate`` and, for each score, the share of the weighted target in its top ``share`` of weight.
+
+    Each row is weighted anew in every replicate (Poisson bootstrap). A ranking is sorted once; the running weights of
+    all replicates go down it together, in bounded chunks. Ties go to the smaller key.
+    """
+    out = None
+    for name in scores:
+        s = sorted_chunks(df.select(key, F.col(name).alias("_s"), F.col(target).alias("_t")), [F.desc_nulls_last("_s"), F.col(key)])
+        w = s.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", replicate_weight("replicate", key)).where("_w > 0")
+        total = w.groupBy("replicate").agg(F.ceil(F.round(F.sum("_w") * share, 9)).alias("most"), F.sum(F.col("_w") * F.col("_t")).alias("all"))
+        run = running(w, ["replicate"], "_chunk", ["_row"], {"_up": ("sum", "_w")}).join(total, "replicate")
+        hit = F.sum(F.when(F.col("_up") <= F.col("most"), F.col("_w") * F.col("_t")).otherwise(0))
+        found = run.groupBy("replicate").agg((hit / F.nullif(F.max("all"), F.lit(0))).alias(name))
+        out = found if out is None else out.join(found, "replicate")
+    return out
+
+
+def capture_interval(df: DataFrame, key: str, score: str, baseline: str, target: str, replicates: int = 200, share: float = 0.2) -> DataFrame:
+    """The 95 % interval of the score's gain over the baseline, and the share of replicates in which it gains."""
+    gain = F.col(score) - F.col(baseline)
+    r = replicate_captures(df, key, [score, baseline], target, replicates, share)
+    return r.agg(
+        F.count(gain).alias("replicates"), F.avg(gain).alias("mean_gain"), F.percentile(gain, 0.025).alias("low"), F.percentile(gain, 0.975).alias("high"),
+        F.avg((gain > 0).cast("double")).alias("share_gaining"),
+    )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbline.operators.ranks import top_segments
 from kerbline.schemas import ROUTE, SEGMENT
@@ -47,10 +50,98 @@ def publish(df: DataFrame, table: str | None = None, *, jdbc_url: str | None = N
         df.write.mode("overwrite").option("truncate", True).jdbc(jdbc_url, table, properties=properties or {})
 
 
-def read_routes(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    reader = spark.read.schema(ROUTE)
-    return reader.json(path) if fmt == "json" else reader.parquet(path)
+def read_routes(spark: SparkSession, path: str, fmt: str = "json", pairs: bool = False) -> DataFrame:
+    """Candidate routes. ``pairs``: points are ``[lon, lat]`` arrays, as clients send them, instead of structs; a point
+    that is not two numbers becomes null, which the route checks refuse."""
+    schema = ROUTE
+    if pairs:
+        schema = T.StructType([T.StructField(f.name, T.ArrayType(T.ArrayType(T.DoubleType())), True) if f.name == "path" else f for f in ROUTE.fields])
+    reader = spark.read.schema(schema)
+    df = reader.json(path) if fmt == "json" else reader.parquet(path)
+    if not pairs:
+        return df
+    point = lambda p: F.when(F.size(p) == 2, F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    return df.withColumn("path", F.transform("path", point))
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
     stats.coalesce(1).write.mode("overwrite").json(path)
+
+
+# --- versions ---------------------------------------------------------------------------------
+
+
+class Versions:
+    """Published snapshots under one folder, of which a pointer file names the current one.
+
+    A snapshot is written to a folder of its own, named after its content, read back and compared with what was to be
+    published; only then is the pointer replaced, by one rename. Readers therefore see the old or the new snapshot and
+    never a part of one, and a load that fails changes nothing for them. Publishing the same rows again finds their
+    snapshot there. ``keep`` older snapshots stay, for readers that are still at work and for ``rollback``.
+    """
+
+    POINTER = "CURRENT"
+
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 2):
+        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    @staticmethod
+    def fingerprint(df: DataFrame) -> tuple[int, str]:
+        """Rows and an order-free checksum of all columns."""
+        h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+        halves = [F.sum(F.shiftrightunsigned(h, n).bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(20,0)")) for n in (0, 32)]
+        r = df.agg(F.count(F.lit(1)).alias("n"), *[c.cast("string").alias(f"h{i}") for i, c in enumerate(halves)]).first()
+        return r["n"], f"{r['n']}-{r['h0'] or 0}-{r['h1'] or 0}"
+
+    def history(self) -> list[str]:
+        """Names of the snapshots that were current, the present one last."""
+        p = self._path(f"{self.folder}/{self.POINTER}")
+        if not self._fs.exists(p):
+            return []
+        return self.spark.read.text(f"{self.folder}/{self.POINTER}").first()[0].split(",")
+
+    def _point(self, names: list[str]) -> None:
+        fresh = self._path(f"{self.folder}/.{self.POINTER}-{uuid.uuid4().hex}")
+        out = self._fs.create(fresh, True)
+        out.write(bytearray(",".join(names).encode()))
+        out.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        replace = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        replace[0] = hadoop.Options.Rename.OVERWRITE
+        context = hadoop.FileContext.getFileContext(self._path(self.folder).toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(self._path(f"{self.folder}/{self.POINTER}")), replace)
+
+    def publish(self, df: DataFrame) -> str:
+        """Make ``df`` the current snapshot and return its name; nothing changes if anything fails before the switch."""
+        staged = f"{self.folder}/.staged-{uuid.uuid4().hex}"
+        df.write.parquet(staged)
+        written = self.spark.read.parquet(staged)
+        n, name = self.fingerprint(written)
+        place = self._path(f"{self.folder}/v-{name}")
+        if (n, name) != self.fingerprint(df):
+            raise RuntimeError(f"{self.folder}: the rows written are not the rows given")
+        if self._fs.exists(place):
+            self._fs.delete(self._path(staged), True)
+        elif not self._fs.rename(self._path(staged), place):
+            raise RuntimeError(f"{self.folder}: the snapshot could not be put in place")
+        before = [v for v in self.history() if v != name]
+        self._point([*before[-self.keep :], name])
+        for old in before[: -self.keep]:
+            self._fs.delete(self._path(f"{self.folder}/v-{old}"), True)
+        return name
+
+    def read(self) -> DataFrame:
+        names = self.history()
+        if not names:
+            raise FileNotFoundError(f"nothing published in {self.folder}")
+        return self.spark.read.parquet(f"{self.folder}/v-{names[-1]}")
+
+    def rollback(self) -> str:
+        """Make the snapshot before the current one current again."""
+        names = self.history()
+        if len(names) < 2:
+            raise ValueError("no earlier snapshot")
+        self._point(names[:-1])
+        return names[-2]

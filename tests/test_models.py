@@ -9,7 +9,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from kerbline.models import boost, learner, severity
+from kerbline.models import boost, learner, linear, severity
 from kerbline.models.shap import factor_ranking, leaf_contributions, shap_values
 
 
@@ -207,3 +207,23 @@ def test_severity_models(spark, tmp_path):
     assert a == pytest.approx(b) and len(a) == 300
     assert {x["feature"]: x["rank"] for x in factor_ranking(again.contributions(df)).collect()} == {"speed_limit": 1, "road_type": 2}
     assert set(kinds) == {"boosting", "svm", "neural_net"} and all(v > 0.55 for v in kinds.values())
+
+
+def test_linear_floor(spark):
+    """Against Newton steps in numpy; nulls count as the mean, and a fold's own labels do not matter."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(500, 2)) * [3, 0.5] + [10, -2]
+    y = r.poisson(np.exp(0.2 * (x[:, 0] - 10) - 0.5 * (x[:, 1] + 2)))
+    df = spark.createDataFrame([(f"s{i}", float(a), float(b), int(n)) for i, ((a, b), n) in enumerate(zip(x.tolist(), y.tolist()))], "id string, a double, b double, ksi_target int")
+    m = linear.fit_linear(df, "ksi_target", ["a", "b"], [F.lit(True), F.col("a") > 10], steps=6)
+    for model, rows in zip(m, (np.full(500, True), x[:, 0] > 10)):
+        X, beta = np.column_stack([np.ones(rows.sum()), x[rows]]), np.array([math.log(y[rows].mean()), 0, 0])
+        for _ in range(6):
+            mu = np.exp(X @ beta)
+            beta = np.linalg.solve(X.T @ (mu[:, None] * X), X.T @ (mu * (X @ beta) + y[rows] - mu))
+        got = df.orderBy(F.substring("id", 2, 9).cast("int")).select(model.score().alias("s")).toPandas()["s"]
+        assert got.tolist() == pytest.approx(np.exp(np.column_stack([np.ones(500), x]) @ beta).tolist(), rel=1e-6)
+    null = df.limit(1).select(F.lit(None).cast("double").alias("a"), "b").withColumn("b", F.lit(float(x[:, 1].mean())))
+    assert null.select(m[0].score()).first()[0] == pytest.approx(math.exp(m[0].beta[0]), rel=1e-6)
+    with pytest.raises(ValueError):
+        linear.fit_linear(df.limit(0), "ksi_target", ["a"], [F.lit(True)])

@@ -76,3 +76,31 @@ def test_year_folders_and_routes(spark, crash_tables, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in df._jdf.queryExecution().executedPlan().toString()
     (tmp_path / "r.json").write_text('{"request_id":1,"candidate":1,"path":[{"lon":-1.0,"lat":52.0},{"lon":-1.0,"lat":52.1}],"distance_m":1.0,"duration_s":2.0}\n')
     assert tables.read_routes(spark, str(tmp_path / "r.json")).first()["path"][1]["lat"] == 52.1
+
+
+def test_versions(spark, tmp_path):
+    """A failed load changes nothing, the same rows again change nothing, older snapshots come back."""
+    v = tables.Versions(spark, f"{tmp_path}/published", keep=1)
+    with pytest.raises(FileNotFoundError):
+        v.read()
+    a, b, c = (spark.range(n).withColumn("score", F.col("id") * 1.5) for n in (5, 7, 9))
+    first = v.publish(a)
+    assert v.publish(a.repartition(3)) == first and v.history() == [first] and v.read().count() == 5
+    with pytest.raises(Exception, match="broken"):
+        v.publish(b.withColumn("score", F.raise_error(F.lit("broken")).cast("double")))
+    assert v.read().count() == 5
+    second = v.publish(b)
+    open_reader = v.read()
+    third = v.publish(c)
+    assert v.history() == [second, third] and open_reader.count() == 7
+    assert v.rollback() == second and v.read().count() == 7
+    with pytest.raises(ValueError):
+        v.rollback()
+    assert v.publish(spark.range(0)) and v.read().count() == 0
+
+
+def test_routes_of_pairs(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"request_id": 1, "candidate": 1, "path": [[-0.1, 51.5], [-0.2, 51.6], [3]], "distance_m": 10, "duration_s": 1}\n')
+    r = tables.read_routes(spark, str(tmp_path / "r.json"), pairs=True)
+    assert r.schema["path"].dataType.simpleString() == tables.ROUTE["path"].dataType.simpleString()
+    assert [tuple(p) if p else None for p in r.first()["path"]] == [(-0.1, 51.5), (-0.2, 51.6), None]

@@ -6,6 +6,7 @@ positions: ``lag`` finds the gaps and latitude gives the chainage. The Spark sid
 
 from __future__ import annotations
 
+from kerbline.operators.ranks import POISSON_CUTS
 from workload import views
 
 _K = "(pi() * 6371008.8e0 / 180e0)"
@@ -116,6 +117,55 @@ def _captured(score: str) -> str:
         SELECT ksi_target, row_number() OVER (ORDER BY {score} DESC, segment_id) AS rn, count(*) OVER () AS n FROM known) q)"""
 
 
+# bootstrap replicates: weights by md5 of replicate and segment
+_WEIGHTS = f"""(SELECT k.*, r AS replicate, len(list_filter({POISSON_CUTS}, lambda c: cast('0x' || substr(md5(r || ':' || segment_id), 1, 8) AS BIGINT) >= c)) AS w
+    FROM known k, range(1, 201) x(r))"""
+
+
+def _replicates(score: str) -> str:
+    return f"""(SELECT replicate, sum(w * ksi_target) FILTER (up <= most) / nullif(sum(w * ksi_target), 0) AS v FROM (
+        SELECT *, sum(w) OVER (PARTITION BY replicate ORDER BY {score} DESC, segment_id ROWS UNBOUNDED PRECEDING) AS up,
+          ceil(round(0.2 * sum(w) OVER (PARTITION BY replicate), 9)) AS most FROM {_WEIGHTS} q) q GROUP BY replicate)"""
+
+
+# inputs of a few values, for models that SQL can fit
+_FEW = "(SELECT segment_id, ksi_target::DOUBLE AS y, least(f_crashes, 6)::DOUBLE AS a, least(f_ksi, 4)::DOUBLE AS b FROM known JOIN feat USING (segment_id, f_crashes))"
+
+
+def _trees(rounds: int, depth: int, rate: str, least: int) -> str:
+    """Boosting in SQL: each level's sums by node, input and value, the best split of each node, and the rows moved."""
+    out = [f"s0 AS (SELECT *, ln(avg(y) OVER ()) AS f, 0 AS node FROM {_FEW} q)"]
+    at = "s0"
+    for r in range(rounds):
+        for d in range(depth):
+            x = f"{r}_{d}"
+            out.append(f"""v{x} AS (SELECT node, i, v, count(*) AS n, sum(y - exp(f)) AS g, sum(exp(f)) AS h FROM (
+                SELECT node, y, f, 0 AS i, a AS v FROM {at} UNION ALL SELECT node, y, f, 1, b FROM {at}) q GROUP BY ALL)""")
+            out.append(f"""c{x} AS (SELECT node, i, v, sum(n) OVER l AS nl, sum(g) OVER l AS gl, sum(h) OVER l AS hl, sum(n) OVER t AS n, sum(g) OVER t AS g, sum(h) OVER t AS h
+                FROM v{x} WINDOW l AS (PARTITION BY node, i ORDER BY v), t AS (PARTITION BY node, i))""")
+            out.append(f"""b{x} AS (SELECT node, i, v FROM (SELECT *, gl * gl / hl + (g - gl) * (g - gl) / (h - hl) - g * g / h AS gain FROM c{x} WHERE nl >= {least} AND n - nl >= {least}) q
+                WHERE gain > greatest(1, h) * 1e-12 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, i, v) = 1)""")
+            out.append(f"""m{x} AS (SELECT segment_id, y, a, b, f, CASE WHEN c.i IS NULL THEN node ELSE 2 * node + CASE WHEN CASE c.i WHEN 0 THEN a ELSE b END <= c.v THEN 1 ELSE 2 END END AS node
+                FROM {at} LEFT JOIN b{x} c USING (node))""")
+            at = f"m{x}"
+        out.append(f"s{r + 1} AS (SELECT segment_id, y, a, b, f + {rate} * sum(y - exp(f)) OVER (PARTITION BY node) / sum(exp(f)) OVER (PARTITION BY node) AS f, 0 AS node FROM {at})")
+        at = f"s{r + 1}"
+    return f"SELECT segment_id, round(exp(f), 6) AS score FROM (WITH {', '.join(out)} SELECT * FROM {at}) q"
+
+
+def _least_squares(steps: int) -> str:
+    """Reweighted least squares in SQL on an intercept and two inputs, each system solved by Cramer's rule."""
+    out = [f"r AS (SELECT * FROM {_FEW} q)", "k0 AS (SELECT ln(avg(y)) AS p, 0e0 AS q, 0e0 AS s FROM r)"]
+    det = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+    x = ["w", "wa", "wb", "wa", "waa", "wab", "wb", "wab", "wbb"]
+    for i in range(steps):
+        solved = [f"{det([('z' + 'xab'[j // 3]) if j % 3 == c else x[j] for j in range(9)])} / {det(x)} AS {n}" for c, n in enumerate("pqs")]
+        out.append(f"""k{i + 1} AS (SELECT {', '.join(solved)} FROM (SELECT sum(m) AS w, sum(m * a) AS wa, sum(m * b) AS wb, sum(m * a * a) AS waa, sum(m * a * b) AS wab, sum(m * b * b) AS wbb,
+            sum(m * e + y - m) AS zx, sum((m * e + y - m) * a) AS za, sum((m * e + y - m) * b) AS zb
+            FROM (SELECT *, exp(e) AS m FROM (SELECT r.*, p + q * a + s * b AS e FROM r, k{i}) t) t) t)""")
+    return f"SELECT segment_id, round(exp(p + q * a + s * b), 6) AS score FROM (WITH {', '.join(out)} SELECT * FROM r, k{steps}) t"
+
+
 # history of a segment in the three years before a crash; ``h`` are its crashes then
 _ROLLING = {
     "f_crashes": "count(h.collision_id)",
@@ -213,6 +263,10 @@ _FINAL = {
     "gains": """SELECT step, segments, round(sum(t) OVER (ORDER BY step) / sum(t) OVER (), 6) AS captured FROM (
         SELECT CAST(ceil(rn * 100 / n) AS INT) AS step, count(*) AS segments, sum(ksi_target) AS t FROM (
           SELECT ksi_target, row_number() OVER (ORDER BY score DESC, segment_id) AS rn, count(*) OVER () AS n FROM known) q GROUP BY 1) g""",
+    "capture_interval": f"""SELECT count(g) AS replicates, round(avg(g), 6) AS mean_gain, round(quantile_cont(g, 0.025), 6) AS low, round(quantile_cont(g, 0.975), 6) AS high,
+        round(avg(CASE WHEN g > 0 THEN 1e0 WHEN g <= 0 THEN 0e0 END), 6) AS share_gaining FROM (SELECT a.v - b.v AS g FROM {_replicates('score')} a JOIN {_replicates('f_crashes')} b USING (replicate)) x""",
+    "poisson_trees": _trees(3, 2, "0.5e0", 20),
+    "poisson_floor": _least_squares(4),
     "list_segments": """SELECT segment_id, n_crashes, score FROM seg WHERE lon BETWEEN -3.55 AND -0.95 AND lat BETWEEN 50.0 AND 53.1 AND score >= 1.5 AND n_crashes >= 6
         ORDER BY score DESC, segment_id LIMIT 200""",
     "segment_lookup": "SELECT segment_id, n_crashes, score, tier, display FROM tiered WHERE segment_id = 'A23_run1_km0.5'",

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from kerbline.functions.geo import haversine_m, lonlat, polyline_m
 from kerbline.functions.ids import json_row, parse_segment_id
 from kerbline.functions.scale import PUBLISHED_CUTOFFS, tier
-from kerbline.models import boost, severity
+from kerbline.models import boost, linear, severity
 from kerbline.models.shap import factor_ranking, shap_table, shap_values
 from kerbline.operators import crashes, evaluate, filters, quality, ranks, routes as rt, segments as sg
 from kerbline.operators.near import near_pairs
 from kerbline.plans import answers
 from kerbline.plans.build import rank_segments, score_segments
-from kerbline.schemas import FEATURE_NAMES
+from kerbline.schemas import CATEGORICAL, FEATURE_NAMES
 from kerbline.scratch import Scratch
 from kerbline.sources.tables import write_top_json
 from workload import tables as t
@@ -366,6 +366,14 @@ def gains(spark, sf):
     return rounded(ranks.gains(known, "score", "ksi_target"), captured=6)
 
 
+@query
+def capture_interval(spark, sf):
+    """The gain of score over crash count in 200 bootstrap replicates."""
+    known = t.segments(spark, sf).where(F.col("f_crashes") > 0)
+    out = ranks.capture_interval(known, "segment_id", "score", "f_crashes", "ksi_target")
+    return rounded(out, mean_gain=6, low=6, high=6, share_gaining=6)
+
+
 @query
 def list_segments(spark, sf):
     out = answers.list_segments(t.segments(spark, sf), "-3.55,50.0,-0.95,53.1", 1.5, 6, 200)
@@ -553,6 +561,39 @@ def poisson_step(spark, sf):
     return rounded(model.predict(rows).select("segment_id", "score"), score=6)
 
 
+def _few_values(spark, sf) -> DataFrame:
+    known = t.segments(spark, sf).where(F.col("f_crashes") > 0)
+    return known.select("segment_id", "ksi_target", F.least("f_crashes", F.lit(6)).cast("double").alias("a"), F.least("f_ksi", F.lit(4)).cast("double").alias("b"))
+
+
+@query
+def poisson_trees(spark, sf):
+    """Three rounds of trees of depth two on two inputs of a few values."""
+    rows = Scratch(spark, "few-values").table(_few_values(spark, sf))
+    model = boost.fit_poisson_gbt(rows, inputs=["a", "b"], rounds=3, rate=0.5, depth=2, min_instances=20)
+    return rounded(model.predict(rows).select("segment_id", "score"), score=6)
+
+
+@query
+def poisson_floor(spark, sf):
+    """The linear floor on the same inputs, after four steps."""
+    rows = Scratch(spark, "few-values").table(_few_values(spark, sf))
+    model = linear.fit_linear(rows, "ksi_target", ["a", "b"], [F.lit(True)], steps=4)[0]
+    return rounded(rows.select("segment_id", model.score().alias("score")), score=6)
+
+
+@query
+def floor_capture(spark, sf):
+    """Out-of-fold capture of trees, linear floor and crash count side by side, with the trees' interval over the floor."""
+    s = _scored_segments(spark, sf)
+    numbers = [c for c in FEATURE_NAMES if c not in CATEGORICAL]
+    both = linear.linear_out_of_fold(s, "segment_id", numbers, known=F.col("f_crashes") > 0)
+    known = Scratch(spark, "floor").table(both.where(F.col("f_crashes") > 0).select("segment_id", "score", "floor", "f_crashes", "ksi_target"))
+    parts = [ranks.capture(known, c, "ksi_target").select(F.lit(n).alias("model"), "segments", "taken", "captured") for n, c in (("trees", "score"), ("linear", "floor"), ("crash count", "f_crashes"))]
+    gain = ranks.capture_interval(known, "segment_id", "score", "floor", "ksi_target").select(F.lit("trees").alias("model"), "low", "high")
+    return parts[0].union(parts[1]).union(parts[2]).join(gain, "model", "left")
+
+
 @query
 def shap_step(spark, sf):
     rows, model = _one_step(spark, sf)
