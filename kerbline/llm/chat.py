@@ -35,14 +35,24 @@ def text_part(text: Column) -> Column:
 
 
 def _visit(part: Column) -> Column:
-    """One part: what it leaves in the text, its reference and its expanded tokens (none for text)."""
+    """One part: its text or its placeholder, its reference and its expanded tokens (none for text)."""
     kind = part["type"]
     up = lambda x, by: F.ceil(F.coalesce(x, F.lit(0)) / F.lit(by)).cast("long")
     tokens = F.when(kind == "image", up(part["width"], PATCH) * up(part["height"], PATCH)).when(kind == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * F.lit(PER_SECOND)).cast("long")).when(kind == "document", F.coalesce(part["pages"], F.lit(0)).cast("long") * PER_PAGE)
-    shown = escaped(part["text"])
-    for name, mark in PLACEHOLDERS.items():
-        shown = F.when(kind == name, F.lit(mark)).otherwise(shown)
-    return F.struct(shown.alias("shown"), kind.alias("type"), part["ref"].alias("ref"), tokens.alias("tokens"))
+    mark = F.lit(None).cast("string")
+    for name, shown in PLACEHOLDERS.items():
+        mark = F.when(kind == name, F.lit(shown)).otherwise(mark)
+    return F.struct(mark.alias("mark"), F.coalesce(part["text"], F.lit("")).alias("text"), kind.alias("type"), part["ref"].alias("ref"), tokens.alias("tokens"))
+
+
+def _body(visited: Column) -> Column:
+    """The flattened parts. Texts that follow each other are escaped as one, so that no control string can be put
+    together from several parts; a placeholder ends such a run."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+    placed = lambda acc, v: F.struct(F.concat(acc["done"], escaped(acc["run"]), v["mark"]).alias("done"), F.lit("").alias("run"))
+    longer = lambda acc, v: F.struct(acc["done"].alias("done"), F.concat(acc["run"], v["text"]).alias("run"))
+    step = lambda acc, v: F.when(v["mark"].isNotNull(), placed(acc, v)).otherwise(longer(acc, v))
+    return F.aggregate(visited, start, step, lambda acc: F.concat(acc["done"], escaped(acc["run"])))
 
 
 def formatted(messages: DataFrame) -> DataFrame:
@@ -57,7 +67,7 @@ def formatted(messages: DataFrame) -> DataFrame:
     turn = messages.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts")).alias("m"))
     c = turn.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
     c = c.select("conv_id", F.transform("m", lambda m: F.struct(m["turn"].alias("turn"), m["role"].alias("role"), F.transform(m["parts"], _visit).alias("v"))).alias("m"))
-    c = c.select("conv_id", F.transform("m", lambda m: F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["v"].alias("v"), F.concat(F.lit(TURN), escaped(m["role"]), F.lit(BODY)).alias("head"), F.array_join(F.transform(m["v"], lambda v: v["shown"]), "").alias("body"))).alias("m"))
+    c = c.select("conv_id", F.transform("m", lambda m: F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["v"].alias("v"), F.concat(F.lit(TURN), escaped(m["role"]), F.lit(BODY)).alias("head"), _body(m["v"]).alias("body"))).alias("m"))
     whole = F.array_join(F.transform("m", lambda m: F.concat(m["head"], m["body"], F.lit(END))), "")
     step = lambda acc, m: F.struct((acc["at"] + F.length(m["head"]) + F.length(m["body"]) + len(END)).alias("at"), F.when(m["role"] == "assistant", F.concat(acc["loss"], F.array(F.struct((acc["at"] + F.length(m["head"])).alias("start"), F.length(m["body"]).cast("long").alias("length"))))).otherwise(acc["loss"]).alias("loss"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))

@@ -28,23 +28,27 @@ CAPACITY, END_ID, SALTS = 1024, 2, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenizer(path: str):
-    """Encoder for a byte-level vocabulary given as ranks (``.tiktoken``) or as a ``tokenizers`` file; both
-    give the same ids for the same vocabulary, the former several times as fast. Strings of special tokens
-    in a text are ordinary text."""
-    if path.endswith(".tiktoken"):
+#: The special token of the byte-level vocabulary; its ranks file leaves this id free.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+def tokenizer(vocabulary: bytes, ranks: bool):
+    """Encoder for a byte-level vocabulary, the content of a file of ranks (``.tiktoken``) or of a ``tokenizers`` file;
+    both give the same ids for the same vocabulary, the former several times as fast. The special token's string in a
+    text becomes its id, as the library does it by default."""
+    if ranks:
         import base64
 
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        byte_bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+        every = set(SPECIAL)
+        return lambda text: byte_bpe.encode(text, allowed_special=every)
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_str(vocabulary.decode())
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -56,10 +60,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of documents (doc_id, text), tokenised whole."""
+    """``doc_id, piece, start, length, ids_crc32`` of documents (doc_id, text), tokenised whole.
+
+    The vocabulary is read here and travels with the tasks, so executors need no copy of its file.
+    """
+    with open(path, "rb") as f:
+        vocabulary = f.read()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path)
+        encode = tokenizer(vocabulary, path.endswith(".tiktoken"))
         for f in frames:
             out = []
             for i, text in zip(f["doc_id"], f["text"], strict=True):
