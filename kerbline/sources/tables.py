@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbline.functions import curve
 from kerbline.operators.ranks import top_segments
 from kerbline.schemas import ROUTE, SEGMENT
 
@@ -68,6 +69,32 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.coalesce(1).write.mode("overwrite").json(path)
 
 
+# --- curve-ordered store ----------------------------------------------------------------------
+
+
+def write_curve(df: DataFrame, path: str, files: int = 16, row_group_bytes: int = 1 << 20) -> None:
+    """Rows with ``lon, lat`` in order of the curve, ``_key`` beside them: each file and row group is a small area.
+
+    Rows without a place have no key, come first and are in no box.
+    """
+    keyed = df.withColumn("_key", curve.curve_key("lon", "lat"))
+    keyed.repartitionByRange(files, F.asc_nulls_first("_key")).sortWithinPartitions(F.asc_nulls_first("_key")).write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, box: curve.Box) -> DataFrame:
+    """Rows of a curve-ordered store within a box (west, south, east, north), ends included."""
+    west, south, east, north = box
+    near = spark.read.parquet(path).where(curve.in_ranges("_key", curve.box_ranges(box)))
+    return near.where(F.col("lon").between(west, east) & F.col("lat").between(south, north)).drop("_key")
+
+
+def read_near(spark: SparkSession, path: str, points: list[tuple[float, float]], margin_m: float) -> DataFrame:
+    """Rows that may lie within a margin of a path: the candidates of a corridor, by a few ranges of keys."""
+    boxes = curve.path_boxes(points, margin_m)
+    ranges = curve.joined([r for b in boxes for r in curve.box_ranges(b, 8)], 64)
+    return spark.read.parquet(path).where(curve.in_ranges("_key", ranges)).drop("_key")
+
+
 # --- versions ---------------------------------------------------------------------------------
 
 

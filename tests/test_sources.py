@@ -1,8 +1,12 @@
 import json
+import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline.functions import curve
+from kerbline.operators import quality
 from kerbline.operators.segments import features, features_target, segment_table, segment_target
 from kerbline.plans.answers import stats_summary
 from kerbline.plans.build import Windows, build_segments
@@ -104,3 +108,40 @@ def test_routes_of_pairs(spark, tmp_path):
     r = tables.read_routes(spark, str(tmp_path / "r.json"), pairs=True)
     assert r.schema["path"].dataType.simpleString() == tables.ROUTE["path"].dataType.simpleString()
     assert [tuple(p) if p else None for p in r.first()["path"]] == [(-0.1, 51.5), (-0.2, 51.6), None]
+
+
+def test_curve_store_prunes_both_ways(spark, tmp_path):
+    """Boxes narrow in longitude or in latitude, and a path, against all rows; row groups and files they touch."""
+    import pyarrow.parquet as pq
+
+    r = random.Random(6)
+    rows = [(i, r.uniform(-6, 2), r.uniform(50, 58)) for i in range(40_000)] + [(-1, None, 51.0), (-2, float("nan"), 51.0)]
+    path = f"{tmp_path}/store"
+    tables.write_curve(spark.createDataFrame(rows, "id long, lon double, lat double"), path, row_group_bytes=1 << 15)
+    groups = [(f, s.min, s.max) for f in pathlib.Path(path).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups)
+        for c in [m.row_group(g).column(m.num_columns - 1)] for s in [c.statistics] if s.has_min_max]
+    assert len(groups) >= 16
+    for box in ((-1.0, 50.0, -0.9, 58.0), (-6.0, 54.0, 2.0, 54.1), (-1.3, 52.2, -0.7, 52.6), (0.5, 50.0, 0.5, 50.0)):
+        got = {x["id"] for x in tables.read_box(spark, path, box).collect()}
+        assert got == {i for i, x, y in rows if x is not None and box[0] <= x <= box[2] and box[1] <= y <= box[3]}
+        ranges = curve.box_ranges(box)
+        touched = [f for f, a, b in groups if any(a <= hi and lo <= b for lo, hi in ranges)]
+        assert len(ranges) <= 32 and len(touched) < len(groups) / 2 and len(set(touched)) < 16
+    plan = tables.read_box(spark, path, (-1.3, 52.2, -0.7, 52.6))._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "Or(Or(" in plan
+    way = [(-3.0, 51.0), (-2.5, 51.4), (-1.0, 51.4)]
+    near = {x["id"] for x in tables.read_near(spark, path, way, 2000.0).collect()}
+    boxes = curve.path_boxes(way, 2000.0)
+    assert near >= {i for i, x, y in rows if x is not None and any(b[0] <= x <= b[2] and b[1] <= y <= b[3] for b in boxes)} and len(near) < 4_000
+
+
+def test_file_audit(spark, tmp_path):
+    """Real files: whole, cut within the last line, a bad line in the middle, without the last line end, CRLF."""
+    head, rows = "id,day,n\n", "1,2020-01-01,4\n2,2020-01-02,5\n"
+    texts = {"ok.csv": head + rows, "cut.csv": head + rows + "3,2020-0", "corrupt.csv": head + "1,2020-01-01\n" + rows, "unterminated.csv": head + rows[:-1], "crlf.csv": (head + rows).replace("\n", "\r\n"), "héad.csv": head}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    got = {x["file"]: x for x in quality.audit_files(quality.read_lines(spark, str(tmp_path)), "id long, day date, n int").collect()}
+    assert {n: x["status"] for n, x in got.items()} == {n: "ok" if n in ("crlf.csv", "héad.csv") else n[:-4] for n in texts}
+    assert got["cut.csv"]["rows"] == 3 and got["cut.csv"]["corrupt_rows"] == 1 and got["ok.csv"]["rows"] == 2 and got["héad.csv"]["rows"] == 0
+    assert quality.audit_files(quality.read_lines(spark, str(tmp_path)).limit(0), "id long").count() == 0

@@ -31,6 +31,7 @@ _VIEWS = {
     "manifest": views.MANIFEST,
     "severity_map": views.SEVERITY_MAP,
     "contribution": views.CONTRIBUTION,
+    "csv_lines": views.CSV_LINES,
     "route_ends": views.ROUTE_ENDS,
     "ksi": """SELECT collision_id, count(*) AS n_casualties, count(*) FILTER (severity = 'fatal') AS n_fatal,
         count(*) FILTER (severity = 'serious') AS n_serious, count(*) FILTER (severity = 'slight') AS n_slight,
@@ -263,6 +264,10 @@ _FINAL = {
     "gains": """SELECT step, segments, round(sum(t) OVER (ORDER BY step) / sum(t) OVER (), 6) AS captured FROM (
         SELECT CAST(ceil(rn * 100 / n) AS INT) AS step, count(*) AS segments, sum(ksi_target) AS t FROM (
           SELECT ksi_target, row_number() OVER (ORDER BY score DESC, segment_id) AS rn, count(*) OVER () AS n FROM known) q GROUP BY 1) g""",
+    "bbox_curve": "SELECT segment_id, n_crashes FROM seg WHERE lon BETWEEN -3.55 AND -2.05 AND lat BETWEEN 50.02 AND 50.11",
+    "file_audit": """SELECT file, size, count(*) AS rows, count(*) FILTER (bad) AS corrupt_rows, CAST(sum(length(value) + 1) AS BIGINT) > size AS unterminated,
+        CASE WHEN sum(length(value) + 1) > size AND bool_or(bad) THEN 'cut' WHEN bool_or(bad) THEN 'corrupt' WHEN sum(length(value) + 1) > size THEN 'unterminated' ELSE 'ok' END AS status
+        FROM (SELECT *, length(value) - length(replace(value, ',', '')) <> 3 AS bad FROM csv_lines) l GROUP BY file, size""",
     "capture_interval": f"""SELECT count(g) AS replicates, round(avg(g), 6) AS mean_gain, round(quantile_cont(g, 0.025), 6) AS low, round(quantile_cont(g, 0.975), 6) AS high,
         round(avg(CASE WHEN g > 0 THEN 1e0 WHEN g <= 0 THEN 0e0 END), 6) AS share_gaining FROM (SELECT a.v - b.v AS g FROM {_replicates('score')} a JOIN {_replicates('f_crashes')} b USING (replicate)) x""",
     "poisson_trees": _trees(3, 2, "0.5e0", 20),

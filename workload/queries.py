@@ -18,7 +18,7 @@ from kerbline.plans import answers
 from kerbline.plans.build import rank_segments, score_segments
 from kerbline.schemas import CATEGORICAL, FEATURE_NAMES
 from kerbline.scratch import Scratch
-from kerbline.sources.tables import write_top_json
+from kerbline.sources.tables import read_box, write_curve, write_top_json
 from workload import tables as t
 from workload import views
 
@@ -47,6 +47,13 @@ def completeness(spark, sf):
     return quality.completeness(t.collision(spark, sf), t.from_orders(spark, sf, views.MANIFEST), "collision")
 
 
+@query
+def file_audit(spark, sf):
+    """A CSV file of crashes for each year, of which one breaks off within its last line and one has a line too short."""
+    lines = spark.sql(views.CSV_LINES, orders=t.source(spark, sf, "orders"))
+    return quality.audit_files(lines, "collision_id long, occurred_on date, hour int, road string", header=False)
+
+
 @query
 def completeness_children(spark, sf):
     """Vehicles and casualties, against three and four rows for each collision that the manifest expects."""
@@ -120,6 +127,14 @@ def bbox(spark, sf):
     return filters.in_bbox(t.segments(spark, sf), "-3.55,50.02,-2.05,50.11").select("segment_id", "n_crashes")
 
 
+@query
+def bbox_curve(spark, sf):
+    """The same box from a curve-ordered store."""
+    path = f"{Scratch(spark, 'curve').folder}/store"
+    write_curve(t.segments(spark, sf), path)
+    return read_box(spark, path, (-3.55, 50.02, -2.05, 50.11)).select("segment_id", "n_crashes")
+
+
 @query
 def min_score(spark, sf):
     return filters.min_score(t.segments(spark, sf), 1.5).select("segment_id", "score")

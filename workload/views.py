@@ -82,6 +82,16 @@ SELECT id, CASE p WHEN 1 THEN 'f_crashes' WHEN 2 THEN 'f_speed_mean' ELSE 'f_nig
 FROM (SELECT o_orderkey AS id, EACH_1_TO_3 AS p FROM {orders}) o
 """
 
+# Crash files of one year each, line by line: 1996 breaks off within its last line, in 1998 one line lost its end.
+CSV_LINES = """
+SELECT file, CAST(sum(length(value) + 1) OVER (PARTITION BY file) - CASE WHEN y = 1996 THEN 1 ELSE 0 END AS BIGINT) AS size, value FROM (
+  SELECT concat('collision_', CAST(y AS STRING), '.csv') AS file, y,
+         CASE WHEN (y = 1996 AND r = 1) OR (y = 1998 AND r = 3) THEN substr(line, 1, 9) ELSE line END AS value
+  FROM (SELECT year(o_orderdate) AS y, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey DESC) AS r,
+               concat(CAST(o_orderkey AS STRING), ',', CAST(CAST(o_orderdate AS DATE) AS STRING), ',', CAST(o_orderkey % 24 AS STRING), ',A', CAST(o_custkey % 40 AS STRING)) AS line
+        FROM {orders}) a) b
+"""
+
 FEATURE_YEARS = (1997, 1999)
 TARGET_YEARS = (2000, 2001)
 
