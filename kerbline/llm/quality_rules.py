@@ -18,8 +18,6 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line is boilerplate above so many documents of its host, however large the host is.
 LINE_DOCS = 20
-#: Read by the SQL counterpart alone, which asks for this share of the host's documents besides.
-LINE_SHARE = 0.1
 #: A document is depleted when less than this share of its words is left.
 LEAST_LEFT = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -74,21 +72,30 @@ def measures(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", failed)
 
 
-def depleted(docs: DataFrame, scratch: Scratch, line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
-    """``host, digest`` of the texts that lose too many words with their host's frequent lines.
+def _normal(line: Column) -> Column:
+    return F.lower(F.btrim(F.regexp_replace(line, GAP, " ")))
+
+
+def _marked(docs: DataFrame, scratch: Scratch, line_docs: int) -> DataFrame:
+    """``host, digest, line, w, gone``: the words of each text's lines, by the line's hash, and whether it is frequent.
 
     Copies of one text within a host are merged before any line is counted (their word sums scale alike,
     so shares stay right), and the counts combine before their shuffle: a line that every document has
     costs one row per task.
     """
-    norm = F.lower(F.btrim(F.regexp_replace("line", GAP, " ")))
+    norm = _normal(F.col("line"))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.col("source").alias("host"), _digest(text).alias("digest"), F.explode(F.filter(F.split(text, "\n"), _has_word)).alias("line"))
     lines = lines.select("host", "digest", F.xxhash64(norm).alias("line"), F.size(F.split(norm, " ")).cast("long").alias("w"))
     lines = scratch.table(lines.groupBy("host", "digest", "line").agg(F.sum("w").alias("w")), "lines")
     often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs).select("host", "line", F.lit(True).alias("gone"))
     a, b = lines.alias("a"), often.alias("b")
-    marked = a.join(b, F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")), "left").select("a.host", "a.digest", "a.w", "b.gone")
+    return a.join(b, F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.line") == F.col("b.line")), "left").select("a.host", "a.digest", "a.line", "a.w", "b.gone")
+
+
+def depleted(docs: DataFrame, scratch: Scratch, line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
+    """``host, digest`` of the texts that lose too many words with their host's frequent lines."""
+    marked = _marked(docs, scratch, line_docs)
     left = F.sum(F.when(F.col("gone"), 0).otherwise(F.col("w")))
     return marked.groupBy("host", "digest").agg(left.alias("left"), F.sum("w").alias("total")).where(F.col("left") < F.col("total") * least_left).select("host", "digest")
 
@@ -108,3 +115,19 @@ def judged(docs: DataFrame, scratch: Scratch | None = None, **limits: float) ->
 def kept_rows(docs: DataFrame, scratch: Scratch | None = None, **limits: float) -> DataFrame:
     """The documents that pass, unchanged."""
     return judged(docs, scratch, **limits).where("kept").select("row.*")
+
+
+def cleaned(docs: DataFrame, scratch: Scratch | None = None, line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The documents that pass, without the lines that are frequent at their host; other columns unchanged.
+
+    Whether a document passes is judged on its whole text, as in ``judged``. Only the hashes of a text's frequent lines
+    travel; they are taken out where the text is. A text without such lines stays as it is, to the byte.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "cleaned")
+    gone = _marked(docs, scratch, line_docs).where("gone").groupBy("host", "digest").agg(F.collect_set("line").alias("lines")).alias("g")
+    kept = kept_rows(docs, scratch, line_docs=line_docs, least_left=least_left).select(F.struct("*").alias("row")).alias("k")
+    text = F.coalesce(F.col("k.row.text"), F.lit(""))
+    met = kept.join(gone, F.col("k.row.source").eqNullSafe(F.col("g.host")) & (_digest(text) == F.col("g.digest")), "left")
+    rest = F.filter(F.split("row.text", "\n"), lambda x: ~_has_word(x) | ~F.array_contains("lines", F.xxhash64(_normal(x))))
+    out = met.select("row", "lines")
+    return out.select(*[F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(F.array_join(rest, "\n")).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

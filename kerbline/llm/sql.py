@@ -79,8 +79,7 @@ base AS (SELECT doc_id, source, d.text, len(w) AS n_words, coalesce(list_sum(lis
     length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
   FROM d LEFT JOIN covered USING (rid)),
 lines AS (SELECT source, text, {norm} AS line, len(regexp_extract_all(line, '{WORD}')) AS n FROM (SELECT source, text, unnest(lines) AS line FROM d)),
-often AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM lines GROUP BY ALL) JOIN (SELECT source AS s, count(DISTINCT text) AS docs FROM lines GROUP BY ALL) ON s IS NOT DISTINCT FROM source
-  WHERE n > {q.LINE_DOCS} AND n > docs * {q.LINE_SHARE}),
+often AS (SELECT source, line FROM lines GROUP BY ALL HAVING count(DISTINCT text) > {q.LINE_DOCS}),
 bad AS (SELECT l.source, l.text FROM lines l LEFT JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.line = l.line GROUP BY ALL
   HAVING sum(CASE WHEN o.line IS NULL THEN n ELSE 0 END) < sum(n) * {q.LEAST_LEFT})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -352,6 +352,32 @@ def test_equal_to_sql(spark, sf, name, columns):
     assert answer(queries.queries()[name](spark, sf), columns) == by_sql(name, sf, columns)
 
 
+def test_frequent_lines_are_removed(spark):
+    """Against a plain loop: lines above the limit go, and nothing else changes; depleted documents are not there."""
+    r = random.Random(12)
+    notice, rare = "All  rights\tRESERVED here", "seen on few pages"
+    rows = []
+    for i in range(60):
+        lines = [prose(30, r), "", prose(30, r)]
+        if i % 2:
+            lines.insert(r.randrange(4), notice if i % 4 == 1 else notice.lower().replace("  ", " "))
+        if i % 20 == 0:
+            lines.append(rare)
+        rows.append((i, "\n".join(lines), "hot" if i < 50 else None, "clash"))
+    rows += [(100, "\n".join([notice] * 40 + [prose(25, r)]), "hot", "clash"), (101, None, "hot", "clash"), rows[1], (None, rows[3][1], "hot", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lines string").repartition(3)
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
+    seen = defaultdict(set)
+    for _, text, source, _ in rows:
+        for x in (text or "").split("\n"):
+            seen[source, norm(x)].add(text)
+    often = {k for k, v in seen.items() if len(v) > 20 and k[1]}
+    want = [(i, "\n".join(x for x in text.split("\n") if (source, norm(x)) not in often), source, c) for i, text, source, c in rows if text and i != 100]
+    assert len(often) == 1
+    assert sorted(map(repr, map(tuple, quality_rules.cleaned(df).collect()))) == sorted(map(repr, want))
+    assert quality_rules.cleaned(df.limit(0)).count() == 0
+
+
 def test_mixing_equals_sql_and_meets_targets(spark, docs, sf, tmp_path):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     unique.write.parquet(f"{tmp_path}/documents.parquet")
