@@ -79,6 +79,25 @@ def heat_grid(df: DataFrame, cell_deg: float) -> DataFrame:
     )
 
 
+#: Share of a row's weight that each cell around its own gets: 4, 2 and 1 sixteenths, all sixteen together.
+_KERNEL = [(x, y, (2 - abs(x)) * (2 - abs(y)) / 16) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+
+
+def density_pyramid(df: DataFrame, cell_deg: float, levels: int = 5, weight: str = "score") -> DataFrame:
+    """``level, cell_x, cell_y, weight``: weight spread over neighbouring cells, at each zoom level.
+
+    A row's weight goes to its cell and the eight around it; level 0 has cells of ``cell_deg``, each further level cells
+    of twice the side. Rows are first summed by cell; then all levels in one aggregation, which combines on the map side.
+    Every level holds the whole weight. Rows without a place or weight are left out.
+    """
+    x, y = (F.floor(F.col(c) / cell_deg).cast("long") for c in ("lon", "lat"))
+    rows = df.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col(weight).isNotNull()).select(x.alias("x"), y.alias("y"), F.col(weight).cast("double").alias("w"))
+    base = rows.groupBy("x", "y").agg(F.sum("w").alias("w"))
+    near = [F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), (F.col("w") * part).alias("w")) for dx, dy, part in _KERNEL]
+    up = [F.struct(F.lit(k).alias("level"), F.shiftright("c.x", k).alias("cell_x"), F.shiftright("c.y", k).alias("cell_y"), F.col("c.w").alias("w")) for k in range(levels)]
+    return base.select(F.explode(F.array(*near)).alias("c")).select(F.inline(F.array(*up))).groupBy("level", "cell_x", "cell_y").agg(F.sum("w").alias("weight"))
+
+
 def _top_share(df: DataFrame, by: str, target: str, share: float) -> tuple[float, int, int]:
     r = global_rank(df.select("segment_id", by, target), [F.col(by).desc_nulls_last(), F.col("segment_id").asc()], "_rank", {"_sum": target})
     # the running sum at the last row kept is the captured total

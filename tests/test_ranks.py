@@ -97,3 +97,57 @@ def test_leak_guard(spark):
     with pytest.raises(ValueError):
         quality.assert_no_leak(c, (2019, 2021), (2022, 2023), ["casualty_age_mean"])
     assert quality.deployable_columns(["speed_limit", "casualty_age_10", "vehicle_count", "point_of_impact_front", "f_ksi"]) == ["speed_limit", "f_ksi"]
+
+
+def test_density_pyramid_keeps_the_weight(spark):
+    rows = [(0.05, 51.0, 2.0), (0.05, 51.0, 1.0), (-0.01, -0.01, 4.0), (None, 51.0, 9.0), (1.0, 51.0, None)]
+    got = ranks.density_pyramid(spark.createDataFrame(rows, "lon double, lat double, score double"), 0.1, levels=4).collect()
+    for level in range(4):
+        assert sum(r["weight"] for r in got if r["level"] == level) == pytest.approx(7.0)
+    cells = {(r["cell_x"], r["cell_y"]): r["weight"] for r in got if r["level"] == 0}
+    assert cells[0, 510] == 3 * 4 / 16 and cells[-1, 510] == 3 * 2 / 16 and cells[-1, 509] == 3 / 16 and cells[-1, -1] == 1.0 and cells[-2, -2] == 0.25
+    assert {(r["cell_x"], r["cell_y"]) for r in got if r["level"] == 1} == {(x >> 1, y >> 1) for x, y in cells}
+
+
+def test_capture_interval_against_a_loop(spark):
+    """Weights, rankings and shares of each replicate, one after another."""
+    import hashlib
+    import math
+    import random
+
+    r = random.Random(3)
+    rows = [(f"s{i}", float(r.randint(0, 9)), float(r.randint(0, 3)), r.randint(0, 4)) for i in range(80)]
+    got = ranks.replicate_captures(spark.createDataFrame(rows, "segment_id string, a double, b double, t int"), "segment_id", ["a", "b"], "t", replicates=12).collect()
+    assert len(got) == 12
+
+    def weight(b, key):
+        u, p, total, k = int(hashlib.md5(f"{b}:{key}".encode()).hexdigest()[:8], 16) / 2**32, math.exp(-1), 0.0, 0
+        while k < 9 and u >= total + p:
+            total, k = total + p, k + 1
+            p /= k
+        return k
+
+    for x in got:
+        w = {row[0]: weight(x["replicate"], row[0]) for row in rows}
+        most, all_ = math.ceil(round(0.2 * sum(w.values()), 9)), sum(w[row[0]] * row[3] for row in rows)
+        for name, at in (("a", 1), ("b", 2)):
+            up = hit = 0
+            for row in sorted(rows, key=lambda row: (-row[at], row[0])):
+                up += w[row[0]]
+                hit += w[row[0]] * row[3] if up <= most else 0
+            assert x[name] == pytest.approx(hit / all_)
+
+
+def test_search_index(spark, tmp_path):
+    """Equal to looking at every row, also for short, unknown and empty terms, nulls and rows with all trigrams only."""
+    import random
+
+    from kerbline.operators import text_index as ti
+
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice("abAB1_é") for _ in range(r.randint(0, 9))), r.choice([None, "xyz", "abab"])) for i in range(400)] + [(400, "abcxbcd", None), (401, "xabcdx", None), (402, None, None)]
+    df = spark.createDataFrame(rows, "id long, name string, road string")
+    ti.write_index(df, "id", ["name", "road"], f"{tmp_path}/i", files=3)
+    for term in ("abcd", "ABA", "bab1", "ab", "", "nothere", "xyz", "é_a"):
+        want = {i for i, *texts in rows if any(x is not None and term.lower() in x.lower() for x in texts)}
+        assert {x["id"] for x in ti.search_index(spark, f"{tmp_path}/i", df, "id", ["name", "road"], term).collect()} == want

@@ -211,6 +211,10 @@ _FINAL = {
     "bbox": "SELECT segment_id, n_crashes FROM seg WHERE lon BETWEEN -3.55 AND -2.05 AND lat BETWEEN 50.02 AND 50.11",
     "min_score": "SELECT segment_id, score FROM seg WHERE score >= 1.5",
     "rank_search": "SELECT segment_id, n_crashes FROM seg WHERE contains(lower(segment_id), 'a12_run2')",
+    "search_index": "SELECT segment_id, n_crashes FROM seg WHERE contains(lower(segment_id), 'a12_run2')",
+    "density_pyramid": """SELECT CAST(level AS INT) AS level, CAST(floor(x / pow(2, level)) AS BIGINT) AS cell_x, CAST(floor(y / pow(2, level)) AS BIGINT) AS cell_y, sum(w) AS weight FROM (
+        SELECT floor(lon / 7e-2) + dx AS x, floor(lat / 7e-2) + dy AS y, score * (2 - abs(dx)) * (2 - abs(dy)) / 16e0 AS w FROM seg, range(-1, 2) a(dx), range(-1, 2) b(dy)) q, range(0, 5) l(level)
+        GROUP BY ALL""",
     "explore": """SELECT segment_id, tier, f_speed_mode FROM tiered JOIN speed_mode USING (segment_id)
         WHERE tier IN ('Severe', 'Critical') AND road_number IN ('A3', 'A7', 'A21', 'A38') AND f_speed_mode IN (20, 40, 70)""",
     "ksi": "SELECT * FROM ksi",

@@ -12,7 +12,7 @@ from kerbline.functions.ids import json_row, parse_segment_id
 from kerbline.functions.scale import PUBLISHED_CUTOFFS, tier
 from kerbline.models import boost, linear, severity
 from kerbline.models.shap import factor_ranking, shap_table, shap_values
-from kerbline.operators import crashes, evaluate, filters, quality, ranks, routes as rt, segments as sg
+from kerbline.operators import crashes, evaluate, filters, quality, ranks, routes as rt, segments as sg, text_index
 from kerbline.operators.near import near_pairs
 from kerbline.plans import answers
 from kerbline.plans.build import rank_segments, score_segments
@@ -145,6 +145,15 @@ def rank_search(spark, sf):
     return filters.search(t.segments(spark, sf), "a12_RUN2").select("segment_id", "n_crashes")
 
 
+@query
+def search_index(spark, sf):
+    """The same search through an inverted index of trigrams."""
+    s = t.segments(spark, sf)
+    path = f"{Scratch(spark, 'trigrams').folder}/index"
+    text_index.write_index(s, "segment_id", ["segment_id", "road_number"], path)
+    return text_index.search_index(spark, path, s, "segment_id", ["segment_id", "road_number"], "a12_RUN2").select("segment_id", "n_crashes")
+
+
 @query
 def explore(spark, sf):
     e = filters.explore(t.tiered(spark, sf), tiers=["Severe", "Critical"], roads=["A3", "A7", "A21", "A38"], speeds=[20, 40, 70])
@@ -363,6 +372,11 @@ def heat_grid(spark, sf):
     return ranks.heat_grid(t.segments(spark, sf), 0.07)
 
 
+@query
+def density_pyramid(spark, sf):
+    return ranks.density_pyramid(t.segments(spark, sf), 0.07)
+
+
 @query
 def capture(spark, sf):
     known = t.segments(spark, sf).where(F.col("f_crashes") > 0)
