@@ -145,3 +145,10 @@ def test_file_audit(spark, tmp_path):
     assert {n: x["status"] for n, x in got.items()} == {n: "ok" if n in ("crlf.csv", "héad.csv") else n[:-4] for n in texts}
     assert got["cut.csv"]["rows"] == 3 and got["cut.csv"]["corrupt_rows"] == 1 and got["ok.csv"]["rows"] == 2 and got["héad.csv"]["rows"] == 0
     assert quality.audit_files(quality.read_lines(spark, str(tmp_path)).limit(0), "id long").count() == 0
+
+
+def test_a_repeated_mapping_row_multiplies_nothing(spark):
+    df = spark.sql("SELECT 1 AS collision_id, DATE'2020-01-01' AS occurred_on, 'Serious' AS severity_raw UNION ALL SELECT 2, DATE'2021-01-01', 'Serious'")
+    mapping = spark.createDataFrame([(2020, "Serious", "serious", 0.9), (2020, "Serious", "serious", 0.9), (2020, "Serious", "severe", 1.0)], "year int, raw string, label string, weight double")
+    got = {x["collision_id"]: (x["severity"], x["severity_weight"]) for x in quality.harmonise_severity(df, mapping).collect()}
+    assert got == {1: ("serious", 0.9), 2: ("Serious", 1.0)}
