@@ -36,17 +36,20 @@ def forward_cells(df: DataFrame, x: str, y: str, out_x: str, out_y: str) -> Data
     }).drop("_s")
 
 
-def near_pairs(pts: DataFrame, radius_m: float, grid: Grid | None = None) -> DataFrame:
+def near_pairs(pts: DataFrame, radius_m: float, grid: Grid | None = None, touching: str | None = None) -> DataFrame:
     """Every pair (a < b) of distinct positions of a road at most ``radius_m`` apart, with length ``w``.
 
+    ``touching`` names a boolean column; then only pairs with at least one position where it holds.
+
     Positions meet through an equi-join on grid cells. The result has one row per such pair, so the
     radius has to suit the density; the spanning forest takes one that keeps every cell small.
     """
     cx, cy = (grid or grid_for(pts)).cell(radius_m)
-    cells = pts.select("road_number", "pos_id", "lon", "lat", cx, cy)
-    left = cells.select("road_number", F.col("pos_id").alias("i"), F.col("lon").alias("xi"), F.col("lat").alias("yi"), F.col("cx").alias("x0"), F.col("cy").alias("y0"))
+    wanted = F.col(touching) if touching else F.lit(True)
+    cells = pts.select("road_number", "pos_id", "lon", "lat", wanted.alias("wanted"), cx, cy)
+    left = cells.select("road_number", F.col("pos_id").alias("i"), F.col("lon").alias("xi"), F.col("lat").alias("yi"), F.col("wanted").alias("wi"), F.col("cx").alias("x0"), F.col("cy").alias("y0"))
     left = forward_cells(left, "x0", "y0", "cx", "cy").drop("x0", "y0")
-    right = cells.select("road_number", F.col("pos_id").alias("j"), F.col("lon").alias("xj"), F.col("lat").alias("yj"), "cx", "cy")
-    p = left.join(right, ["road_number", "cx", "cy"]).where(~F.col("own") | (F.col("i") < F.col("j")))
+    right = cells.select("road_number", F.col("pos_id").alias("j"), F.col("lon").alias("xj"), F.col("lat").alias("yj"), F.col("wanted").alias("wj"), "cx", "cy")
+    p = left.join(right, ["road_number", "cx", "cy"]).where((~F.col("own") | (F.col("i") < F.col("j"))) & (F.col("wi") | F.col("wj")))
     p = p.withColumn("w", haversine_m("xi", "yi", "xj", "yj")).where(F.round("w", 3) <= radius_m)
     return p.select("road_number", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "w")

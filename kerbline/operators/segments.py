@@ -9,8 +9,9 @@ from kerbline.functions.geo import in_gb
 from kerbline.functions.ids import is_night, segment_id
 from kerbline.operators.chainage import chainage
 from kerbline.operators.filters import in_years
-from kerbline.operators.spanning import positions, spanning_forest, with_position
+from kerbline.operators.spanning import extend_forest, positions, spanning_forest, with_position
 from kerbline.schemas import FEATURE_NAMES
+from kerbline.scratch import Scratch
 
 
 def blocks(df: DataFrame, block_m: int = 500) -> DataFrame:
@@ -29,6 +30,22 @@ def place_positions(crashes: DataFrame, gap_m: float = 5000.0, block_m: int = 50
     return blocks(chainage(labelled, edges), block_m), edges
 
 
+def extend_places(old: DataFrame, edges: DataFrame, crashes: DataFrame, gap_m: float = 5000.0, block_m: int = 500) -> tuple[DataFrame, DataFrame]:
+    """``place_positions`` of old and added crashes, from the places and edges of the old ones.
+
+    ``edges`` are those of ``spanning.with_road``, and so are the returned ones; ``crashes`` are the added ones alone.
+    Roads without a new place keep their stretches and chainage; only the number of crashes at a place may change there.
+    """
+    usable = crashes.where(F.col("road_number").isNotNull() & in_gb("lon", "lat"))
+    new = Scratch(old.sparkSession, "added").table(positions(usable), "positions")
+    all_edges, labelled, roads = extend_forest(old, edges, new, gap_m)
+    redone = blocks(chainage(labelled, all_edges.join(roads, "road_number", "left_semi").select("a", "b", "w")), block_m)
+    more = new.join(roads, "road_number", "left_anti").select("road_number", "px", "py", F.col("n_here").alias("more"))
+    same = old.join(roads, "road_number", "left_anti").join(more, ["road_number", "px", "py"], "left")
+    same = same.withColumn("n_here", F.col("n_here") + F.coalesce("more", F.lit(0))).select(*redone.columns)
+    return redone.unionByName(same), all_edges
+
+
 def assign_segments(crashes: DataFrame, placed: DataFrame) -> DataFrame:
     """Join the segment of each crash's position; a position is one row, so crashes never multiply.
 

@@ -12,6 +12,11 @@ blocks, and block pairs whose boxes are farther apart than the best known upper
 components are dropped. A dense cell is therefore narrowed down, never multiplied out.
 
 Links are ordered by (length, smaller id, larger id), so the forest is unique and every run agrees.
+
+New positions extend a forest without redoing it (``extend_forest``). A link between two old positions that
+the old forest left out closes a cycle in which it is the longest link; it stays out, as the cycle is still there.
+So the new forest is that of the old forest's links and the links that touch a new position: roads
+without one are passed on as they are, and on the others no two old positions are compared.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ CELL_MAX = 48  # most components a cell may hold at the chosen radius
 PAIRS_PER_COMPONENT = 12.0  # and most pairs of components within cells, per component listed
 FEW_PAIRS = 20_000  # a total that needs no closer look
 MIN_RADIUS_M = 0.001
+BLOCK = ["comp", "fresh"]  # what a block's positions have in common beside their cell
 HOPS = 6  # steps towards the root per job
 COORD_DECIMALS = 9  # positions equal to 0.1 mm are one position
 
@@ -95,11 +101,11 @@ def _summary() -> list[Column]:
 
 def _blocks(pts: DataFrame, grid: Grid, side_m: float) -> DataFrame:
     cx, cy = grid.cell(side_m)
-    return pts.groupBy("road_number", cx, cy, "comp").agg(*_summary())
+    return pts.groupBy("road_number", cx, cy, *BLOCK).agg(*_summary())
 
 
 def _side(name: str, extra: list[str]) -> list[Column]:
-    return [F.col(c).alias(f"{c}_{name}") for c in ["cx", "cy", "comp", "n", "one", *_BOX, *extra]]
+    return [F.col(c).alias(f"{c}_{name}") for c in ["cx", "cy", *BLOCK, "n", "one", *_BOX, *extra]]
 
 
 def _bounds(p: DataFrame) -> DataFrame:
@@ -131,7 +137,7 @@ def _block_pairs(blocks: DataFrame) -> DataFrame:
     a = forward_cells(blocks.select("road_number", *_side("a", [])), "cx_a", "cy_a", "cx_b", "cy_b")
     b = blocks.select("road_number", *_side("b", []))
     other = F.when(F.col("own"), F.col("comp_a") < F.col("comp_b")).otherwise(F.col("comp_a") != F.col("comp_b"))
-    return a.join(b, ["road_number", "cx_b", "cy_b"]).where(other).drop("own")
+    return a.join(b, ["road_number", "cx_b", "cy_b"]).where(other & (F.col("fresh_a") | F.col("fresh_b"))).drop("own")
 
 
 def _links(p: DataFrame) -> DataFrame:
@@ -145,15 +151,25 @@ def _links(p: DataFrame) -> DataFrame:
     )
 
 
-def _first_links(pts: DataFrame, grid: Grid, radius: float, s: Scratch) -> tuple[DataFrame, int]:
+def _known_links(pts: DataFrame, known: DataFrame, settled: float, radius: float) -> DataFrame:
+    """Links of an older forest that are longer than ``settled`` and at most ``radius``, with their components."""
+    due = known.where((F.round("w", 3) > settled) & (F.round("w", 3) <= radius)).select("w", "a", "b")
+    for e in ("a", "b"):
+        due = due.join(pts.select(F.col("pos_id").alias(e), F.col("comp").alias(f"c{e}")), e)
+    return due.where(F.col("ca") != F.col("cb")).select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"), "w", "a", "b")
+
+
+def _first_links(pts: DataFrame, grid: Grid, radius: float, s: Scratch, known: DataFrame | None) -> tuple[DataFrame, int]:
     """At the start every position is its own component and the cells are small: links are pairs."""
-    p = near_pairs(pts, radius, grid)
-    kept, m = s.keep(p.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "a", "b"), "links")
+    links = near_pairs(pts, radius, grid, "fresh").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "a", "b")
+    if known is not None:
+        links = links.unionByName(_known_links(pts, known, -1.0, radius))
+    kept, m = s.keep(links, "links")
     return kept, m["rows"]
 
 
 def _candidates(pts: DataFrame, grid: Grid, radius: float, s: Scratch) -> tuple[DataFrame, int]:
-    """One link per pair of components at most ``radius`` apart: the shortest."""
+    """One link per pair of components at most ``radius`` apart: the shortest that touches a fresh position."""
     size = F.col("n_a") * F.col("n_b")
     sizes = {"heavy": F.count_if(size > OPEN_PAIRS), "opened": F.count_if((size > 1) & (size <= OPEN_PAIRS))}
     met = s.table(_bounds(_block_pairs(_blocks(pts, grid, radius))).where(F.col("lower") <= radius), "met")
@@ -173,15 +189,15 @@ def _candidates(pts: DataFrame, grid: Grid, radius: float, s: Scratch) -> tuple[
         found.append(_links(single))
         if m["opened"]:
             cx, cy = grid.cell(side)
-            member = pts.select("road_number", cx, cy, "comp", "pos_id", "lon", "lat")
-            light = pairs.where((size > 1) & (size <= OPEN_PAIRS)).select("road_number", "cx_a", "cy_a", "comp_a", "cx_b", "cy_b", "comp_b")
+            member = pts.select("road_number", cx, cy, *BLOCK, "pos_id", "lon", "lat")
+            light = pairs.where((size > 1) & (size <= OPEN_PAIRS)).select("road_number", *[f"{c}_{e}" for e in "ab" for c in ("cx", "cy", *BLOCK)])
             for e in ("a", "b"):
                 side_pts = member.select(
                     "road_number",
-                    *[F.col(c).alias(f"{c}_{e}") for c in ("cx", "cy", "comp")],
+                    *[F.col(c).alias(f"{c}_{e}") for c in ("cx", "cy", *BLOCK)],
                     F.col("pos_id").alias(f"id{e}"), F.col("lon").alias(f"lon{e}"), F.col("lat").alias(f"lat{e}"),
                 )
-                light = light.join(side_pts, ["road_number", f"cx_{e}", f"cy_{e}", f"comp_{e}"])
+                light = light.join(side_pts, ["road_number", *[f"{c}_{e}" for c in ("cx", "cy", *BLOCK)]])
             found.append(_links(light))
         if not m["heavy"]:
             break
@@ -191,18 +207,18 @@ def _candidates(pts: DataFrame, grid: Grid, radius: float, s: Scratch) -> tuple[
         cx, cy = grid.cell(side)
         fx, fy = grid.cell(fine_side)
         parts = (
-            pts.select("road_number", cx, cy, "comp", "pos_id", "lon", "lat", fx.alias("fx"), fy.alias("fy"))
-            .groupBy("road_number", "cx", "cy", "comp", "fx", "fy")
+            pts.select("road_number", cx, cy, *BLOCK, "pos_id", "lon", "lat", fx.alias("fx"), fy.alias("fy"))
+            .groupBy("road_number", "cx", "cy", *BLOCK, "fx", "fy")
             .agg(*_summary())
         )
-        p = heavy.select("road_number", "cx_a", "cy_a", "comp_a", "cx_b", "cy_b", "comp_b", "best")
+        p = heavy.select("road_number", *[f"{c}_{e}" for e in "ab" for c in ("cx", "cy", *BLOCK)], "best")
         for e in ("a", "b"):
             q = parts.select(
                 "road_number",
-                *[F.col(c).alias(f"{c}_{e}") for c in ("cx", "cy", "comp", "n", "one", *_BOX)],
+                *[F.col(c).alias(f"{c}_{e}") for c in ("cx", "cy", *BLOCK, "n", "one", *_BOX)],
                 F.col("fx").alias(f"fx_{e}"), F.col("fy").alias(f"fy_{e}"),
             )
-            p = p.join(q, ["road_number", f"cx_{e}", f"cy_{e}", f"comp_{e}"])
+            p = p.join(q, ["road_number", *[f"{c}_{e}" for c in ("cx", "cy", *BLOCK)]])
         for e in ("a", "b"):
             p = p.drop(f"cx_{e}", f"cy_{e}").withColumnRenamed(f"fx_{e}", f"cx_{e}").withColumnRenamed(f"fy_{e}", f"cy_{e}")
         side = fine_side
@@ -276,31 +292,82 @@ def _merge(links: DataFrame, n: int, s: Scratch) -> tuple[DataFrame, DataFrame]:
     return forest.distinct(), mapping
 
 
-def spanning_forest(pts: DataFrame, gap_m: float = 5000.0) -> tuple[DataFrame, DataFrame]:
+def spanning_forest(pts: DataFrame, gap_m: float = 5000.0, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(edges, labelled)``: edges (a, b, w) of the forest, and the positions with ``comp``.
 
-    ``comp`` is the id of one position of the stretch.
+    ``comp`` is the id of one position of the stretch. With ``known``, the edges of a forest of those positions
+    whose column ``fresh`` is false, only links that touch the other positions are looked for.
     """
     spark = pts.sparkSession
     s = Scratch(spark, "forest")
-    cur, m = s.keep(pts.withColumn("comp", F.col("pos_id")), "pts", top=F.max(F.abs("lat")))
+    columns = [c for c in pts.columns if c not in ("comp", "fresh")]
+    fresh = F.lit(True) if known is None else F.col("fresh")
+    cur, m = s.keep(pts.select(*columns, F.col("pos_id").alias("comp"), fresh.alias("fresh")), "pts", top=F.max(F.abs("lat")))
     grid = Grid(float(m["top"] or 0.0))
-    radius, started, edges = 0.0, False, []
+    radius, settled, started, edges = 0.0, 0.0, False, []
     while radius < gap_m:
-        radius = next_radius(cur, grid, radius, gap_m)
-        links, n = (_candidates if started else _first_links)(cur, grid, radius, s)
+        settled, radius = radius, next_radius(cur, grid, radius, gap_m)
+        if not started:
+            links, n = _first_links(cur, grid, radius, s, known)
+        else:
+            links, n = _candidates(cur, grid, radius, s)
+            if known is not None:
+                due = _known_links(cur, known, settled, radius)
+                both = links.unionByName(due) if n else due
+                both = both.groupBy("ca", "cb").agg(F.min(F.struct("w", "a", "b")).alias("m")).select("ca", "cb", "m.w", "m.a", "m.b")
+                found, m = s.keep(both, "links")
+                s.drop(links if n else None)
+                links, n = found, m["rows"]
         started = True
         if n:
             forest, mapping = _merge(links, n, s)
             edges.append(forest)
             up = mapping.select(F.col("c").alias("comp"), F.col("up").alias("top"))
-            nxt = s.table(cur.join(up, "comp", "left").select(*pts.columns, F.coalesce("top", "comp").alias("comp")), "pts")
+            nxt = s.table(cur.join(up, "comp", "left").select(*columns, F.coalesce("top", "comp").alias("comp"), "fresh"), "pts")
             s.drop(cur)
             cur = nxt
+    labelled = cur.drop("fresh")
     if not edges:
         empty = pts.select(F.lit(0.0).alias("w"), F.col("pos_id").alias("a"), F.col("pos_id").alias("b")).limit(0)
-        return empty, cur
+        return empty, labelled
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return s.table(out.select("a", "b", "w"), "edges"), cur
+    return s.table(out.select("a", "b", "w"), "edges"), labelled
+
+
+def with_road(edges: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Edges with their road, the form in which a forest is kept for later extension."""
+    return edges.join(labelled.select(F.col("pos_id").alias("a"), "road_number"), "a").select("road_number", "a", "b", "w")
+
+
+def extended_positions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` and ``new`` positions as one table with ``fresh``, true for places that ``old`` has not.
+
+    A place that both have keeps its id and coordinates and adds up its crashes.
+    """
+    place = ["road_number", "px", "py"]
+    more = new.select(*place, F.col("n_here").alias("more"))
+    kept = old.join(more, place, "left").select(*place, "pos_id", "lon", "lat", (F.col("n_here") + F.coalesce("more", F.lit(0))).alias("n_here"), F.lit(False).alias("fresh"))
+    added = new.join(old.select(*place), place, "left_anti")
+    return kept.unionByName(added.select(*place, "pos_id", "lon", "lat", "n_here", F.lit(True).alias("fresh")))
+
+
+def extend_forest(old: DataFrame, edges: DataFrame, new: DataFrame, gap_m: float = 5000.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(edges, labelled, roads)`` after positions were added; ``roads`` are those that have a new place.
+
+    ``old`` has ``comp`` (or ``run``, a stretch number, which is not read), ``edges`` come from ``with_road``, ``new`` from
+    ``positions`` of the added crashes, whose ids are not among the old ones. The forest equals that of all
+    positions at once. ``labelled`` holds the positions of ``roads`` only: the others' labels and edges stay.
+    No new place: the edges are the old ones and ``labelled`` is empty.
+    """
+    s = Scratch(old.sparkSession, "extended")
+    place = ["road_number", "px", "py"]
+    # a year's new places are few beside all places, and their roads fewer: Spark broadcasts them if they are small
+    roads, m = s.keep(new.join(old.select(*place), place, "left_anti").select("road_number").distinct(), "roads")
+    if not m["rows"]:
+        return edges, old.where("false").select(*place, "pos_id", "lon", "lat", "n_here", F.col("pos_id").alias("comp")), roads
+    pts = extended_positions(old.join(roads, "road_number", "left_semi"), new.join(roads, "road_number", "left_semi"))
+    known = s.table(edges.join(roads, "road_number", "left_semi"), "known")
+    found, labelled = spanning_forest(pts, gap_m, known)
+    return s.table(edges.join(roads, "road_number", "left_anti").unionByName(with_road(found, labelled)), "edges"), labelled, roads

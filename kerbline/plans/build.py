@@ -11,7 +11,8 @@ from kerbline.models.boost import out_of_fold
 from kerbline.operators.crashes import join_crash
 from kerbline.operators.filters import numbered_roads
 from kerbline.operators.ranks import ranked, tier_cutoffs, with_tiers
-from kerbline.operators.segments import assign_segments, place_positions, segment_table
+from kerbline.operators.segments import assign_segments, extend_places, place_positions, segment_table
+from kerbline.operators.spanning import with_road
 from kerbline.schemas import FEATURE_NAMES
 from kerbline.scratch import Scratch
 
@@ -40,11 +41,22 @@ class Placed:
     segments: DataFrame
 
 
-def place_crashes(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame, windows: Windows, gap_m: float = 5000.0, block_m: int = 500) -> Placed:
-    """Assign crashes to segments and aggregate features and target."""
+def place_crashes(
+    collision: DataFrame, vehicle: DataFrame, casualty: DataFrame, windows: Windows, gap_m: float = 5000.0, block_m: int = 500,
+    earlier: Placed | None = None, added: DataFrame | None = None,
+) -> Placed:
+    """Assign crashes to segments and aggregate features and target.
+
+    With ``earlier``, the result for all collisions but the ``added`` ones, its places and forest are extended by those.
+    """
     s = Scratch(collision.sparkSession, "placed")
     numbered = numbered_roads(collision)
-    positions, edges = place_positions(numbered, gap_m, block_m)
+    if earlier is None:
+        positions, edges = place_positions(numbered, gap_m, block_m)
+    else:
+        kept = with_road(earlier.edges, earlier.positions)
+        positions, edges = extend_places(earlier.positions, kept, numbered_roads(added), gap_m, block_m)
+        edges = edges.select("a", "b", "w")
     positions = s.table(positions, "positions")
     crashes = s.table(assign_segments(join_crash(numbered, vehicle, casualty), positions), "crashes")
     segments = s.table(segment_table(crashes, windows.features, windows.target, block_m), "segments")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.operators import chainage as ch, spanning as sp
-from kerbline.operators.segments import assign_segments, place_positions
+from kerbline.operators.segments import assign_segments, extend_places, place_positions
 from tests.brute import kruskal, tree_chainage
 
 SCHEMA = "collision_id long, road_number string, lon double, lat double"
@@ -63,6 +63,44 @@ def test_forest_and_chainage_match_brute_force(spark, monkeypatch, seed, open_pa
     assert max(abs(got_m[k] - want_m[k]) for k in want_m) < 1e-6
 
 
+@pytest.mark.parametrize("seed,n,open_pairs,first_max", [(3, 140, 1024, 48), (4, 60, 6, 8)])
+def test_extended_forest_is_that_of_all_places(spark, monkeypatch, seed, n, open_pairs, first_max):
+    """Three roads, one of them without new places; the new ones also bridge old stretches and repeat old places."""
+    settings(monkeypatch, open_pairs, first_max)
+    pts = cloud(seed, n)
+    pts.update({1000 + i: ("A3", -2.0 + 0.01 * i, 53.0) for i in range(5)})
+    added = {i: p for i, p in pts.items() if 0.7 * n < i < 1000}
+    old = {i: p for i, p in pts.items() if i not in added}
+    added.update({2000 + i: old[i] for i in sorted(old)[:6]} | {2010: old[1000]})
+    placed, edges = place_positions(frame(spark, old))
+    kept = sp.with_road(edges, placed)
+    compared = []
+    real = sp.near_pairs
+    monkeypatch.setattr(sp, "near_pairs", lambda *a: compared.extend(real(*a).collect()) or real(*a))
+    places, all_edges = extend_places(placed, kept, frame(spark, added))
+    monkeypatch.setattr(sp, "near_pairs", real)
+    want, _ = kruskal(pts, 5000.0)
+    assert {(r["a"], r["b"]) for r in all_edges.collect()} == want
+    whole, _ = place_positions(frame(spark, {**pts, **{i: p for i, p in added.items() if i >= 2000}}))
+    columns = ["pos_id", "road_number", "run", "block", "n_here", "segment_id"]
+    assert sorted(places.select(*columns).collect()) == sorted(whole.select(*columns).collect())
+    a, b = ({r["pos_id"]: r["chainage"] for r in d.collect()} for d in (places, whole))
+    assert max(abs(a[k] - b[k]) for k in b) < 1e-6
+    # no two old places are compared, and the road without a new place is not looked at
+    assert compared and all((r["a"] in added or r["b"] in added) and r["road_number"] != "A3" for r in compared)
+
+
+def test_extension_without_new_places(spark):
+    pts = {1: ("A1", -1.0, 52.0), 2: ("A1", -1.0, 52.003)}
+    placed, edges = place_positions(frame(spark, pts))
+    again, kept = extend_places(placed, sp.with_road(edges, placed), frame(spark, {9: pts[2]}))
+    assert {r["pos_id"]: r["n_here"] for r in again.collect()} == {1: 1, 2: 2} and kept.count() == 1
+    first, made = extend_places(placed.where("false"), sp.with_road(edges, placed).where("false"), frame(spark, pts))
+    assert first.count() == 2 and made.count() == 1
+    none, _ = extend_places(placed, sp.with_road(edges, placed), frame(spark, pts).where("false"))
+    assert none.count() == 2
+
+
 def test_hot_spot_is_not_multiplied_out(spark, monkeypatch):
     """Two dense spots of one road 3 km apart: the pair of blocks is narrowed down, not opened."""
     settings(monkeypatch, 64, 16)

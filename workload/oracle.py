@@ -226,6 +226,8 @@ _FINAL = {
     "stretches": "SELECT road_number, run, count(*) AS positions, round(max(stretch_m), 2) AS stretch_m FROM placed GROUP BY road_number, run",
     "mst_weight": """SELECT road_number, run, count(*) - 1 AS edges, round(max(stretch_m), 2) AS total_m FROM placed
         GROUP BY road_number, run HAVING count(*) > 1""",
+    "mst_extended": """SELECT road_number, run, count(*) - 1 AS edges, round(max(stretch_m), 2) AS total_m FROM placed
+        GROUP BY road_number, run HAVING count(*) > 1""",
     "chainage": "SELECT pos_id, road_number, run, round(chainage, 2) AS chainage FROM placed",
     "blocks": "SELECT road_number, run, block, count(*) AS positions, CAST(sum(n_here) AS BIGINT) AS crashes FROM placed GROUP BY road_number, run, block",
     "segment_ids": "SELECT segment_id, road_number, run, km FROM seg",

@@ -14,6 +14,7 @@ from kerbline.models import boost, linear, severity
 from kerbline.models.shap import factor_ranking, shap_table, shap_values
 from kerbline.operators import crashes, evaluate, filters, quality, ranks, routes as rt, segments as sg, text_index
 from kerbline.operators.near import near_pairs
+from kerbline.operators.spanning import with_road
 from kerbline.plans import answers
 from kerbline.plans.build import rank_segments, score_segments
 from kerbline.schemas import CATEGORICAL, FEATURE_NAMES
@@ -204,6 +205,16 @@ def mst_weight(spark, sf):
     return rounded(e.groupBy("road_number", "run").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("total_m")), total_m=2)
 
 
+@query
+def mst_extended(spark, sf):
+    """The forest of all crashes, grown from that of the crashes before 1998."""
+    c = filters.numbered_roads(t.collision(spark, sf))
+    positions, edges = sg.place_positions(c.where("year(occurred_on) < 1998"))
+    places, edges = sg.extend_places(positions, with_road(edges, positions), c.where("year(occurred_on) >= 1998"))
+    e = edges.drop("road_number").join(places.select(F.col("pos_id").alias("a"), "road_number", "run"), "a")
+    return rounded(e.groupBy("road_number", "run").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("total_m")), total_m=2)
+
+
 @query
 def chainage(spark, sf):
     return t.placed(spark, sf).positions.select("pos_id", "road_number", "run", F.round("chainage", 2).alias("chainage"))
