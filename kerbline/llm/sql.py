@@ -19,14 +19,29 @@ def url_filter() -> str:
     host = lambda u: f"translate(regexp_extract({u}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = lambda u: f"regexp_extract({u}, '://[^/?#]*([^?#]*)', 1)"
     key = lambda u: f"{host(u)} || {path(u)} || regexp_extract({u}, '://[^?#]*(\\?[^#]*)', 1)"
-    target = lambda outer, inner: f"regexp_extract(regexp_extract(html, {_quoted(outer)}), {_quoted(inner)}, 1)"
+    u = url_filters
+    value = lambda name: _TRIM.format("concat(" + ", ".join(f"regexp_extract(tag, {_quoted(u._VALUE.format(name))}, {k})" for k in (1, 2, 3)) + ")")
+    tag = r"""(?is)<(?:link|meta)\b(?:[^<>"']+|"[^"<]*"|'[^'<]*'|["'])*>"""
+    names = " ".join(f"WHEN starts_with(p, {_quoted(n)}) THEN {_quoted(c)} || substr(p, {len(n) + 1})" for n, c in u.NAMED)
+    code = "CASE WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{1,6};') THEN ('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1))::BIGINT WHEN regexp_matches(p, '^#[0-9]{1,7};') THEN regexp_extract(p, '^#([0-9]+);', 1)::BIGINT END"
+    char = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(({code})::INT) || regexp_replace(p, '^[^;]*;', '') {names} ELSE '&' || p END"
+    unescape = lambda x: f"(string_split({x}, '&')[1] || array_to_string(list_transform(string_split({x}, '&')[2:], lambda p: {char}), ''))"
+    dots = lambda x: f"CASE WHEN contains({x}, '/.') THEN list_reduce(list_prepend('', string_split({x}, '/')[2:]), lambda done, s: CASE s WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || s END) || CASE WHEN regexp_matches({x}, '/\\.\\.?$') THEN '/' ELSE '' END ELSE {x} END"
     return f"""
 WITH RECURSIVE rules(verdict, rule, rule_host, rule_path) AS (VALUES {rules}),
-seen AS (
-  SELECT url AS a, unnest([{target(url_filters._CANONICAL, url_filters._HREF)}, {target(url_filters._REFRESH, url_filters._URL)}]) AS t FROM pages WHERE url IS NOT NULL
-), links AS (
-  SELECT a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(a, '^(.*?)://', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(a, '^(.*?)://', 1) || '://' || {host('a')} || t END AS b FROM seen
+tags AS (
+  SELECT url AS a, unnest(regexp_extract_all(regexp_replace(html, {_quoted(u._NOISE)}, ' ', 'g'), {_quoted(tag)})) AS tag FROM pages WHERE url IS NOT NULL
+), raw AS (
+  SELECT a, CASE WHEN regexp_matches(tag, {_quoted(u._CANONICAL)}) THEN {value('href')} WHEN regexp_matches(tag, {_quoted(u._REFRESH)}) THEN {value('content')} END AS r,
+    regexp_matches(tag, {_quoted(u._CANONICAL)}) AS canonical FROM tags
+), plain AS (SELECT a, canonical, {unescape('r')} AS t FROM raw WHERE r IS NOT NULL),
+seen AS (SELECT a, CASE WHEN canonical THEN t ELSE {_TRIM.format(f"regexp_extract(t, {_quoted(u._URL)}, 1)")} END AS t FROM plain),
+split AS (SELECT a, t, regexp_extract(a, '^(.*?)://', 1) AS scheme, regexp_extract(a, '://([^/?#]*)', 1) AS authority, {path('a')} AS base,
+  regexp_extract(t, '(?s)^([^?#]*)', 1) AS own, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS rest FROM seen),
+joined AS (SELECT *, CASE WHEN own = '' THEN base WHEN starts_with(own, '/') THEN own ELSE CASE WHEN regexp_replace(base, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(base, '[^/]*$', '') END || own END AS there FROM split),
+links AS (
+  SELECT a, CASE WHEN regexp_matches(t, {_quoted(u._SCHEME + "//")}) THEN t WHEN t = '' OR starts_with(t, '#') OR regexp_matches(t, {_quoted(u._SCHEME)}) OR NOT contains(a, '://') THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t ELSE scheme || '://' || authority || CASE WHEN own = '' THEN there ELSE {dots('there')} END || rest END AS b FROM joined
 ), ends AS (SELECT * FROM links WHERE b IS NOT NULL AND {host('a')} <> '' AND {host('b')} <> ''),
 edges AS (SELECT {key('a')} AS x, {key('b')} AS y FROM ends UNION SELECT {key('b')}, {key('a')} FROM ends),
 near(x, y) AS (SELECT x, x FROM edges UNION SELECT near.x, edges.y FROM near JOIN edges ON near.y = edges.x),

@@ -10,17 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import literal_table, lower_ascii
+from kerbline.llm.common import SPACE, let, literal_table, lower_ascii
 from kerbline.llm.components import components
 from kerbline.scratch import Scratch
 
 #: The contract's rules.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Patterns that the SQL counterpart reads too, so without anything that only one of the two engines has.
+_NOISE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_CANONICAL = r"""(?is)^<link\b.*[\s"'/]rel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+_REFRESH = r"""(?is)^<meta\b.*[\s"'/]http-equiv\s*=\s*["']?\s*refresh\b"""
+_VALUE = r"""(?is)[\s"'/]{}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_URL = r"""(?is)\burl\s*=\s*["']?([^"']*)"""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: A tag's parts are runs without quotes, and quoted values, which may hold ``>``; no part is tried in two ways.
+_TAG = r"""(?is)<(?:link|meta)\b(?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["']){0,500}+>"""
+#: Character references by name that occur in addresses.
+NAMED = [("amp;", "&"), ("quot;", '"'), ("apos;", "'"), ("lt;", "<"), ("gt;", ">")]
 
 
 def host(url: Column) -> Column:
@@ -60,23 +67,70 @@ def match(places: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.verdict")
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    return F.btrim(F.concat(*[F.regexp_extract(tag, _VALUE.format(name), k) for k in (1, 2, 3)]), F.lit(SPACE))
+
+
+def unescape(text: Column) -> Column:
+    """Character references decoded once: numbers, decimal or hexadecimal, and the names of ``NAMED``; others stay."""
+
+    def decoded(part: Column) -> Column:
+        hexed, plain = F.regexp_extract(part, "^#[xX]([0-9a-fA-F]{1,6});", 1), F.regexp_extract(part, "^#([0-9]{1,7});", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(plain != "", plain).cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        out = F.when(valid, F.concat(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), F.regexp_replace(part, "^[^;]*;", "")))
+        for name, char in NAMED:
+            out = out.when(part.startswith(name), F.concat(F.lit(char), F.substring(part, len(name) + 1, 1 << 30)))
+        return out.otherwise(F.concat(F.lit("&"), part))
+
+    split = lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))
+    return F.when(text.contains("&"), let(F.split(text, "&"), split)).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``."""
+    walk = F.aggregate(F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/"))), F.lit(""), lambda done, part: (
+        F.when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).when(part == ".", done).otherwise(F.concat(done, F.lit("/"), part))
+    ))
+    return F.when(path.contains("/."), F.concat(walk, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The address that ``target`` names on the page ``base``; null where it names the page itself or none with a host."""
+    scheme, authority = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)://([^/?#]*)", 1)
+    folder = F.regexp_replace(path(base), "[^/]*$", "")
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    full = F.when(own == "", path(base)).when(own.startswith("/"), _without_dots(own)).otherwise(_without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), own)))
+    return (
+        F.when(target.rlike(_SCHEME + "//"), target)
+        .when((target == "") | target.startswith("#") | target.rlike(_SCHEME) | ~base.contains("://"), None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .otherwise(F.concat(scheme, F.lit("://"), authority, full, rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """``from_url, to_url`` of canonical links and refresh redirects in the pages' html.
+    """``from_url, to_url`` of all canonical links and refresh redirects in the pages' html.
 
-    Targets without a scheme are resolved against the page's host; other relative targets are left out.
+    Tags inside comments, scripts and styles are none; nor are those of over 500 parts. Character references are
+    decoded, and relative targets resolved against the page's url; a ``base`` element is not read. Addresses without a host
+    (``mailto:``) and a page's links to itself are left out.
     """
     html = F.coalesce("html", F.lit(""))
     # most pages have neither tag; the cheap test spares them the searches
-    seen = pages.where(F.lower(html).rlike("canonical|http-equiv")).select(F.col("url").alias("from_url"), F.explode(F.array(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _URL, 1))).alias("to"))
-    start = F.regexp_extract("from_url", r"(?s)^(.*?)://", 1)
-    to = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(start, F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(start, F.lit("://"), host(F.col("from_url")), "to"))
-    return seen.select("from_url", to.alias("to_url")).where("to_url is not null")
+    seen = pages.where(F.lower(html).rlike("canonical|http-equiv") & F.col("url").isNotNull())
+    tags = seen.select(F.col("url").alias("from_url"), F.explode(F.regexp_extract_all(F.regexp_replace(html, _NOISE, " "), F.lit(_TAG), F.lit(0))).alias("tag"))
+    refresh = F.btrim(F.regexp_extract(unescape(_attribute(F.col("tag"), "content")), _URL, 1), F.lit(SPACE))
+    to = F.when(F.col("tag").rlike(_CANONICAL), unescape(_attribute(F.col("tag"), "href"))).when(F.col("tag").rlike(_REFRESH), refresh)
+    found = tags.select("from_url", to.alias("to")).where("to is not null")
+    return found.select("from_url", resolved(F.col("from_url"), F.col("to")).alias("to_url")).where("to_url is not null")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages`` (page_id, url, html).
 
-    ``redirects``: further edges ``from_url, to_url``, such as a crawler's redirect log. A null url, or one
+    ``redirects``: further edges ``from_url, to_url``, such as a crawler's redirect log. No rows: an empty table. A null url, or one
     without ``://``, has an empty host and path, meets no rule and is allowed. Repeated rows get the same
     verdict; repeated edges and loops change nothing; other columns are not read.
     """

@@ -167,6 +167,35 @@ def test_url_filter_aliases_and_sql(spark, tmp_path):
     assert verdict[10] == verdict[11] == verdict[6] == (None, "allow")
 
 
+ODD_LINKS = [
+    ('<link rel="canonical" href="../b.html">', "http://h.example.com/b.html"), ("<LINK HREF='./c/../d?x=1&amp;y=2' REL='alternate canonical'>", "http://h.example.com/x/d?x=1&y=2"),
+    ('<link title="a > b" rel=canonical href=e.html>', "http://h.example.com/x/e.html"), ('<meta content="0; URL=&#39;?p=&#x32;&#39;" http-equiv="Refresh">', "http://h.example.com/x/y?p=2"),
+    ('<link rel="canonical" href="/a/./b/..">', "http://h.example.com/a/"), ('<link rel="canonical" href="f?u=http://z.org/">', "http://h.example.com/x/f?u=http://z.org/"),
+    ('<!-- <link rel="canonical" href="no"> -->', None), ('<script>"<link rel=canonical href=no>"</script>', None), ('<link rel="canonical" href="mailto:a@b.c">', None),
+    ('<link rel="canonical" href="#top">', None), ('<link rel="canonical">', None), ('<a rel="canonical" href="no">', None), ('<link rel="canonical" href="no', None), ("<link '" + "'x" * 9000, None),
+]
+
+
+def test_links_of_every_kind_propagate(spark, tmp_path):
+    """Each target is an address that a page behind a blocked rule names too; the page inherits the block."""
+    page = "http://h.example.com/x/y"
+    rows = [(k, f"{page}{k}" if "?p" not in html and "URL" not in html else page, html + "<p>text") for k, (html, _) in enumerate(ODD_LINKS)]
+    blocked = '<link rel="canonical" href="http://x.net/{}">'
+    rows += [(100 + k, to, blocked.format(k)) for k, (_, to) in enumerate(ODD_LINKS) if to]
+    rows += [(200, "http://two.org/", '<link rel="canonical" href="q"><p><link rel="canonical" href="r">'), (201, "http://two.org/r", blocked.format(201)), (202, None, blocked.format(1))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(corpus()[:1], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    links = {(r.from_url, r.to_url) for r in url_filters.page_links(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()}
+    assert {(u, ODD_LINKS[k][1]) for k, u, _ in rows[: len(ODD_LINKS)] if ODD_LINKS[k][1]} <= links
+    assert not any(to is None for _, to in links) and ("http://two.org/", "http://two.org/q") in links
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    got = queries.op5_url_filter(spark, str(tmp_path))
+    verdict = {r.page_id: r.verdict for r in got.collect()}
+    assert all(verdict[k] == ("block" if to else "allow") for k, (_, to) in enumerate(ODD_LINKS)) and verdict[200] == "block"
+    assert answer(got, columns) == by_sql("op5_url_filter", tmp_path, columns)
+    assert url_filters.judge(spark.read.parquet(f"{tmp_path}/pages.parquet").where("false"), url_filters.rule_table(spark, url_filters.RULES)).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 150)] + [(7, 7), (1, 2), (None, 3), (500, 499)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
