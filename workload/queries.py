@@ -12,7 +12,7 @@ from kerbline.functions.ids import json_row, parse_segment_id
 from kerbline.functions.scale import PUBLISHED_CUTOFFS, tier
 from kerbline.models import boost, linear, severity
 from kerbline.models.shap import factor_ranking, shap_table, shap_values
-from kerbline.operators import crashes, evaluate, filters, quality, ranks, routes as rt, segments as sg, text_index
+from kerbline.operators import crashes, evaluate, filters, quality, ranks, routes as rt, segments as sg, sketches, text_index
 from kerbline.operators.near import near_pairs
 from kerbline.operators.spanning import with_road
 from kerbline.plans import answers
@@ -373,6 +373,17 @@ def speed_breakdown(spark, sf):
     return rounded(ranks.speed_breakdown(filters.evidenced(t.segments(spark, sf))), mean_score=6)
 
 
+@query
+def road_quantiles(spark, sf):
+    """Score quantiles of each road and of all, from one sketch a stretch, merged; with their exact ranks' check."""
+    s = t.segments(spark, sf)
+    parts = sketches.sketches(s, ["road_number", "run"])
+    every = sketches.merged(parts, []).select(F.lit("all").alias("road_number"), "n", "sketch")
+    made = sketches.merged(parts, ["road_number"]).unionByName(every)
+    both = s.select(F.explode(F.array("road_number", F.lit("all"))).alias("road_number"), "score")
+    return sketches.rank_check(both, made, ["road_number"], [0.5, 0.8, 0.95]).select("road_number", "share", "n", "within")
+
+
 @query
 def headline(spark, sf):
     return rounded(ranks.headline(t.segments(spark, sf)), share_under=6)
