@@ -298,6 +298,16 @@ _FINAL = {
         FROM odd_kept k JOIN total t USING (request_id, candidate) LEFT JOIN cover c USING (request_id, candidate)
         LEFT JOIN {_label("(SELECT k.request_id, k.candidate, k.duration_s, t.expected_ksi FROM odd_kept k JOIN total t USING (request_id, candidate) WHERE k.status = 'ok')")} l
           USING (request_id, candidate)""",
+    "vocabulary": """SELECT * FROM (WITH made AS (
+            SELECT collision_id, 'vehicle.' || unnest(['type=' || vehicle_type, 'impact=' || point_of_impact, 'no=' || vehicle_no, 'type=' || vehicle_type || '&impact=' || point_of_impact,
+              'type=' || vehicle_type || '&no=' || vehicle_no, 'impact=' || point_of_impact || '&no=' || vehicle_no]) AS term FROM vehicle
+            UNION ALL SELECT collision_id, 'casualty.' || unnest(['no=' || casualty_no, 'age=' || age, 'band=' || age // 10, 'no=' || casualty_no || '&age=' || age,
+              'no=' || casualty_no || '&band=' || age // 10, 'age=' || age || '&band=' || age // 10]) FROM casualty),
+          used AS (SELECT collision_id, term, count(*) AS n, CAST(cast('0x' || substr(md5(CAST(collision_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS INT) AS own FROM made
+            WHERE collision_id IN (SELECT collision_id FROM collision) GROUP BY collision_id, term),
+          learned AS (SELECT f.fold, term, count(*) AS crashes FROM used JOIN (SELECT CAST(unnest(range(-1, 5)) AS INT) AS fold) f ON f.fold <> used.own GROUP BY f.fold, term HAVING count(*) >= 20)
+        SELECT fold, term, crashes, CAST(total AS BIGINT) AS total FROM learned
+        LEFT JOIN (SELECT term, sum(n) AS total FROM used WHERE term IN (SELECT term FROM learned WHERE fold = -1) GROUP BY term) s USING (term)) v""",
     "folds": "SELECT segment_id, CAST(cast('0x' || substr(md5(segment_id), 1, 8) AS BIGINT) % 5 AS INT) AS fold FROM seg",
     "balance": """SELECT collision_id, severe FROM (SELECT *, row_number() OVER (PARTITION BY severe ORDER BY h, collision_id) AS rn FROM md5_order) q
         WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM md5_order GROUP BY severe) m)""",

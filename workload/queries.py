@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kerbline.functions.geo import haversine_m, lonlat, polyline_m
 from kerbline.functions.ids import json_row, parse_segment_id
 from kerbline.functions.scale import PUBLISHED_CUTOFFS, tier
-from kerbline.models import boost, linear, severity
+from kerbline.models import boost, linear, severity, vocabulary as voc
 from kerbline.models.shap import factor_ranking, shap_table, shap_values
 from kerbline.operators import crashes, evaluate, filters, quality, ranks, routes as rt, segments as sg, sketches, text_index
 from kerbline.operators.near import near_pairs
@@ -652,6 +652,24 @@ def shap_step(spark, sf):
     return rounded(values.select("segment_id", F.abs("base").alias("base"), F.get("contributions", F.lit(0)).alias("value")), base=6, value=6)
 
 
+@query
+def vocabulary(spark, sf):
+    """Inputs that the models of each fold learn from vehicles and casualties, with the crashes that hold them."""
+    counted = severity_terms(spark, sf)
+    learned = Scratch(spark, "vocabulary").table(voc.learn(counted, t.collision(spark, sf)))
+    held = voc.sparse(counted, voc.of_fold(learned)).select(F.explode(F.arrays_zip("indices", "counts")).alias("e"))
+    sums = held.groupBy(F.col("e.indices").alias("position")).agg(F.sum("e.counts").alias("total"))
+    deployed = voc.of_fold(learned).join(sums, "position").select("term", "total")
+    return learned.join(deployed, "term", "left").select("fold", "term", "crashes", "total")
+
+
+def severity_terms(spark, sf) -> DataFrame:
+    """Categories and pairs of vehicles, and of casualties by age and number."""
+    vehicle = {"type": "vehicle_type", "impact": "point_of_impact", "no": "vehicle_no"}
+    casualty = {"no": "casualty_no", "age": "age", "band": F.floor(F.col("age") / 10)}
+    return Scratch(spark, "terms").table(voc.terms(t.vehicle(spark, sf), vehicle, "vehicle").unionByName(voc.terms(t.casualty(spark, sf), casualty, "casualty")))
+
+
 _severity: dict[tuple[str, str], DataFrame] = {}
 
 
