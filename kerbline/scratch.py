@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_root: dict[str, str] = {}
+_folders: list[str] = []  # of all scratch tables this driver wrote and has not removed
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,6 +39,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _folders.append(self.folder)
         self._n = 0
 
     def table(self, df: DataFrame, tag: str = "t") -> DataFrame:
@@ -55,13 +59,32 @@ class Scratch:
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables this object wrote, once nothing reads them any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for t in tables:
             path = getattr(t, "_scratch_path", None) if t is not None else None
             if path and path.startswith(self.folder):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end, also after a failure, the scratch tables that were written inside it.
+
+    Results are DataFrames that still read those tables, so whatever is to outlast the job is written inside
+    it. Jobs may be nested, but not run side by side in threads: the first to end would remove the other's tables.
+    """
+    start = len(_folders)
+    try:
+        yield
+    finally:
+        done = _folders[start:]
+        del _folders[start:]
+        for folder in done:
+            _delete(spark, folder)
 
 
 def table(df: DataFrame, tag: str = "t") -> DataFrame:

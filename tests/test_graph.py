@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from kerbline.operators import chainage as ch, spanning as sp
 from kerbline.operators.segments import assign_segments, extend_places, place_positions
+from kerbline.scratch import job, scratch_root, table
 from tests.brute import kruskal, tree_chainage
 
 SCHEMA = "collision_id long, road_number string, lon double, lat double"
@@ -164,3 +166,17 @@ def test_empty_and_single(spark):
     assert edges.count() == 0 and r["chainage"] == 0.0 and r["segment_id"] == "A1_run1_km0.0"
     placed, edges = place_positions(frame(spark, {1: ("A1", -1.0, 52.0)}).where("false"))
     assert placed.count() == 0 and edges.count() == 0
+
+
+def test_a_job_removes_its_scratch_tables(spark, tmp_path):
+    root = Path(scratch_root(spark))
+    before = set(root.iterdir()) if root.exists() else set()
+    with job(spark):
+        place_positions(frame(spark, {1: ("A1", -1.0, 52.0), 2: ("A1", -1.0, 52.003)}))[0].write.parquet(f"{tmp_path}/placed")
+        assert set(root.iterdir()) - before
+    assert set(root.iterdir()) == before
+    assert spark.read.parquet(f"{tmp_path}/placed").count() == 2
+    with pytest.raises(ValueError), job(spark):
+        table(spark.range(3))
+        raise ValueError
+    assert set(root.iterdir()) == before
