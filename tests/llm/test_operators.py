@@ -1,5 +1,6 @@
 """Text operators against brute force, round trips and SQL, with the awkward rows of each table."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -358,16 +359,53 @@ def test_both_vocabulary_files_give_the_same_ids():
     assert [list(a(t)) for t in texts] == [list(b(t)) for t in texts] and list(a("<|endoftext|>")) == [50256]
 
 
-@pytest.mark.parametrize("sizes", [[1023, 1, 512, 512], [5] * 1000, list(range(1, 1024)), [400, 400, 400, 200, 200, 24], []])
-def test_packing_plan(sizes):
-    held, counts = defaultdict(int), Counter()
-    for length, a, b, s, o in packing.plan(dict(Counter(sizes)), 1024):
-        counts[length] += b - a
-        for k in range(b - a):
-            assert held[s + k] == o
-            held[s + k] += length
-    assert counts == Counter(sizes) and all(v <= 1024 for v in held.values())
-    assert len(held) <= -(-sum(sizes) // 1024) + max(1, len(sizes) // 50)
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - size)
+    return len(gaps)
+
+
+def many(seed, low, high, kinds, most):
+    r = random.Random(seed)
+    return [x for _ in range(kinds) for x in [r.randint(low, high)] * r.randint(1, most)]
+
+
+PACKED = [
+    [1023, 1, 512, 512],
+    [5] * 1000,
+    list(range(1, 1024)),
+    [400, 400, 400, 200, 200, 24],
+    [],
+    [600] * 40 + [50] * 300,
+    many(3, 1, 60, 6, 900) + [700] * 150 + [600] * 50,
+    many(4, 1, 300, 8, 500),
+    many(5, 200, 700, 12, 300),
+]
+
+
+@pytest.mark.parametrize("case", range(len(PACKED)))
+def test_packing_rounds(spark, tmp_path, monkeypatch, case):
+    monkeypatch.setattr(packing, "PART_ROWS", 100)  # more than one salt
+    sizes, counts = PACKED[case], Counter(PACKED[case])
+    rows = [(s, r) for s, n in counts.items() for r in range(n)]
+    numbered = spark.createDataFrame(rows, "length int, rank long")
+    got = packing.Rounds(numbered, dict(counts), 1024, Scratch(spark, "rounds")).run().collect()
+    assert Counter((r.length, r.rank) for r in got) == Counter(rows)
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence].append((r.offset, r.length))
+    for s in held.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    if case < 5:  # sizes that fill sequences
+        assert len(held) <= -(-sum(sizes) // 1024) + max(1, len(sizes) // 50)
+    assert len(held) <= 1.01 * best_fit_decreasing(sizes, 1024) + 1
 
 
 @pytest.mark.parametrize(
