@@ -12,8 +12,8 @@ Pieces come in classes from large to small; class q are those of which q and no
 holds a piece of the class, the rest of the class opens sequences, q in each, as best-fit decreasing would. Short
 pieces (under a 17th of a sequence) come last, as runs of pieces of one length that are halved while no gap holds them,
 after as many sequences were opened as their tokens certainly need. Rounds are bounded by the sequence
-length, not by the rows; each writes its tables, and only counts by size reach the driver. The number of sequences was
-within 1.4 % of best-fit decreasing on adverse sizes.
+length, not by the rows; each writes its tables, and only counts by size reach the driver. Tests hold the number of
+sequences against best-fit decreasing on adverse sizes (at most 1 % more).
 """
 
 from __future__ import annotations
