@@ -45,14 +45,11 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."), ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 ]
 
-#: Further notices, as lines; the SQL counterpart knows neither these nor the full texts.
+#: Further notices, as lines.
 HEADERS = [("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");')]
 #: Digests of the canonical forms of full texts and standard headers (``licence, digest``).
 FULL_TEXTS = Path(__file__).with_name("known_licences.csv")
 
-#: Read by the SQL counterpart alone, which drops whole lines.
-_COPYRIGHT = r"(?im)^[^\S\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-
 # A notice is copyright with a sign, a year or a holder, and ends with its line or where a licence phrase begins; words of
 # licence texts that a line may begin with by its wrapping ("copyright notice", "COPYRIGHT HOLDERS", "(c) You must") are none.
 _WORDS = r"notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|treaty|treaties|protection|infringement|and|or|in|is|to|of|for|with|under|that"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from kerbline.llm import licences, mixing, quality_rules, url_filters
 from kerbline.llm.common import GAP
 
@@ -61,19 +63,30 @@ LEFT JOIN ruled ON ruled.address = p.address LEFT JOIN blocked ON blocked.x = p.
 
 
 def licence_scan() -> str:
+    # a mark after "copyright" keeps the words of licence texts from being read as a holder; the mark goes with the punctuation
+    gap = r"[ \t\x0b\f\r]"
+    marked = rf"(?m)^({gap}*(?i:copyright))({gap}+(?i:{licences._WORDS})\b)"
+    sign = rf"(?i:copyright)[:,]?{gap}*(?:(?i:\(c\)|by\b)|©|[\[<{{]?(?:\d{{4}}\b|(?i:yyyy|year)\b))"
+    holder = rf"(?i:copyright){gap}+\p{{Lu}}|(?i:\(c\)){gap}*(?:\d{{4}}\b|(?i:copyright)\b)|©"
+    notice = rf"(?m)^{gap}*(?:(?:{sign}|{holder})[^\n]*?({licences._PHRASE}|$)|(?i:all rights reserved)\b[.!]?)"
+
     def words(t: str) -> str:
         names = "[" + ", ".join(_quoted(v) for v, _ in licences.SPELLINGS if " " not in v) + "]"
         values = "[" + ", ".join(_quoted(c) for v, c in licences.SPELLINGS if " " not in v) + "]"
-        plain = f"trim(regexp_replace(lower(regexp_replace(coalesce({t}, ''), {_quoted(licences._COPYRIGHT)}, ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        rest = f"regexp_replace(regexp_replace(coalesce({t}, ''), {_quoted(marked)}, '\\1' || chr(1) || '\\2', 'g'), {_quoted(notice)}, ' \\1', 'g')"
+        plain = f"trim(regexp_replace(lower({rest}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         out = f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: coalesce(map({names}, {values})[w], w)), ' ')"
         for v, c in licences.SPELLINGS:
             if " " in v:
                 out = f"regexp_replace({out}, '\\b{v}\\b', '{c}', 'g')"
         return out
 
-    known = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licences.KNOWN)
+    known = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licences.KNOWN + licences.HEADERS)
+    with licences.FULL_TEXTS.open(newline="") as f:
+        full = ", ".join(f"({_quoted(r['digest'])}, {_quoted(r['licence'])})" for r in csv.DictReader(f))
     return f"""
-WITH known AS (SELECT sha256({words('t')}) AS digest, min(n) AS licence FROM (VALUES {known}) v(n, t) GROUP BY 1 HAVING digest <> sha256('')),
+WITH digests AS (SELECT sha256({words('t')}) AS digest, n FROM (VALUES {known}) v(n, t) UNION ALL SELECT * FROM (VALUES {full}) f(digest, n)),
+known AS (SELECT digest, min(n) AS licence FROM digests GROUP BY 1 HAVING digest <> sha256('')),
 lines AS (SELECT text, unnest(string_split(text, chr(10))) AS line FROM documents),
 found AS (SELECT text, list_sort(list_distinct(list(licence))) AS notices FROM lines JOIN known ON digest = sha256({words('line')}) WHERE {_TRIM.format('line')} <> '' GROUP BY text)
 SELECT doc_id, sha256({words('d.text')}) AS text_sha256, licence, coalesce(notices, []::VARCHAR[]) AS notices

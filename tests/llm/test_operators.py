@@ -445,6 +445,29 @@ def test_frequent_lines_are_removed(spark):
     assert quality_rules.cleaned(df.limit(0)).count() == 0
 
 
+def test_licence_sql_states_the_notices_that_go(spark, tmp_path):
+    header = 'Licensed under the Apache License, Version 2.0 (the "License");'
+    texts = [
+        licences._ISC.replace("copyright notice and", "\ncopyright notice and").replace("OR COPYRIGHT", "OR\nCOPYRIGHT"),
+        licences._MIT.replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"),
+        "Copyright (c) 2020 A. Licensed under the MIT License.\nprose follows",
+        "  copyright: 1999 B Corp\n" + licences._MIT,
+        "Copyright Jane Doe, all of it\n" + licences._ISC,
+        "© X\nAll rights reserved. " + header,
+        "(c) You must keep this\n" + header,
+        "(C) 2001 C, D\tReleased under the MIT License.",
+        "Copyright <year> E\nCopyright [yyyy] F",
+        "copyright jane\nCopyright \u00c9mile\nAll rights reserved? yes",
+        "",
+        None,
+    ]
+    columns = ["doc_id", "text_sha256", "licence", "notices"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_licence_scan(spark, str(tmp_path))
+    assert {r.doc_id: r.licence for r in got.where("doc_id in (0, 1, 3, 4)").collect()} == {0: "ISC", 1: "MIT", 3: "MIT", 4: "ISC"}
+    assert answer(got, columns) == by_sql("op8_licence_scan", tmp_path, columns)
+
+
 def test_mixing_equals_sql_and_meets_targets(spark, docs, sf, tmp_path):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     unique.write.parquet(f"{tmp_path}/documents.parquet")
