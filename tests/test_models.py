@@ -227,3 +227,41 @@ def test_linear_floor(spark):
     assert null.select(m[0].score()).first()[0] == pytest.approx(math.exp(m[0].beta[0]), rel=1e-6)
     with pytest.raises(ValueError):
         linear.fit_linear(df.limit(0), "ksi_target", ["a"], [F.lit(True)])
+
+
+def test_partitions_of_a_fit_are_bounded_by_the_cores(spark, monkeypatch):
+    """Each partition's sums are exchanged in every pass, so shuffle partitions or rows must not raise their number."""
+    monkeypatch.setattr(learner, "PART_CELLS", 1)
+    monkeypatch.setattr(learner, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(learner, "DEAL_ROWS", 100)
+    rows = spark.range(3000).select(F.col("id").alias("key"), F.lit(1.0).alias("y"), F.lit(1).cast("long").alias("member"), (F.col("id") % 7).cast("double").alias("x0"))
+    held, parts = learner._blocks(rows, 3000, 3000, [learner.Input("a", edges=[2.0, 4.0])], [0.0], learner.Scratch(spark, "bounded"))
+    assert held.rdd.getNumPartitions() <= parts == learner.PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert held.agg(F.sum("n")).first()[0] == 3000
+    held.unpersist()
+
+
+def test_routes_and_sums_against_plain_loops():
+    rng = np.random.default_rng(3)
+    x, y, f = rng.integers(0, 6, (500, 4)).astype(np.uint8), rng.random(500), rng.normal(size=(500, 1))
+    tree = learner.Tree(2, 6)
+    tree.input[[0, 2]], tree.left[0, [0, 3]], tree.left[2, [1, 2, 5]] = [1, 3], True, True
+    want = []
+    for row in x:
+        k = 0
+        while tree.input[k] >= 0:
+            k = 2 * k + 2 - int(tree.left[k, row[tree.input[k]]])
+        want.append(k)
+    assert tree.route(x, 2).tolist() == want
+    member = rng.integers(0, 2, 500)
+    block = {"n": 500, "x": x.tobytes(), "y": y.tobytes(), "f": f.tobytes(), "member": member.astype(np.int64).tobytes()}
+    held, use = {}, np.array([0, 3])
+    learner._sums(block, learner._Plan("poisson", 6, 1, [use], np.zeros(4, bool), [[]], [tree], 2), held)
+    sums = {}
+    for i in np.flatnonzero(member):
+        if want[i] >= 3:
+            s = sums.setdefault((0, want[i]), np.zeros((2, 6, 3)))
+            for j, c in enumerate(use):
+                s[j, x[i, c]] += (1, y[i] - math.exp(f[i, 0]), math.exp(f[i, 0]))
+    assert held.keys() == sums.keys()
+    assert all(np.allclose(held[k], sums[k]) for k in sums)
