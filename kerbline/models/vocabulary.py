@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 from kerbline.functions.ids import fold_of
 
 KEY = "collision_id"
+#: Most rows, on average, that one task groups by crash.
+TASK_ROWS = 1 << 20
+
+
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt by crash over as many tasks as grouping ``rows`` rows needs.
+
+    Sized by the bytes that they read, narrow rows would fill a task with many times its memory in groups, and it
+    would spill. Callers count a table once more for it; a written table knows its count.
+    """
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), KEY)
 
 
 def terms(child: DataFrame, columns: dict[str, str | Column], prefix: str) -> DataFrame:
@@ -24,10 +35,13 @@ def terms(child: DataFrame, columns: dict[str, str | Column], prefix: str) -> Da
     ``columns`` are named categories. A null category makes no term, alone or in a pair.
     """
     columns = {name: F.col(c) if isinstance(c, str) else c for name, c in columns.items()}
-    single = [F.concat(F.lit(f"{prefix}.{name}="), c.cast("string")) for name, c in columns.items()]
+    held = {name: F.col(f"c_{name}") for name in columns}
+    single = [F.concat(F.lit(f"{prefix}.{name}="), c.cast("string")) for name, c in held.items()]
     named = dict(zip(columns, single, strict=True))
-    pairs = [F.concat(named[a], F.lit("&"), F.lit(f"{b}="), columns[b].cast("string")) for a, b in combinations(columns, 2)]
-    found = child.select(KEY, F.explode(F.array(*single, *pairs)).alias("term")).where("term IS NOT NULL")
+    pairs = [F.concat(named[a], F.lit("&"), F.lit(f"{b}="), held[b].cast("string")) for a, b in combinations(columns, 2)]
+    rows = child.select(KEY, *[c.alias(f"c_{name}") for name, c in columns.items()])
+    rows = _dealt(rows, child.count() * (len(single) + len(pairs)))
+    found = rows.select(KEY, F.explode(F.array(*single, *pairs)).alias("term")).where("term IS NOT NULL")
     return found.groupBy(KEY, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -58,7 +72,8 @@ def sparse(counted: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     A crash with none of them has no row.
     """
-    v = counted.join(vocabulary, "term").groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("position", "n"))).alias("v"))
+    met = counted.join(vocabulary, "term").select(KEY, "position", "n")
+    v = _dealt(met, counted.count()).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("position", "n"))).alias("v"))
     return v.select(KEY, F.col("v.position").alias("indices"), F.col("v.n").alias("counts"))
 
 

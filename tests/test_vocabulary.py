@@ -69,3 +69,23 @@ def test_vocabulary_of_nothing(spark):
     learned = voc.learn(counted, child.select("collision_id"))
     assert learned.count() == 0 and voc.inputs(voc.of_fold(learned)) == []
     assert voc.with_inputs(child, voc.sparse(counted, voc.of_fold(learned)), []).count() == child.count()
+
+
+def test_tasks_are_sized_by_rows(spark, monkeypatch):
+    """Grouping is dealt by the number of rows, not by bytes read or a fixed number of tasks, and counts stay the same."""
+    child = spark.createDataFrame([(i % 90, f"t{i % 4}", i % 3) for i in range(600)], "collision_id long, kind string, no int")
+    columns = {"kind": "kind", "no": "no"}
+    want = sorted(voc.terms(child, columns, "v").collect())
+    monkeypatch.setattr(voc, "TASK_ROWS", 100)
+    terms = voc.terms(child, columns, "v")
+    assert terms.rdd.getNumPartitions() == 18  # 600 rows of two terms and a pair
+    assert sorted(terms.collect()) == want
+    counted = spark.createDataFrame(want, "collision_id long, term string, n long")
+    v = spark.createDataFrame([("v.kind=t1", 0), ("v.no=2", 1)], "term string, position int")
+    sparse = voc.sparse(counted, v)
+    assert sparse.rdd.getNumPartitions() == -(-len(want) // 100)
+    held = {}
+    for key, term, n in want:
+        if term in ("v.kind=t1", "v.no=2"):
+            held.setdefault(key, []).append((int(term == "v.no=2"), n))
+    assert {r["collision_id"]: list(zip(r["indices"], r["counts"])) for r in sparse.collect()} == {k: sorted(v) for k, v in held.items()}
