@@ -17,8 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress, repeat
-from operator import is_
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -228,25 +227,27 @@ class Encoder:
         self.words, self.word_ids = {"": 0}, _Lists()
 
     def _part(self, part: str, ids: list[int], counts: list[int]) -> int:
-        part = part.lower()
-        at = self.parts.get(part)
+        low = part.lower()
+        at = self.parts.get(low)
         if at is None:
-            at = self.parts[part] = len(self.part_ids) + len(counts)
-            before = len(ids)
-            ids.extend([t.id for t in self.pieces(part if part.isascii() else part.translate(self.letters))])
-            counts.append(len(ids) - before)
+            at = self.parts[low] = len(self.part_ids) + len(counts)
+            found = [t.id for t in self.pieces(low if low.isascii() else low.translate(self.letters))]
+            ids += found
+            counts.append(len(found))
         return at
 
     def _learn(self, new: list[str], forget: bool = True) -> None:
         if forget and len(self.words) + len(new) > REMEMBERED:
             self._forget(parts=len(self.parts) > REMEMBERED)
         easy, hard, parts, ids, counts = [], [], [], [], []
+        at = self.parts.get
         for w in new:
             m = SIMPLE.fullmatch(w) if self.pieces else None
             if m:
                 easy.append(w)
-                parts.append(self._part(m[1], ids, counts))
-                parts.append(self._part(m[2], ids, counts) if m[2] else 0)
+                for part in m.groups():  # most are known as they stand
+                    k = at(part)
+                    parts.append(self._part(part, ids, counts) if k is None else k)
             else:
                 hard.append(w)
         self.part_ids.add(ids, counts)
@@ -261,15 +262,18 @@ class Encoder:
         """Ids of all texts in one array, and their number in each text."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = list(chain.from_iterable(split))
-        known = list(map(self.words.get, words))
-        new = list(dict.fromkeys(compress(words, map(is_, known, repeat(None)))))
-        if new:
+        known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(known < 0)
+        if len(unknown):
+            met = [words[i] for i in unknown.tolist()]
             before = self.words
-            self._learn(new)
+            self._learn(list(dict.fromkeys(met)))
             if self.words is not before:  # forgotten on the way: the rest of the batch is learnt again
                 self._learn([w for w in dict.fromkeys(words) if w not in self.words], forget=False)
-            known = map(self.words.__getitem__, words)
-        flat, counts = self.word_ids.of(np.fromiter(known, np.int64, len(words)))
+                known = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            else:
+                known[unknown] = np.fromiter(map(self.words.__getitem__, met), np.int64, len(met))
+        flat, counts = self.word_ids.of(known)
         bounds = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0] + [len(s) for s in split])]
         return flat, np.diff(bounds)
 

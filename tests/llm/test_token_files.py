@@ -114,3 +114,23 @@ def test_query(spark):
         want.append((i, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
         at += len(x)
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_encoder_looks_words_up_once(model):
+    """A part known as it stands is not prepared again, and known words of a batch with new ones not looked up again."""
+    e = tf.Encoder(model)
+    seen, part = [], e._part
+    e._part = lambda p, ids, counts: seen.append(p) or part(p, ids, counts)
+    first = e(["road, road; road. verge"])[0].tolist()
+    assert seen == ["road", ",", ";", ".", "verge"]
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, k):
+            Counted.asked += 1
+            return dict.__getitem__(self, k)
+
+    e.words = Counted(e.words)
+    again = e(["road, road; road. verge kerb"])[0].tolist()
+    assert again[: len(first)] == first and Counted.asked == 1
