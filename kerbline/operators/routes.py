@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.functions.geo import METRES_PER_DEGREE, haversine_m, in_gb, leg_fraction, lon_scale, point_leg_m
+from kerbline.functions.geo import METRES_PER_DEGREE, haversine_m, in_gb, leg_fraction, lon_scale, point_leg_m, polyline_m
 from kerbline.operators.filters import evidenced, validate
 from kerbline.operators.running import CHUNK_ROWS, running
 
@@ -18,6 +18,8 @@ COVER_M = 500.0
 MAX_CANDIDATES = 3
 LONG_TRIP_M = 100_000.0
 _KEY = ["request_id", "candidate"]
+#: Most pieces, on average, that one task holds.
+TASK_PIECES = 1 << 18
 
 # grid steps in degrees; longitude steps are stretched so cells are near square around 55 degrees north
 _DLAT = CELL_M / METRES_PER_DEGREE
@@ -49,8 +51,20 @@ def limit_candidates(routes: DataFrame, keep: int = MAX_CANDIDATES, long_trip_m:
     return first.withColumn("_long", long_trip).where((F.col("_n") == 1) | ~F.coalesce("_long", F.lit(False))).drop("_n", "_long")
 
 
+def _tasks(routes: DataFrame) -> int:
+    """Tasks for the pieces of all routes, from their lengths: one narrow pass, in which no piece is made."""
+    pieces = routes.agg(F.sum(F.size("path") + F.coalesce(F.ceil(polyline_m("path") / PIECE_M), F.lit(0)))).first()[0]
+    return max(1, -(-int(pieces or 0) // TASK_PIECES))
+
+
 def route_pieces(routes: DataFrame) -> DataFrame:
-    """Short straight pieces of every route with their distance from the start (``offset_m``)."""
+    """Short straight pieces of every route with their distance from the start (``offset_m``), dealt by route.
+
+    A piece meets several cells and segments, so tasks are sized by pieces: sized by the bytes that they read, narrow
+    rows (or one small file of routes) would fill a task with many times its memory in groups.
+    """
+    routes = routes.where(F.size("path") >= 2)
+    tasks = _tasks(routes)
     p = F.col("path")
     legs = F.transform(
         F.sequence(F.lit(1), F.size("path") - 1),
@@ -60,9 +74,9 @@ def route_pieces(routes: DataFrame) -> DataFrame:
             F.get(p, i)["lon"].alias("blon"), F.get(p, i)["lat"].alias("blat"),
         ),
     )
-    one = routes.where(F.size("path") >= 2).select(*_KEY, F.inline(legs))
+    one = routes.select(*_KEY, "path").repartition(tasks, *_KEY).select(*_KEY, F.inline(legs))
     one = one.withColumn("len_m", haversine_m("alon", "alat", "blon", "blat")).withColumn("_chunk", F.floor(F.col("leg") / CHUNK_ROWS))
-    one = running(one, _KEY, "_chunk", ["leg"], {"end_m": ("sum", "len_m")}).drop("_chunk")
+    one = running(one, _KEY, "_chunk", ["leg"], {"end_m": ("sum", "len_m")}).drop("_chunk").repartition(tasks, *_KEY)
     m = F.greatest(F.lit(1), F.ceil(F.col("len_m") / PIECE_M).cast("int"))
     cut = one.withColumn("_m", m).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
     at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (k / F.col("_m"))
@@ -76,6 +90,11 @@ def route_pieces(routes: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(pieces: DataFrame | None, routes: DataFrame) -> DataFrame:
+    """The pieces of ``routes``, or those at hand, dealt by route over as many tasks as their number needs."""
+    return route_pieces(routes) if pieces is None else pieces.repartition(max(1, -(-pieces.count() // TASK_PIECES)), *_KEY)
+
+
 def _cover(df: DataFrame, lons: list[str], lats: list[str], reach_m: float) -> DataFrame:
     """One row per grid cell that the box of the given points, widened by ``reach_m``, touches."""
     lo = lambda cs: F.least(*cs) if len(cs) > 1 else F.col(cs[0])
@@ -102,7 +121,7 @@ def corridor_join(routes: DataFrame, segments: DataFrame, corridor_m: float = 50
     The segment table is broadcast only if Spark finds it below the session's broadcast threshold.
     """
     validate(corridor_m=corridor_m)
-    pieces = _cover(route_pieces(routes) if pieces is None else pieces, ["alon", "blon"], ["alat", "blat"], corridor_m)
+    pieces = _cover(_dealt(pieces, routes), ["alon", "blon"], ["alat", "blat"], corridor_m)
     segs = _cell(segments.select("segment_id", "score", "lon", "lat"))
     frame = ("lon", "lat", "alon", "alat", "blon", "blat", "scale")
     j = pieces.join(segs, ["cx", "cy"]).withColumn("distance_m", point_leg_m(*frame)).where(F.col("distance_m") <= corridor_m)
@@ -157,7 +176,7 @@ def label_routes(df: DataFrame) -> DataFrame:
 
 def coverage(routes: DataFrame, segments: DataFrame, share: float = 0.5, pieces: DataFrame | None = None) -> DataFrame:
     """Per route: samples every 500 m, how many lie near any segment, and a warning if few do."""
-    pieces = route_pieces(routes) if pieces is None else pieces
+    pieces = _dealt(pieces, routes)
     lo, hi = F.ceil(F.round(F.col("offset_m") / SAMPLE_M, 9)), F.ceil(F.round((F.col("offset_m") + F.col("piece_m")) / SAMPLE_M, 9)) - 1
     hi = F.when(F.col("offset_m") == 0, F.greatest(hi, F.lit(0))).otherwise(hi)  # a route without length has its start
     at = pieces.where(hi >= lo).withColumn("sample", F.explode(F.sequence(lo, hi)))

@@ -92,3 +92,21 @@ def test_corridor_plan_has_no_nested_loop(spark):
     r = route_frame(spark, [(1, 1, [(-1.0, 52.0), (-1.0, 52.01)], 1.0, 1.0)])
     plan = rt.corridor_join(r, seg_frame(spark, [("s", -1.0, 52.0, 1.0, 9)]))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pieces_are_dealt_by_their_number(spark, monkeypatch):
+    """Routes of one partition spread over tasks by their pieces, a route whole in one task; matches and coverage stay."""
+    monkeypatch.setattr(rt, "TASK_PIECES", 50)
+    rows = [(q, 1, [(-1.0 + q / 1000, 52.0), (-1.0 + q / 1000, 52.09)], 1.0, 1.0) for q in range(60)]
+    routes = route_frame(spark, rows).coalesce(1)
+    pieces = rt.route_pieces(routes).withColumn("task", F.spark_partition_id())
+    per = pieces.groupBy("request_id").agg(F.countDistinct("task").alias("tasks"), F.min("task").alias("task"), F.count("*").alias("n")).collect()
+    assert {x["tasks"] for x in per} == {1} and {x["n"] for x in per} == {11}
+    assert len({x["task"] for x in per}) > 6
+    segs = seg_frame(spark, [(f"s{i}", -1.0 + i / 1000, 52.03, 1.0, 9) for i in range(0, 60, 2)])
+    stored = rt.route_pieces(routes)
+    for at_hand in (None, stored):
+        m = rt.corridor_join(routes, segs, 50.0, at_hand).collect()
+        assert sorted((x["request_id"], x["segment_id"]) for x in m) == sorted((i, f"s{i}") for i in range(0, 60, 2))
+    c = [rt.coverage(routes, segs, pieces=p).orderBy("request_id").collect() for p in (None, stored)]
+    assert c[0] == c[1] and len(c[0]) == 60
