@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Leaves with at most so many inputs keep their terms of every pattern, a few kilobytes each.
+KEPT_INPUTS = 6
+
+
 @dataclass
 class Leaf:
     value: float
     # input -> (condition, share of the training rows that met it on the way down)
     path: dict[int, tuple[Condition, float]]
 
+    @cached_property
+    def terms(self) -> np.ndarray:
+        """(path inputs x patterns) Shapley values; bit i of a pattern says whether input i follows the path."""
+        m, share = len(self.path), np.array([share for _, share in self.path.values()])
+        return _terms(self.value, share, (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)).T
+
 
 @dataclass(frozen=True)
 class Condition:
@@ -41,24 +52,44 @@ class Condition:
         return (x > self.low) & (x <= self.high)
 
 
+def _terms(value: float, share: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """(rows x path inputs) Shapley values of ``value`` times a path's product: ``on`` says which inputs follow the path, ``share`` what an
+    unknown one counts."""
+    m, out = on.shape[1], np.empty(on.shape)
+    for i in range(m):
+        # coefficient k: sum over k-subsets of the other inputs of known x unknown factors
+        poly = [np.ones(len(on))]
+        for j in range(m):
+            if j != i:
+                poly = [(poly[k] * share[j] if k < len(poly) else 0.0) + (poly[k - 1] * on[:, j] if k else 0.0) for k in range(len(poly) + 1)]
+        weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
+        out[:, i] = value * (on[:, i] - share[i]) * sum(w * p for w, p in zip(weight, poly, strict=True))
+    return out
+
+
 def leaf_contributions(leaves: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rows x inputs) contributions and the base value they are relative to."""
-    phi, base = np.zeros_like(x, dtype=float), 0.0
+    """(rows x inputs) contributions and the base value they are relative to.
+
+    Rows differ in a leaf's terms only by which of its inputs follow the path: unless it has many inputs, the terms are
+    worked out once for each such pattern, and looked up.
+    """
+    columns, phi, base = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1]), 0.0
+    every = np.arange(256) if x.dtype == np.uint8 else None  # bins of one byte are looked up, too
     for leaf in leaves:
         inputs = list(leaf.path)
         m = len(inputs)
         share = np.array([leaf.path[f][1] for f in inputs])
         base += leaf.value * float(np.prod(share))
-        on = np.stack([leaf.path[f][0].met(x[:, f]) for f in inputs], 1).astype(float) if m else None
-        for i, f in enumerate(inputs):
-            # coefficient k: sum over k-subsets of the other inputs of known x unknown factors
-            poly = [np.ones(len(x))]
-            for j in range(m):
-                if j != i:
-                    poly = [(poly[k] * share[j] if k < len(poly) else 0.0) + (poly[k - 1] * on[:, j] if k else 0.0) for k in range(len(poly) + 1)]
-            weight = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
-            phi[:, f] += leaf.value * (on[:, i] - share[i]) * sum(w * p for w, p in zip(weight, poly, strict=True))
-    return phi, base
+        if not m:
+            continue
+        followed = [leaf.path[f][0].met(columns[f]) if every is None else leaf.path[f][0].met(every)[columns[f]] for f in inputs]
+        if m <= KEPT_INPUTS:
+            terms = leaf.terms[:, sum(met.astype(np.int32) << i for i, met in enumerate(followed))]
+        else:
+            terms = _terms(leaf.value, share, np.stack(followed, 1).astype(float)).T
+        for f, term in zip(inputs, terms, strict=True):
+            phi[f] += term
+    return np.ascontiguousarray(phi.T), base
 
 
 def shap_values(model, df: DataFrame, key: str) -> DataFrame:

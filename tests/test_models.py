@@ -9,7 +9,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from kerbline.models import boost, learner, linear, severity
+from kerbline.models import boost, learner, linear, severity, shap
 from kerbline.models.shap import factor_ranking, leaf_contributions, shap_values
 
 
@@ -59,6 +59,24 @@ def test_shap_sums_to_the_raw_score(counts, model):
     assert out["n"] == 400 and out["gap"] < 1e-9
 
 
+def test_shap_terms_are_worked_out_once_a_pattern(monkeypatch):
+    """5,000 rows in two batches, leaves of none to seven inputs: at most 64 patterns a leaf, and the values of every row worked out."""
+    r = np.random.default_rng(4)
+    condition = lambda: shap.Condition(float(low := r.integers(-1, 40)), float(low + 20)) if r.random() < 0.7 else shap.Condition(categories=frozenset({1.0, 5.0, 9.0}))
+    leaves = [shap.Leaf(float(r.normal()), {int(f): (condition(), float(r.random())) for f in r.choice(9, m, replace=False)}) for m in (0, 1, 3, 5, 6, 7)]
+    x = r.integers(0, 64, (5000, 9)).astype(np.uint8)
+    want = np.zeros(x.shape)
+    for leaf in leaves[1:]:
+        on = np.stack([c.met(x[:, f]) for f, (c, _) in leaf.path.items()], 1).astype(float)
+        want[:, list(leaf.path)] += shap._terms(leaf.value, np.array([s for _, s in leaf.path.values()]), on)
+    worked, real = [], shap._terms
+    monkeypatch.setattr(shap, "_terms", lambda v, share, on: worked.append(on.shape) or real(v, share, on))
+    got = np.concatenate([leaf_contributions(leaves, part)[0] for part in (x[:3000], x[3000:])])
+    assert (got == want).all()
+    assert (leaf_contributions(leaves, x.astype(np.int64))[0] == want).all()
+    assert sorted(n for n, m in worked if m < 7) == [2, 8, 32, 64]
+
+
 def test_shap_matches_the_definition(counts, model):
     """Average marginal contribution over all orders of the three inputs, on a few rows."""
     leaves = model.leaves()
