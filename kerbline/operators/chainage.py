@@ -1,33 +1,76 @@
 """Distance along each stretch, from its spanning tree.
 
-Every tree is walked once around (each edge down and up again). The walk is a linked list; the
-place of every step in it comes from list ranking, where each step repeatedly skips over the steps
-its successors already skipped. Depths are then running sums along the walk, and the distance from
+Every tree is walked once around (each edge down and up again). The walk is a linked list; steps that
+lie near each other are dealt to one task, which links them up to chains. The place of every chain in
+the walk comes from list ranking, where each chain repeatedly skips over those its successors already
+skipped, and gives the place of its steps. Depths are then running sums along the walk, and the distance from
 any chosen position is a running minimum (the depth of the meeting point), so three scans give the
 longest path and the chainage from one of its ends.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.functions.curve import curve_key
 from kerbline.operators.running import CHUNK_ROWS, running
 from kerbline.scratch import Scratch
 
+#: Steps that one task links up to chains, about.
+PART_STEPS = 1 << 18
+
+
+def _linked(f: pd.DataFrame) -> pd.DataFrame:
+    """Steps of one task with the step (nu -> nv) that comes after their chain and the number ``k`` of steps up to there;
+    ``first`` if no other step of the task leads to them. A walk's last step is followed by itself."""
+    here = np.arange(len(f))
+    own = f[["u", "v"]].assign(at=here).drop_duplicates(["u", "v"])
+    to = f[["nu", "nv"]].merge(own, "left", left_on=["nu", "nv"], right_on=["u", "v"])["at"].fillna(-1).to_numpy(np.int64)
+    to[to == here] = -1
+    first = np.ones(len(f), bool)
+    first[to[to >= 0]] = False
+    last, k = here.copy(), np.ones(len(f), np.int64)
+    while (on := np.flatnonzero(to >= 0)).size:
+        skip = to[on]
+        k[on], last[on], to[on] = k[on] + k[skip], last[skip], to[skip]
+    end = f.iloc[last].reset_index(drop=True)
+    ends = (end["u"] == end["nu"]) & (end["v"] == end["nv"])
+    return pd.DataFrame({"u": f["u"], "v": f["v"], "nu": end["nu"], "nv": end["nv"], "k": k, "first": first, "ends": ends})
+
+
+def _chains(nxt: DataFrame, s: Scratch) -> DataFrame:
+    """``_linked`` of all steps, dealt by stretch and place in parts of even size, however they cluster."""
+    steps, m = s.keep(nxt, "steps")
+    parts = max(1, -(-m["rows"] // PART_STEPS))
+    dealt = steps.repartitionByRange(parts, "comp", "place", "lat", "u", "v") if parts > 1 else steps.coalesce(1)
+    kind = steps.schema["u"].dataType.simpleString()
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)
+        if held:
+            yield _linked(pd.concat(held, ignore_index=True))
+
+    schema = f"u {kind}, v {kind}, nu {kind}, nv {kind}, k long, first boolean, ends boolean"
+    return s.table(dealt.select("u", "v", "nu", "nv").mapInPandas(link, schema), "chains")
+
 
 def _walk(edges: DataFrame, pts: DataFrame, roots: DataFrame, s: Scratch) -> DataFrame:
     """Steps (u -> v) with comp, w and place ``pos`` from 1 in the walk of their stretch."""
-    comp = pts.select(F.col("pos_id").alias("a"), "comp")
+    comp = pts.select(F.col("pos_id").alias("a"), "comp", curve_key("lon", "lat").alias("place"), "lat")
     e = edges.join(comp, "a")
-    steps = e.select("comp", F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(
-        e.select("comp", F.col("b").alias("u"), F.col("a").alias("v"), "w")
+    steps = e.select("comp", F.col("a").alias("u"), F.col("b").alias("v"), "w", "place", "lat").unionByName(
+        e.select("comp", F.col("b").alias("u"), F.col("a").alias("v"), "w", "place", "lat")
     )
     # a position has at most six tree neighbours, so the window over it is small
     around = Window.partitionBy("u").orderBy("v")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turn = steps.select(
-        "comp", "u", "v", "w",
+        "comp", "u", "v", "place", "lat",
         F.coalesce(F.lag("v").over(around), F.last("v").over(whole)).alias("from"),
         (F.row_number().over(around) == 1).alias("first"),
     )
@@ -35,10 +78,15 @@ def _walk(edges: DataFrame, pts: DataFrame, roots: DataFrame, s: Scratch) -> Dat
     root = roots.select(F.col("root").alias("u"), F.lit(True).alias("is_root"))
     turn = turn.join(root, "u", "left")
     ends = F.coalesce(F.col("is_root"), F.lit(False)) & F.col("first")
-    nxt = turn.select(F.col("from").alias("u"), F.col("u").alias("v"), F.when(~ends, F.col("u")).alias("nu"), F.when(~ends, F.col("v")).alias("nv"))
-    jump, m = s.keep(nxt.withColumn("k", F.lit(1).cast("long")), "jump", open=F.count("nu"))
+    nxt = turn.select(
+        F.col("from").alias("u"), F.col("u").alias("v"), F.when(~ends, F.col("u")).otherwise(F.col("from")).alias("nu"),
+        F.when(~ends, F.col("v")).otherwise(F.col("u")).alias("nv"), "comp", "place", "lat",
+    )
+    chains = _chains(nxt, s)
+    heads = chains.where("first").select("u", "v", *[F.when(~F.col("ends"), F.col(c)).alias(c) for c in ("nu", "nv")], "k")
+    jump, m = s.keep(heads, "jump", open=F.count("nu"))
     while m["open"]:
-        # three hops over the same table per job: every step then skips four times as far; finished steps only
+        # three hops over the same table per job: every chain then skips four times as far; finished ones only
         # serve as goals, and those that finish on the way are dealt by their own position, not by the missing one
         cur = jump.where(F.col("nu").isNotNull())
         for i in range(3):
@@ -49,7 +97,12 @@ def _walk(edges: DataFrame, pts: DataFrame, roots: DataFrame, s: Scratch) -> Dat
         done, m = s.keep(cur.unionByName(jump.where(F.col("nu").isNull())), "jump", open=F.count("nu"))
         s.drop(jump)
         jump = done
-    steps = steps.join(jump.select("u", "v", "k"), ["u", "v"])
+    # a chain that ends the walk has nothing after it; its steps are dealt by their own position
+    after = jump.select(F.col("u").alias("to_u"), F.col("v").alias("to_v"), F.col("k").alias("rest"))
+    goal = [F.when(F.col("ends"), F.col(c)).otherwise(F.col(f"n{c}")) == F.col(f"to_{c}") for c in "uv"]
+    rest = F.when(~F.col("ends"), F.col("rest"))
+    places = chains.join(after, goal[0] & goal[1], "left").select("u", "v", (F.col("k") + F.coalesce(rest, F.lit(0))).alias("k"))
+    steps = steps.select("comp", "u", "v", "w").join(places, ["u", "v"])
     total = steps.groupBy("comp").agg(F.max("k").alias("total"))
     return steps.join(total, "comp").select("comp", "u", "v", "w", (F.col("total") - F.col("k") + 1).alias("pos"))
 

@@ -34,6 +34,7 @@ CELL_MAX = 48  # most components a cell may hold at the chosen radius
 PAIRS_PER_COMPONENT = 12.0  # and most pairs of components within cells, per component listed
 FEW_PAIRS = 20_000  # a total that needs no closer look
 MIN_RADIUS_M = 0.001
+RADII_PER_JOB = 5  # radii that are tried side by side, the widest first
 BLOCK = ["comp", "fresh"]  # what a block's positions have in common beside their cell
 HOPS = 6  # steps towards the root per job
 COORD_DECIMALS = 9  # positions equal to 0.1 mm are one position
@@ -70,15 +71,22 @@ def next_radius(pts: DataFrame, grid: Grid, current: float, gap_m: float) -> flo
         radii.append(radii[-1] / SPLIT)
     if len(radii) == 1:
         return gap_m
-    # cells are nested: components are listed per finest cell, then rolled up
-    cx, cy = grid.cell(radii[-1])
-    fine = pts.select("road_number", cx, cy, "comp").distinct()
-    up = [f"struct({i} as i, floor(cx / {SPLIT**k}) as x, floor(cy / {SPLIT**k}) as y)" for i, k in enumerate(range(len(radii) - 1, -1, -1))]
-    listed = fine.select("road_number", "comp", F.explode(F.expr(f"array({', '.join(up)})")).alias("c")).distinct()
-    cells = listed.groupBy("road_number", "c").agg(F.count(F.lit(1)).alias("m"))
-    stats = cells.groupBy(F.col("c.i").alias("i")).agg(F.max("m").alias("top"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
-    fits = [r["i"] for r in stats.collect() if r["top"] <= CELL_MAX and r["pairs"] <= max(FEW_PAIRS, PAIRS_PER_COMPONENT * r["n"])]
-    return radii[min(fits)] if fits else radii[-1]
+    # the widest radii first, a few a job: their cells are few, and so are the counts that meet in the shuffle
+    for at in range(0, len(radii), RADII_PER_JOB):
+        some = radii[at : at + RADII_PER_JOB]
+        cx, cy = grid.cell(some[-1])
+        up = [f"struct({i} as i, floor(cx / {SPLIT**k}) as x, floor(cy / {SPLIT**k}) as y)" for i, k in enumerate(range(len(some) - 1, -1, -1))]
+        each = F.explode(F.expr(f"array({', '.join(up)})")).alias("c")
+        if not current:  # every position is its own component: counts of the finest cells add up
+            cells = pts.groupBy("road_number", cx, cy).agg(F.count(F.lit(1)).alias("m")).select("road_number", "m", each).groupBy("road_number", "c").agg(F.sum("m").alias("m"))
+        else:  # cells are nested: components are listed per finest cell, then rolled up
+            listed = pts.select("road_number", cx, cy, "comp").distinct().select("road_number", "comp", each).distinct()
+            cells = listed.groupBy("road_number", "c").agg(F.count(F.lit(1)).alias("m"))
+        stats = cells.groupBy(F.col("c.i").alias("i")).agg(F.max("m").alias("top"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
+        fits = [r["i"] for r in stats.collect() if r["top"] <= CELL_MAX and r["pairs"] <= max(FEW_PAIRS, PAIRS_PER_COMPONENT * r["n"])]
+        if fits:
+            return some[min(fits)]
+    return radii[-1]
 
 
 _BOX = ["lo_lon", "hi_lon", "lo_lat", "hi_lat", "cos_lo", "cos_hi"]

@@ -180,3 +180,47 @@ def test_a_job_removes_its_scratch_tables(spark, tmp_path):
         table(spark.range(3))
         raise ValueError
     assert set(root.iterdir()) == before
+
+
+def test_walk_is_linked_up_in_parts(spark, monkeypatch):
+    """A path of 300 places and a branching road in parts of 40 steps: only ends of chains are ranked, and chainage is the same."""
+    r = random.Random(9)
+    ids = r.sample(range(1, 1000), 380)
+    pts = {ids[i]: ("A1", -1.0, 50.0 + 0.001 * i) for i in range(300)}
+    pts |= {ids[300 + i]: ("A2", -1.5 + r.uniform(0, 0.1), 52.0 + r.uniform(0, 0.1)) for i in range(80)}
+    edges, labelled = sp.spanning_forest(sp.positions(frame(spark, pts)), 5000.0)
+    whole = {x["pos_id"]: (x["run"], x["chainage"]) for x in ch.chainage(labelled, edges).collect()}
+    ranked, real = [], ch.Scratch.keep
+
+    def keep(self, df, tag="t", **metrics):
+        out = real(self, df, tag, **metrics)
+        ranked.extend([out[1]["rows"]] if tag == "jump" else [])
+        return out
+
+    monkeypatch.setattr(ch.Scratch, "keep", keep)
+    monkeypatch.setattr(ch, "PART_STEPS", 40)
+    got = {x["pos_id"]: (x["run"], x["chainage"]) for x in ch.chainage(labelled, edges).collect()}
+    assert got == whole
+    want = tree_chainage(pts, kruskal(pts, 5000.0)[0])
+    assert max(abs(got[k][1] - want[k]) for k in want) < 1e-6
+    steps = 2 * edges.count()
+    assert 19 < max(ranked) < steps / 2 and max(ranked) == min(ranked)  # about twenty parts, with at least a chain each
+
+
+def test_widest_radius_that_fits(spark, monkeypatch):
+    """The radius is the same whatever the number of radii tried side by side, and fine cells are not counted if a wide one fits."""
+    settings(monkeypatch, 1024, 8)
+    pts = sp.positions(frame(spark, cloud(6))).withColumn("comp", F.col("pos_id"))
+    grid = sp.Grid(57.1)
+    found = []
+    for n in (1, 5, 12):
+        monkeypatch.setattr(sp, "RADII_PER_JOB", n)
+        found.append([sp.next_radius(pts, grid, r, 5000.0) for r in (0.0, 0.002)])
+    assert found[0] == found[1] == found[2] and found[0][0] == found[0][1] < 5000.0
+    # a radius of the first job fits: one aggregation, of the five widest
+    sparse = sp.positions(frame(spark, {i: ("A1", -1.0, 50.0 + 0.02 * i) for i in range(1, 30)})).withColumn("comp", F.col("pos_id"))
+    cells, real = [], sp.Grid.cell
+    monkeypatch.setattr(sp, "RADII_PER_JOB", 5)
+    monkeypatch.setattr(sp.Grid, "cell", lambda self, side: cells.append(side) or real(self, side))
+    assert sp.next_radius(sparse, grid, 0.0, 5000.0) == 5000.0
+    assert cells == [5000.0 / sp.SPLIT**4]
