@@ -5,11 +5,13 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from kerbline.models import boost, learner, linear, severity, shap
+from kerbline.models import boost, learner, linear, margins, severity, shap
+from kerbline.models.assemble import apply_assembly, assemble
 from kerbline.models.shap import factor_ranking, leaf_contributions, shap_values
 
 
@@ -227,6 +229,32 @@ def test_severity_models(spark, tmp_path):
     assert set(kinds) == {"boosting", "svm", "neural_net"} and all(v > 0.55 for v in kinds.values())
 
 
+@pytest.mark.parametrize("alone", [True, False])
+def test_svm_and_net_equal_sparks_own(spark, monkeypatch, alone):
+    """All folds of both kinds descend side by side, and end where Spark's classifiers do, in one task or in passes."""
+    r = random.Random(4)
+    rows = []
+    for i in range(700):
+        speed, road, x = r.choice([20, 30, 60, None]), r.choice(["a", "b", "c", None]), r.gauss(0, 1)
+        rows.append((i, int(r.random() < 1 / (1 + math.exp(-x - (road == "a") - ((speed or 30) - 40) / 20))), speed, road, x, 3, r.random() < 0.5, i % 2))
+    df = spark.createDataFrame(rows, "collision_id long, severe int, speed int, road string, x double, same int, town boolean, fold int").coalesce(1)
+    inputs, passes, real = ["speed", "road", "x", "same", "town"], [], margins.side_by_side
+    monkeypatch.setattr(margins, "ALONE_CELLS", 1 << 22 if alone else 0)
+    monkeypatch.setattr(margins, "side_by_side", lambda fits, ask: real(fits, lambda asked: passes.append(len(asked)) or ask(asked)))
+    got = {x["collision_id"]: x for x in margins.held_out(df, "collision_id", "severe", inputs, ["svm", "neural_net"], 2, 12).collect()}
+    assert len(got) == 700 and all(got[x[0]]["severe"] == x[1] for x in rows)
+    # one pass serves every model; a net's search may take a few more looks than steps
+    assert alone or (passes[0] == 4 and len(passes) < 40)
+    for i in range(2):
+        train, fitted = assemble(df.where(F.col("fold") != i), inputs, ["collision_id", "severe"])
+        scaler = StandardScaler(inputCol="features", outputCol="s", withMean=True, withStd=True).fit(train)
+        test = scaler.transform(apply_assembly(fitted, df.where(F.col("fold") == i), inputs, ["collision_id"]))
+        shared = {"featuresCol": "s", "labelCol": "severe", "maxIter": 12}
+        for kind, made in (("svm", LinearSVC(regParam=0.01, **shared)), ("neural_net", MultilayerPerceptronClassifier(layers=[5, 32, 16, 2], seed=7, **shared))):
+            for x in made.fit(scaler.transform(train)).transform(test).select("collision_id", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("v")).collect():
+                assert got[x["collision_id"]][kind] == pytest.approx(x["v"], abs=1e-8)
+
+
 def test_linear_floor(spark):
     """Against Newton steps in numpy; nulls count as the mean, and a fold's own labels do not matter."""
     r = np.random.default_rng(3)
