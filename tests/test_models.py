@@ -1,9 +1,12 @@
 import datetime as dt
+import glob
 import itertools
 import math
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -287,6 +290,36 @@ def test_partitions_of_a_fit_are_bounded_by_the_cores(spark, monkeypatch):
     held.unpersist()
 
 
+def test_files_of_blocks_end_their_groups_by_size(spark):
+    """A writer looked at a file's size after a hundred rows only, and held so many blocks, as did each reader."""
+    n = 20_000
+
+    def made(frames):
+        for i in (i for f in frames for i in f["id"]):
+            yield pd.DataFrame([(n, bytes(n), bytes(8), bytes(8), np.random.default_rng(i).normal(size=n).tobytes(), [i])], columns=["n", "x", "y", "member", "f", "keys"])
+
+    some = spark.range(0, 300, 1, 1).mapInPandas(made, "n int, x binary, y binary, member binary, f binary, keys array<long>")
+    s, before = learner.Scratch(spark, "groups"), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    learner._advance(some, 1, 1, [[]], [np.arange(1)], s).unpersist()
+    [file] = glob.glob(f"{s.folder}/*-blocks/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 300 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) < 150
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+
+
+def test_only_its_own_rows_are_scored_and_no_loss_below_the_first_level(monkeypatch):
+    asked = []
+    monkeypatch.setitem(learner.VALUES, "poisson", lambda y, f: asked.append(len(y)) or f)
+    real, routed = learner.Tree.route, []
+    monkeypatch.setattr(learner.Tree, "route", lambda *a: routed.append(len(a[3])) or real(*a))
+    block = {"n": 4, "x": bytes([0, 1, 1, 0]), "y": np.arange(4.0).tobytes(), "member": np.array([1, 0, 1, 0]).tobytes(), "f": np.zeros(4).tobytes()}
+    for level in (0, 1):
+        tree = learner.Tree(2, 2)
+        tree.input[0], tree.left[0, 0] = 0, True
+        learner._sums(block, learner._Plan("poisson", 2, 1, [np.array([0])], np.zeros(1, bool), [[(0.1, tree)]], [tree], level), {})
+    assert asked == [2] and routed == [2] * 4
+
+
 def test_routes_and_sums_against_plain_loops():
     rng = np.random.default_rng(3)
     x, y, f = rng.integers(0, 6, (500, 4)).astype(np.uint8), rng.random(500), rng.normal(size=(500, 1))
